@@ -6,13 +6,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, sentencepiece_bpe, simhash
+from . import chat, decontam, sentencepiece_bpe, simhash, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1, whose two texts consist of control strings."""
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return chat.digests(chat.assembled(turns, ranks), ranks).drop("n_tokens")
+
+
+OP1_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') x FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+l AS (SELECT *, length(r) + length(x) + len(regexp_extract_all(r, '<\\*/?s>|\[\\*/?INST\]')) + len(regexp_extract_all(x, '<\\*/?s>|\[\\*/?INST\]')) n FROM t)
+SELECT conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, r, x)) turns_sha256,
+  CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) loss_chars,
+  sha256(coalesce(string_agg(x, '' ORDER BY turn, r, x) FILTER (r = 'assistant'), '')) loss_sha256,
+  CAST(3 + sum(n + 17) AS BIGINT) formatted_chars
+FROM l GROUP BY conv_id
+"""
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,11 +77,29 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = topk.sign_codes(table(spark, sf_dir, "embeddings"))
+    return topk.nearest(codes.where("id % 20 = 0"), codes, 10)
+
+
+OP9_SQL = """
+WITH c AS (SELECT vec_id id, list_transform(embedding, lambda x: x > 0) b FROM embeddings),
+p AS (SELECT q.id query_id, c.id neighbour_id, CAST(list_sum([CASE WHEN q.b[i] = c.b[i] THEN 0 ELSE 1 END FOR i IN range(1, 65)]) AS BIGINT) distance
+  FROM c q, c WHERE q.id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) rank FROM p)
+SELECT query_id, rank, neighbour_id, distance FROM r WHERE rank <= 10
+"""
+
+
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_sentencepiece": op5_sentencepiece,
+    "op9_hamming_topk": op9_hamming_topk,
 }
 ORACLES = {
+    "op1_chat_format": OP1_SQL,
+    "op9_hamming_topk": OP9_SQL,
     "op4_decontaminate": OP4_SQL,
 }
