@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, sentencepiece_bpe, simhash, topk
+from . import chat, decontam, licenses, quality, sentencepiece_bpe, simhash, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ FROM l GROUP BY conv_id
 """
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs))
+
+
 def op9_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = topk.sign_codes(table(spark, sf_dir, "embeddings"))
     return topk.nearest(codes.where("id % 20 = 0"), codes, 10)
@@ -93,9 +102,11 @@ SELECT query_id, rank, neighbour_id, distance FROM r WHERE rank <= 10
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_license_scan": op2_license_scan,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_sentencepiece": op5_sentencepiece,
+    "op8_quality": op8_quality,
     "op9_hamming_topk": op9_hamming_topk,
 }
 ORACLES = {
