@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, quality, sentencepiece_bpe, simhash, topk
+from . import chat, decontam, licenses, lines, quality, sentencepiece_bpe, simhash, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,11 @@ SELECT query_id, rank, neighbour_id, distance FROM r WHERE rank <= 10
 """
 
 
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line_counts.n_lines", "line_counts.n_kept", "text")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_license_scan": op2_license_scan,
@@ -108,6 +113,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op8_quality": op8_quality,
     "op9_hamming_topk": op9_hamming_topk,
+    "op10_fuzzy_lines": op10_fuzzy_lines,
 }
 ORACLES = {
     "op1_chat_format": OP1_SQL,
