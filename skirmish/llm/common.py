@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -100,3 +102,21 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
             .where("u > v")
             .distinct()
         )
+
+
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """df as a Parquet table in the shared checkpoint folder, for as long as the block runs."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-tables-")
+    place = f"{folder}/table-{uuid.uuid4()}"
+    try:
+        df.write.parquet(place)
+        yield spark.read.parquet(place)
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

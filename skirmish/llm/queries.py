@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, lines, quality, sentencepiece_bpe, simhash, topk
+from . import chat, decontam, licenses, lines, ppm, quality, sentencepiece_bpe, simhash, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs))
@@ -111,6 +115,7 @@ QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_ppm_score": op6_ppm_score,
     "op8_quality": op8_quality,
     "op9_hamming_topk": op9_hamming_topk,
     "op10_fuzzy_lines": op10_fuzzy_lines,
