@@ -30,7 +30,7 @@ from . import common
 
 SPACE = "▁"
 #: Chunks, and pairs of tokens, that a worker remembers; the table starts anew when full.
-CHUNKS, PAIRS = 300_000, 500_000
+CHUNKS, PAIRS = 800_000, 800_000
 
 
 class PrefixEncoder:
@@ -38,7 +38,7 @@ class PrefixEncoder:
 
     def __init__(self, model_file: str):
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        size = sp.get_piece_size()
+        self.size = size = sp.get_piece_size()
         self.merges = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.id_of = {sp.id_to_piece(i): i for i in self.merges}
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in self.merges}
@@ -51,9 +51,9 @@ class PrefixEncoder:
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.id_of.items():
             if len(self.merged(piece)) == 1:  # else no text encodes to this piece
-                self.automaton.add_word(piece, (i, len(piece)))
+                self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
-        self.length = {i: len(p) for p, i in self.id_of.items()}
+        self.length = [len(self.text_of.get(i, "")) for i in range(size)]
         self.ids: dict[str, bytes] = {}
         self.said: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
@@ -84,7 +84,7 @@ class PrefixEncoder:
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         x, y = self.text_of[a], self.text_of[b]
-        apart = self.pairs[a << 32 | b] = self.merged(x + y) == [x, y]
+        apart = self.pairs[a * self.size + b] = self.merged(x + y) == [x, y]
         return apart
 
     def prefix_tokens(self, text: str) -> list[int]:
@@ -92,13 +92,13 @@ class PrefixEncoder:
 
         The automaton reports the tokens that end at a character, longest first.
         """
-        last, known, test = [-1] * len(text), self.pairs.get, self.compatible
-        for end, (i, length) in self.automaton.iter(text):
+        last, known, test, length, size = [-1] * len(text), self.pairs.get, self.compatible, self.length, self.size
+        for end, i in self.automaton.iter(text):
             if last[end] < 0:
-                start = end - length
+                start = end - length[i]
                 if start < 0 or (before := last[start]) < 0:
                     last[end] = i
-                elif (apart := known(before << 32 | i)) or apart is None and test(before, i):
+                elif (apart := known(before * size + i)) or apart is None and test(before, i):
                     last[end] = i
         return last
 
