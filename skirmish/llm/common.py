@@ -120,3 +120,29 @@ def written(df: DataFrame) -> Iterator[DataFrame]:
     finally:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A filter of ``bits`` bits (a power of two), set where the top of a value of the first column falls.
+
+    It is built in tasks and has that size whatever the input, so it can go to the driver and to every task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 64, np.uint64)
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(65 - bits.bit_length())
+            np.bitwise_or.at(own, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+        full = np.flatnonzero(own)
+        yield pa.record_batch([pa.array(full), pa.array(own[full].view(np.int64))], ["at", "bits"])
+
+    rows = hashes.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()  # at most bits / 64 rows
+    own = np.zeros(bits // 64, np.uint64)
+    own[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+    return own
+
+
+def passes(own: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash falls on a set bit of a filter."""
+    at = hashes >> np.uint64(65 - (64 * len(own)).bit_length())
+    return (own[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
