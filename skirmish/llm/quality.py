@@ -253,3 +253,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_words long, posterior double, score double, keep boolean")
+
+
+def filtered(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts the scorer keeps."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, own = _Words(), shared.value
+        for batch in common.slices(batches, text_col):
+            keep = []
+            for text in common.binary_column(batch, text_col):
+                m, seen = measure(text, cache)
+                p, w = features(m, seen)
+                keep.append(m.words > 0 and own.weights[p] @ w + own.weights[-1] >= np.log(threshold / (1 - threshold)))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -178,11 +178,11 @@ def decode(rows: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: st
     return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
-DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
 
 
-def round_trip(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode each row in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256.
+def round_trip(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode each row in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for.
 
     One row for each row of ``docs``, in any order; null text is empty. A null id stays null. Other
     columns are not read.
@@ -191,12 +191,14 @@ def round_trip(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_file)
         for batch in common.slices(batches, "text"):
-            n, a, b = [], [], []
+            n, a, b, all_ids = [], [], [], []
             for t in batch.column(1).to_pylist():
                 ids, said = enc.encode(t or "")
                 n.append(len(ids))
                 a.append(hashlib.sha256(said[:-1]).hexdigest())
                 b.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                all_ids.append(ids if with_ids else None)
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(all_ids, pa.list_(pa.int32()))]
+            yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DIGEST)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DIGEST).drop(*() if with_ids else ("ids",))
