@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ from . import common
 
 #: Hashed features; documents that the scorer is fitted on, at most (chosen by a hash of id and text).
 DIMENSIONS, SAMPLE = 1 << 14, 6000
-#: Remembered words of a task.
-CACHE = 1 << 17
+#: Remembered words of a task; words of a run whose variety is measured; the bits of a word's flags.
+CACHE, RUN = 1 << 18, 500
+FLAGS = np.array([1 << i for i in range(6)])
 
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -36,19 +38,23 @@ FUNCTION_WORDS = frozenset(
 
 
 class _Words(dict):
-    """For each word: its hashed feature, its shape's, and flags (letters only, function word, marks only, odd marks, capitals, doubled mark)."""
+    """For each word, in the bits of one number: its hashed feature, its shape's, and flags (letters only, function word, marks only, odd marks, capitals, doubled mark)."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int, int]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE:
             self.clear()
         text = word.decode("utf-8", "replace")
         core = text.strip(".,;:!?\"'()«»¿¡")
-        flags = (core.isalpha()) | (word.lower().strip(b".,;:!?") in FUNCTION_WORDS) << 1 | (not any(c.isalnum() for c in text)) << 2
-        flags |= (sum(not c.isalnum() and c not in ".,;:!?'\"-()" for c in text) >= 2) << 3
-        flags |= (len(core) >= 2 and core.isupper()) << 4 | (text[-2:-1] == text[-1:] and not text[-1:].isalnum()) << 5
-        shape = re.sub(r"(.)\1+", r"\1", "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in text))
-        value = xxhash.xxh64_intdigest(b"w" + word.lower()) % DIMENSIONS, xxhash.xxh64_intdigest(b"s" + shape.encode()) % DIMENSIONS, flags
-        self[word] = value
+        flags = core.isalpha() | (word.lower().strip(b".,;:!?") in FUNCTION_WORDS) << 1 | (len(core) >= 2 and core.isupper()) << 4
+        flags |= (text[-2:-1] == text[-1:] and not text[-1:].isalnum()) << 5
+        if flags & 1 and len(text) - len(core) <= 1:  # a plain word, with one mark at most
+            kind = "a" if core.islower() else "A" if core.isupper() else "Aa" if core.istitle() else "aA"
+            shape = kind + text[len(core) :] if text.startswith(core) else text[:1] + kind
+        else:
+            flags |= (not any(map(str.isalnum, text))) << 2 | (sum(not c.isalnum() and c not in ".,;:!?'\"-()" for c in text) >= 2) << 3
+            shape = re.sub(r"(.)\1+", r"\1", "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in text))
+        feature, form = (xxhash.xxh64_intdigest(x) % DIMENSIONS for x in (b"w" + word.lower(), b"s" + shape.encode()))
+        self[word] = value = feature << 40 | form << 16 | flags
         return value
 
 
@@ -70,22 +76,24 @@ class Measures:
     doubled: float
 
 
-def measure(text: bytes, cache: _Words) -> tuple[Measures, np.ndarray]:
-    """Measures of a text and its words' rows (word feature, shape feature, flags)."""
+def measure(text: bytes, known: _Words) -> tuple[Measures, np.ndarray]:
+    """Measures of a text, and what is known of its words."""
     words = text.split()
     n = len(words)
-    seen = np.array([cache[w] for w in words], np.int64).reshape(n, 3)
+    seen = np.fromiter(map(known.__getitem__, words), np.int64, n)
     if n == 0:
         return Measures(*[0] * 12), seen
     lines = [x for x in text.split(b"\n") if x.strip()]
-    flags = seen[:, 2]
-    share = lambda bit: float((flags >> bit & 1).sum()) / n
-    ids = seen[:, 0]
+    flags = np.bitwise_count(seen[:, None] & FLAGS).sum(axis=0) / n
+    ids = seen >> 40
     repeated = float((ids[1:] == ids[:-1]).sum()) / n
-    first = min(n, 500)
-    distinct = float(np.mean([len(np.unique(ids[i : i + first])) / len(ids[i : i + first]) for i in range(0, n, first)]))
+    # distinct words of each run of RUN words, the last one shorter
+    run = np.arange(n) // RUN
+    pairs = np.sort(run << 16 | ids)
+    distinct = float(np.mean(np.bincount(pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))] >> 16) / np.bincount(run)))
     stops = sum(text.count(x) for x in (b".", b"!", b"?")) / n
-    return Measures(n, share(0), share(1), share(2), share(3), repeated, distinct, 1 - len(set(lines)) / len(lines), len(text) / n, min(1.0, stops), share(4), share(5)), seen
+    alpha, function, marks, odd, capitals, doubled = flags.tolist()
+    return Measures(n, alpha, function, marks, odd, repeated, distinct, 1 - len(set(lines)) / len(lines), len(text) / n, min(1.0, stops), capitals, doubled), seen
 
 
 def _vote(keep: bool, reject: bool) -> int:
@@ -108,17 +116,24 @@ LABELLERS = {
 }
 
 
+@cache
+def _measure_feature(name: str) -> int:
+    return xxhash.xxh64_intdigest(b"m" + name.encode()) % DIMENSIONS
+
+
 def features(m: Measures, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights of a document's hashed features; words, shapes and measures have length one each."""
     places, weights = [], []
-    for part in (seen[:, 0], seen[:, 1]):
-        place, count = np.unique(part, return_counts=True)
+    for part in (seen >> 40, seen >> 16 & 0xFFFFFF):
+        part = np.sort(part)
+        heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+        place, count = part[heads], np.diff(np.append(heads, len(part)))
         w = np.sqrt(count)
         places.append(place)
         weights.append(w / max(1.0, float(np.sqrt((w * w).sum()))))
     binned = [f"{k}{min(9, int(getattr(m, k) * 10))}" for k in ("alpha", "function", "marks", "odd", "repeated", "distinct", "lines_again", "stops", "capitals", "doubled")]
     binned += [f"length{min(20, int(m.mean_length))}", f"words{m.words.bit_length()}"]
-    places.append(np.array([xxhash.xxh64_intdigest(b"m" + x.encode()) % DIMENSIONS for x in binned]))
+    places.append(np.array([_measure_feature(x) for x in binned]))
     weights.append(np.full(len(binned), len(binned) ** -0.5))
     return np.concatenate(places).astype(np.int32), np.concatenate(weights).astype(np.float32)
 
