@@ -155,9 +155,7 @@ def merge_games(sources: DataFrame) -> DataFrame:
 
 def merge_report(sources: DataFrame) -> DataFrame:
     """For each source: rows read, games it brought in, payloads it filled in for games of earlier sources."""
-    payload = F.nullif(F.col("participants_json"), F.lit(""))
     rows = sources.groupBy("game_id", "source_rank").agg(F.count("*").alias("n"), F.max(F.col("participants_json").isNotNull() & (F.col("participants_json") != "")).alias("full"))
-    del payload
     by_game = Window.partitionBy("game_id")
     rows = rows.withColumn("first", F.min("source_rank").over(by_game)).withColumn("first_full", F.min(F.when(F.col("full"), F.col("source_rank"))).over(by_game))
     return rows.groupBy("source_rank").agg(

@@ -61,8 +61,7 @@ def prior_strength_moment(rows: DataFrame) -> DataFrame:
     v = est.number("baseline") * (1 - est.number("baseline"))
     excess = F.pow(est.raw_rate("wins", "games") - est.number("baseline"), 2) - v / est.number("games")
     own = rows.select((F.greatest(excess, F.lit(0.0)) / v).alias("rho")).where("rho > 0")
-    # the element at n // 2: the least value with more than half of the rows at or below it
-    # both neighbours of the exact middle; the upper one is twice the middle less the lower one
+    # the element at n // 2 is the least one that reaches the exact middle
     ranked = own.agg(F.count("*").alias("n"), F.percentile("rho", F.lit(0.5)).alias("middle"))
     upper = own.join(F.broadcast(ranked), F.col("rho") >= F.col("middle")).agg(F.min("rho").alias("rho"))
     return upper.select("rho", F.coalesce(est.clip(1 / F.col("rho") - 1, LOW, HIGH), F.lit(DEFAULT)).alias("k"))
@@ -108,7 +107,6 @@ def pick_lift(attr: DataFrame, dim: DataFrame, entities: DataFrame) -> DataFrame
     """
     rows = with_attribute_dim(attr.select("entity_id", "attribute_id", "games"), dim).join(entities.select("entity_id", "role", "damage"), "entity_id")
     m = dim.groupBy("rarity").agg(F.count("*").alias("m"))
-    each = lambda *by: F.sum("games").over(Window.partitionBy(*by))
     totals = {"own": ("rarity", "entity_id"), "all": ("rarity",), "role": ("rarity", "role"), "damage": ("rarity", "role", "damage")}
     rows = rows.join(m, "rarity")
     # totals of groups are small tables: an aggregate for each level, joined back
@@ -116,7 +114,6 @@ def pick_lift(attr: DataFrame, dim: DataFrame, entities: DataFrame) -> DataFrame
         rows = rows.join(rows.groupBy(*by).agg(F.sum("games").alias(f"t_{name}")), list(by))
         if name != "own":
             rows = rows.join(rows.groupBy(*by, "attribute_id").agg(F.sum("games").alias(f"c_{name}")), [*by, "attribute_id"])
-    del each
     d = est.number
     overall = (d("c_all") + 0.5) / (d("t_all") + 0.5 * d("m"))
     use_damage = (F.col("t_damage") - F.col("t_own")) >= F.greatest(F.lit(50), 2 * F.col("m"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Patterns of personal data and secrets by category, and of placeholders.
@@ -19,9 +19,11 @@ PLACEHOLDER = r"(?i)xxxx|name#tag|example@|noreply"
 
 def pii_scan(docs: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, source, category, value, placeholder) for each find."""
-    found = F.flatten(F.array(*[
-        F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda v, c=c: F.struct(F.lit(c).alias("category"), v.alias("value"))) for c, p in sorted((patterns or PATTERNS).items())
-    ]))
+
+    def finds(category: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(category).alias("category"), v.alias("value")))
+
+    found = F.flatten(F.array(*[finds(c, p) for c, p in sorted((patterns or PATTERNS).items())]))
     rows = docs.where("text is not null").select("doc_id", "source", F.explode(found).alias("x")).select("doc_id", "source", "x.*")
     return rows.withColumn("placeholder", F.col("value").rlike(PLACEHOLDER))
 

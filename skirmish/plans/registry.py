@@ -477,7 +477,7 @@ WEIGHT = ", w AS (SELECT entity_id, games, wins, ln((wins+100.0::DOUBLE)/(games+
 
 @query(WEIGHT + """, tp AS (SELECT game_id, sum(weight) l FROM p JOIN w USING (entity_id) WHERE team_id = 100 GROUP BY 1),
 ss AS (SELECT game_id, blue[1] cur, unnest(list_concat([blue[1]], red)) candidate FROM g)
-SELECT ss.game_id, cur current, candidate, round(1/(1+exp(-(l - wc.weight + wi.weight))), 6) p, round(1/(1+exp(-(l - wc.weight + wi.weight))) - 1/(1+exp(-l)), 6) delta FROM ss JOIN tp USING (game_id) JOIN w wc ON wc.entity_id = cur JOIN w wi ON wi.entity_id = candidate""")
+SELECT ss.game_id, cur current, candidate, round(1/(1+exp(-(l - wc.weight + wi.weight))), 6) p, round(1/(1+exp(-(l - wc.weight + wi.weight))) - 1/(1+exp(-l)), 6) + 0.0::DOUBLE delta FROM ss JOIN tp USING (game_id) JOIN w wc ON wc.entity_id = cur JOIN w wi ON wi.entity_id = candidate""")
 def swap_suggestions(spark, d):
     return tm.swap_suggestions(sessions(spark, d), rt.log_odds_weights(rates(spark, d))).select("game_id", "current", "candidate", "p", "delta")
 
@@ -699,7 +699,7 @@ def sliding_counts(spark, d):
     return jobs.tumbling(gm.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 day", "6 hours").select(F.unix_millis("start").alias("start_ms"), "event_type", "n")
 
 
-@query("""SELECT user_id, epoch_ms(min(ts)) start_ms, count(*) n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END new FROM events)) GROUP BY user_id, s""")
+@query("""SELECT user_id, epoch_us(min(ts)) // 1000 start_ms, count(*) n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END new FROM events)) GROUP BY user_id, s""")
 def session_counts(spark, d):
     return jobs.sessions(gm.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select("user_id", F.unix_millis("start").alias("start_ms"), "n")
 
@@ -730,7 +730,7 @@ def state_changes(spark, d):
     return dc.state_changes(gm.table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type")).select("user_id", "event_id")
 
 
-@query("SELECT count(*) FILTER (event_type = 'click') hot, count(*) n FROM events WHERE FALSE" if False else "SELECT count(*) FILTER (ts > TIMESTAMP '2024-01-20' - INTERVAL 24 HOUR - INTERVAL 1 SECOND AND ts < TIMESTAMP '2024-01-20' + INTERVAL 1 SECOND AND epoch(TIMESTAMP '2024-01-20')::BIGINT - floor(epoch(ts))::BIGINT BETWEEN 0 AND 86400) hot, count(*) FILTER (epoch(TIMESTAMP '2024-01-20')::BIGINT - floor(epoch(ts))::BIGINT BETWEEN 0 AND 259200) warm FROM events")
+@query("""SELECT count(*) FILTER (a BETWEEN 0 AND 86400) hot, count(*) FILTER (a BETWEEN 0 AND 259200) warm FROM (SELECT epoch(TIMESTAMP '2024-01-20')::BIGINT - floor(epoch(ts))::BIGINT a FROM events)""")
 def recent_activity(spark, d):
     return jobs.recent_activity(gm.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), F.to_timestamp(F.lit("2024-01-20 00:00:00")))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 PARTICIPANT = "array<struct<teamId:int,championId:int,augments:array<int>>>"
 GAMES = "game_id string, queue_id int, patch string, blue_champs string, red_champs string, blue_wins int, duration_sec int, created_ms long, captured_at string, participants_json string, seed_family string"
@@ -75,7 +74,7 @@ def capture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_games(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Match fact in capture form; columns that the files lack are null."""
-    wanted = T._parse_datatype_string(GAMES) if hasattr(T, "_parse_datatype_string") else spark.createDataFrame([], GAMES).schema
+    wanted = spark.createDataFrame([], GAMES).schema
     found = spark.read.format(fmt).load(path)
     return found.select(*[(F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
 
