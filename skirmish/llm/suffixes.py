@@ -2,11 +2,12 @@
 
 Every string of LENGTH bytes has an anchor: the place of the least hash among its GRAM-byte strings, the last
 of equals. Equal strings have their anchors at the same place in them, so their anchors' hashes are equal, and
-strings only have to meet others of the same hash. Hashes that occur once in the corpus are let go; the
-strings of each other anchor go, as one short body of text, to the shard of its hash. A shard collapses
-equal bodies, sorts the suffixes of what is left by induction (module induced), and compares neighbours. Shards
-are as many as keep each at about SHARD bytes. An anchor that occurs very often isn't left to one
-shard: its equal bodies are collapsed by a grouping, and the strings of distinct bodies are grouped by digest.
+strings only have to meet others of the same hash. The strings of an anchor are one short body of text. Bodies
+that are equal as a whole are found first, by hash, within a task and then over all. What is left are anchors
+with different bodies, which may be equal in part: those bodies go to the shard of the anchor's hash. A
+shard collapses equal bodies, sorts the suffixes by induction (module induced), and compares neighbours; shards
+are as many as keep each at about SHARD bytes. An anchor with very many different bodies isn't left to one
+shard: the strings of its bodies are grouped by digest.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, induced
 
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, GRAM = 200, 32
-#: Bytes of a shard on average; occurrences from which an anchor counts as very frequent; bits of the two anchor filters.
+#: Bytes of a shard on average; different bodies in slices of text from which an anchor counts as very frequent; bits of the two anchor filters.
 SHARD, FREQUENT, BITS = 2_000_000, 1 << 14, 1 << 27
 #: Fixed pseudo-random numbers, one for each byte value.
 BYTE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
@@ -102,6 +104,10 @@ def _runs(start: int, flags: np.ndarray) -> list[dict[str, int]]:
 SPANS = "k1 long, k2 long, spans array<struct<a:int,b:int>>"
 SPAN_TYPE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 BODIES = "anchor long, k1 long, k2 long, start int, body binary"
+PLACE = "struct<k1:long,k2:long,a:int,b:int>"
+PLACES = f"anchor long, d long, own {PLACE}, others array<{PLACE}>"
+PLACE_TYPE = pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+FOUND = "k1 long, k2 long, spans array<struct<a:int,b:int>>, mixed array<long>, many array<long>"
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -110,23 +116,59 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"))
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """(k1, k2, spans) of keyed rows that hold a repeated string: the byte ranges, from a to before b, that such strings cover."""
-    spark = rows.sparkSession
+def whole_bodies(rows: DataFrame) -> DataFrame:
+    """Per keyed row: spans of bodies that occur elsewhere as a whole, and its anchors that have different bodies.
+
+    (k1, k2, spans, mixed, many): ``many`` are the mixed anchors with over FREQUENT different bodies. A
+    slice of text passes on one row for each of its bodies, with the places of its repeats in the slice, so a
+    body that is very common is as many rows as slices hold it.
+    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            h, times = np.unique(anchors(common.binary_column(batch, "text"))[0], return_counts=True)
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(times)], ["anchor", "n"])
+            texts = common.binary_column(batch, "text")
+            h, text, first, last = anchors(texts)
+            ends = (last + LENGTH).tolist()
+            d = np.fromiter((xxhash.xxh64_intdigest(texts[t][a:b]) for t, a, b in zip(text.tolist(), first.tolist(), ends, strict=True)), np.uint64, len(h))
+            order = np.lexsort((d, h))
+            h, d, text, first, last = h[order], d[order], text[order], first[order], last[order]
+            head = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(h) else np.zeros(0, bool)
+            k1, k2 = (batch.column(i).to_numpy()[text] for i in (1, 2))
+            place = pa.StructArray.from_arrays([pa.array(k1), pa.array(k2), pa.array(first.astype(np.int32)), pa.array((last + LENGTH).astype(np.int32))], fields=list(PLACE_TYPE))
+            starts = np.flatnonzero(head)
+            more = np.flatnonzero(~head)
+            offsets = np.concatenate((np.cumsum(np.diff(np.append(starts, len(h))) - 1), [0]))
+            offsets = np.concatenate(([0], offsets[:-1]))
+            others = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), place.take(pa.array(more)))
+            yield pa.record_batch([pa.array(h[starts].view(np.int64)), pa.array(d[starts].view(np.int64)), place.take(pa.array(starts)), others], ["anchor", "d", "own", "others"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[{"a": a, "b": b} for a, b in merged(x)] for x in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(spans, SPAN_TYPE), batch.column(3), batch.column(4)], ["k1", "k2", "spans", "mixed", "many"])
+
+    by_anchor = Window.partitionBy("anchor")
+    each = rows.select("text", "k1", "k2").mapInArrow(run, PLACES)
+    each = each.withColumn("n", F.count("*").over(Window.partitionBy("anchor", "d"))).withColumn("kind", F.dense_rank().over(by_anchor.orderBy("d")))
+    each = each.withColumn("kinds", F.max("kind").over(by_anchor))
+    again = (F.col("n") > 1) | (F.size("others") > 0)
+    entry = lambda p, known, anchor: F.struct(p["k1"].alias("k1"), p["k2"].alias("k2"), F.when(known, F.struct(p["a"].alias("a"), p["b"].alias("b"))).alias("span"), anchor.alias("mixed"))
+    own = entry(F.col("own"), again, F.when(F.col("kinds") > 1, F.col("anchor")))
+    entries = F.concat(F.array(own), F.transform("others", lambda p: entry(p, F.lit(True), F.lit(None).cast("long"))))
+    each = each.select((F.col("kinds") > FREQUENT).alias("often"), F.explode(entries).alias("e")).select("e.*", "often").where("span is not null or mixed is not null")
+    found = each.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"), F.collect_list("mixed").alias("mixed"), F.collect_list(F.when(F.col("often"), F.col("mixed"))).alias("many"))
+    return found.mapInArrow(merge, FOUND)
+
 
-    counts = rows.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    counts = common.checkpoint(counts)
-    total = counts.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+def repeated(rows: DataFrame) -> DataFrame:
+    """(k1, k2, spans) of keyed rows that hold a repeated string: the byte ranges, from a to before b, that such strings cover."""
+    spark = rows.sparkSession
+    found = common.checkpoint(whole_bodies(rows))
+    mixed = found.select(F.explode("mixed").alias("anchor"))
+    wanted = spark.sparkContext.broadcast(common.bit_filter(mixed, BITS))
+    total = found.agg(F.sum(F.size("mixed")).alias("n"), F.sum(F.size("many")).alias("many")).first()
     shards = max(1, -(-(total["n"] or 0) * (LENGTH + 85) // SHARD))
-    wanted = spark.sparkContext.broadcast(common.bit_filter(counts.select("anchor"), BITS))
-    frequent = counts.where(F.col("n") > FREQUENT).select("anchor")
-    some_frequent = (total["most"] or 0) > FREQUENT
-    often = spark.sparkContext.broadcast(common.bit_filter(frequent, BITS)) if some_frequent else None
+    often = spark.sparkContext.broadcast(common.bit_filter(found.select(F.explode("many").alias("anchor")), BITS)) if total["many"] else None
 
     def bodies(of_frequent: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +180,9 @@ def repeated(rows: DataFrame) -> DataFrame:
                     kept &= common.passes(often.value, h) == of_frequent
                 h, text, first, last = h[kept], text[kept], first[kept], last[kept]
                 out = [texts[t][a : b + LENGTH] for t, a, b in zip(text.tolist(), first.tolist(), last.tolist(), strict=True)]
+                # bodies that occur again are marked already; one of them is enough to compare with
+                one = np.array(sorted({b: i for i, b in enumerate(out)}.values()), np.int64)
+                h, text, first, out = h[one], text[one], first[one], [out[i] for i in one.tolist()]
                 yield pa.record_batch(
                     [pa.array(h.view(np.int64)), batch.column(1).take(pa.array(text)), batch.column(2).take(pa.array(text)), pa.array(first.astype(np.int32)), pa.array(out, pa.binary())],
                     ["anchor", "k1", "k2", "start", "body"],
@@ -175,8 +220,9 @@ def repeated(rows: DataFrame) -> DataFrame:
 
     sharded = bodies(False).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
     sharded = sharded.select("shard", "k1", "k2", "start", "body").repartition(common.partitions(spark), "shard").sortWithinPartitions("shard")
-    found = sharded.mapInArrow(shard, SPANS)
-    return found.unionByName(_frequent(bodies(True))) if some_frequent else found
+    partly = sharded.mapInArrow(shard, SPANS)
+    partly = partly.unionByName(_frequent(bodies(True))) if often else partly
+    return partly.unionByName(found.where(F.size("spans") > 0).select("k1", "k2", "spans"))
 
 
 def _frequent(bodies: DataFrame) -> DataFrame:
