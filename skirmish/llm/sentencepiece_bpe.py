@@ -30,7 +30,7 @@ from . import common
 
 SPACE = "▁"
 #: Chunks, and pairs of tokens, that a worker remembers; the table starts anew when full.
-CHUNKS, PAIRS = 800_000, 800_000
+CHUNKS, PAIRS = 450_000, 400_000
 
 
 class PrefixEncoder:
@@ -140,6 +140,10 @@ class PrefixEncoder:
             held.clear(), said.clear()
         return out
 
+    def forget(self) -> None:
+        """Let the chunks go, at the end of a task: a worker that idles or does other work holds no memory for them."""
+        self.ids.clear(), self.said.clear()
+
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist())
 
@@ -162,6 +166,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
         for batch in common.slices(batches, "text"):
             ids = [enc.encode(t or "")[0] for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        enc.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -200,5 +205,6 @@ def round_trip(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_co
                 all_ids.append(ids if with_ids else None)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(all_ids, pa.list_(pa.int32()))]
             yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+        enc.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DIGEST).drop(*() if with_ids else ("ids",))
