@@ -2,11 +2,14 @@
 
 The pretrained model is a byte-context trie of order ORDER: each node holds how often a byte followed a
 context of 0 to ORDER bytes. All counts come from one table of (ORDER + 1)-byte grams over all training
-texts; a shorter context's counts are sums over the longer ones. A node stays if its count is at
-least RATE of all training bytes, so an order has at most 1 / RATE nodes at any size of input. A context
-gives a byte its count over (total + distinct), and escapes to the next shorter context with the
-rest (distinct, and the counts of nodes that didn't stay); bytes that the longer context knows are excluded
-there. Beyond order 0 the bytes left are equally likely. A text's code ends with an end symbol.
+texts; a shorter context's counts are sums over the longer ones. Every node counts, at any size of input. A
+context gives a byte its count over (total + distinct), and escapes to the next shorter context with the
+rest (distinct); bytes that the longer context knows are excluded there. Beyond order 0 the bytes left are
+equally likely. A text's code ends with an end symbol.
+
+The trie is cut in buckets by the NEAR bytes before the symbol: all longer contexts of a gram lie in its bucket, and
+what is shorter has at most 256 ** NEAR nodes and goes to every task. The most frequent grams, 1 / RATE at most, go to
+every task with their scores; occurrences of the others go to their bucket.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes of context; least share of the training bytes that a node needs; byte that pads starts and ends a text (in no UTF-8).
+#: Bytes of context; one over the number of grams whose scores go to every task; byte that pads starts and ends a text (in no UTF-8).
 ORDER, RATE, EDGE = 5, 2.0**-20, 0xFF
+#: Bytes of context that choose a gram's bucket.
+NEAR = 3
 #: Words with at least this share of the training tokens go to every task (at most 1 / COMMON of them); a bucket of the others' occurrences.
 COMMON, BUCKET = 2.0**-17, 1_500_000
 #: Counts that a task holds before it passes them on; remembered word hashes and grams.
@@ -163,38 +168,64 @@ class Trie:
 
 @dataclass(frozen=True)
 class Model:
-    trie: Trie
+    grams: np.ndarray  # common grams, sorted, and their log10 probabilities
+    logs: np.ndarray
+    short: list[tuple[np.ndarray, np.ndarray]]  # nodes of orders below NEAR
+    size: int  # training bytes and ends
+    rare: int  # training occurrences of other grams, or number of all grams if that is more
     common: np.ndarray  # hashes of common tokens, sorted
     counts: np.ndarray
     tokens: int
     distinct: int
 
 
-def train(docs: DataFrame) -> Model:
-    """Count all training rows of (doc_id, text) and fetch the nodes and words that stay: at most (ORDER + 1) / RATE + 1 / COMMON rows."""
-    with common.written(corpus_counts(docs)) as counts:
-        totals = {r["kind"]: (r["n"], r["keys"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("keys")).collect()}
-        size, (total, distinct) = totals.get(0, (0, 0))[0], totals.get(1, (0, 0))
-        masks = F.array(*[F.struct(F.lit(o).alias("o"), F.lit((1 << 8 * (o + 1)) - 1).alias("mask")) for o in range(ORDER + 1)])
-        each = counts.where("kind = 0").select("key", "n", F.explode(masks).alias("x")).select(F.col("x.o").alias("o"), F.col("key").bitwiseAND(F.col("x.mask")).alias("key"), "n")
-        kept = each.groupBy("o", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1.0, size * RATE)).toArrow()
-        words = counts.where((F.col("kind") == 1) & (F.col("n") >= max(1.0, total * COMMON))).select("key", "n").toArrow()
-    order, key, n = (kept.column(i).to_numpy() for i in range(3))
-    nodes = []
-    for o in range(ORDER + 1):
-        k, c = key[order == o].view(np.uint64), n[order == o]
-        sort = np.argsort(k)
-        nodes.append((k[sort], c[sort]))
+def train(counts: DataFrame) -> Model:
+    """From all training rows' counts, fetch what goes to every task: at most 1 / RATE grams, 256 ** NEAR short nodes and 1 / COMMON words."""
+    totals = {r["kind"]: (r["n"], r["keys"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("keys")).collect()}
+    (size, nodes), (total, distinct) = totals.get(0, (0, 0)), totals.get(1, (0, 0))
+    own = counts.where("kind = 0").select("key", "n")
+    near = own.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * NEAR) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    steps = F.floor(F.log2("n") * 8).cast("int")  # few hundred, whatever the input
+    floor, room = None, 1 / RATE
+    for r in sorted(own.groupBy(steps.alias("step")).agg(F.count("*").alias("grams")).collect(), key=lambda r: -r["step"]):
+        room -= r["grams"]
+        if room < 0:
+            break
+        floor = r["step"]
+    often = own.where(steps >= floor if floor is not None else F.lit(False)).select("key", "n", F.shiftrightunsigned("key", 8).alias("context"))
+    contexts = own.groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(F.sum("n").alias("known"), F.count("*").alias("d"))
+    kept = often.join(contexts, "context").select("key", "n", F.log10(F.col("n") / (F.col("known") + F.col("d"))).alias("log")).toArrow()
+    words = counts.where((F.col("kind") == 1) & (F.col("n") >= max(1.0, total * COMMON))).select("key", "n").toArrow()
+    key, n, logs = (kept.column(i).to_numpy() for i in range(3))
+    first = np.argsort(key.view(np.uint64))
     hashes, times = words.column(0).to_numpy().view(np.uint64), words.column(1).to_numpy()
     sort = np.argsort(hashes)
-    return Model(Trie(nodes, size), hashes[sort], times[sort], total, distinct)
+    short = shorter(near.column(0).to_numpy().view(np.uint64), near.column(1).to_numpy(), range(NEAR))
+    return Model(key.view(np.uint64)[first], logs[first], short, size, max(size - int(n.sum()), nodes), hashes[sort], times[sort], total, distinct)
+
+
+def shorter(keys: np.ndarray, counts: np.ndarray, orders: range) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted nodes of each order, with counts summed over longer grams."""
+    out = []
+    for order in orders:
+        node, place = np.unique(keys & np.uint64((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        sums = np.zeros(len(node), np.int64)
+        np.add.at(sums, place, counts)
+        out.append((node, sums))
+    return out
+
+
+def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each gram, by the NEAR bytes before its last."""
+    near = keys >> np.uint64(8) & np.uint64((1 << 8 * NEAR) - 1)
+    return ((near * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 class _Memo:
-    """Scores of grams that a task has met, in a table of fixed size."""
+    """Scores of common grams, NaN for others, remembered in a table of fixed size."""
 
-    def __init__(self, trie: Trie):
-        self.trie = trie
+    def __init__(self, grams: np.ndarray, logs: np.ndarray):
+        self.grams, self.logs = grams, logs
         self.keys, self.values = np.full(MEMO, ~np.uint64(0)), np.zeros(MEMO, np.float32)
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
@@ -202,7 +233,11 @@ class _Memo:
         out, known = self.values[at].astype(np.float64), self.keys[at] == keys
         if not known.all():
             new, back = np.unique(keys[~known], return_inverse=True)
-            values = self.trie.log10(new).astype(np.float32)
+            values = np.full(len(new), np.nan, np.float32)
+            if len(self.grams):
+                spot = np.minimum(np.searchsorted(self.grams, new), len(self.grams) - 1)
+                found = self.grams[spot] == new
+                values[found] = self.logs[spot[found]]
             out[~known] = values[back]
             place = (new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - MEMO.bit_length())
             place, first = np.unique(place, return_index=True)
@@ -210,8 +245,16 @@ class _Memo:
         return out
 
 
+def cut(order_by: np.ndarray, *arrays: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+    """Distinct values of ``order_by``, and for each the rows of the arrays as bytes."""
+    order = np.argsort(order_by, kind="stable")
+    found, first = np.unique(order_by[order], return_index=True)
+    cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True))
+    return found, [[x[a:b].tobytes() for a, b in cuts] for x in (y[order] for y in arrays)]
+
+
 #: Rows of a slice of texts, packed in arrays; occurrences of rare words, and what a bucket makes of them.
-PARTS = "bucket int, slice long, ids array<long>, held array<boolean>, sizes binary, known binary, base binary, score binary, hashes binary, owners binary"
+PARTS = "bucket int, slice long, ids array<long>, held array<boolean>, sizes binary, known binary, base binary, score binary, hashes binary, owners binary, grams binary, times binary"
 SUMS = "slice long, ids array<long>, held array<boolean>, sizes binary, known binary, base binary, score binary, owners binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
@@ -224,23 +267,23 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     otherwise (it does: they are held out). Repeated rows count and score each. Other columns are not read.
 
     Words' counts are exact: common words' come with the model; of the others every occurrence goes to
-    the bucket of its word's hash, where it is counted and turned into a part of its row's base score.
+    the bucket of its word's hash, where it is counted and turned into a part of its row's base score. Grams are
+    scored likewise, by the trie's nodes of their bucket.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    model = train(texts)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by RATE and COMMON
-    buckets = max(1, -(-model.tokens // BUCKET))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cache = shared.value, _Hashes()
-        memo, logs = _Memo(own.trie), np.log10(own.counts + 0.1)
+        memo, logs = _Memo(own.grams, own.logs), np.log10(own.counts + 0.1)
         next_key = TaskContext.get().partitionId() << 32
-        names = [f.split()[0] for f in PARTS.split(", ")]
         for batch in common.slices(batches, "text"):
             ids, texts = batch.column(0).to_pylist(), common.binary_column(batch, "text")
             n = len(ids)
             keys, starts = grams(texts)
-            score = np.add.reduceat(memo.log10(keys), starts)
+            each_gram = memo.log10(keys)
+            rare = np.flatnonzero(np.isnan(each_gram))
+            score, rare_keys = np.add.reduceat(np.nan_to_num(each_gram, copy=False), starts), keys[rare]
+            del keys, each_gram
             each = [tokens(t, cache) for t in texts]
             sizes = np.array([len(x) for x in each])
             h, owner = np.concatenate(each), np.repeat(np.arange(n), sizes)
@@ -250,34 +293,42 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             known = np.bincount(owner[often], minlength=n)
             held = np.array([held_out(i) for i in ids])
             key, next_key = next_key, next_key + 1
-            yield pa.record_batch(
-                [
-                    pa.array([key % buckets], pa.int32()), pa.array([key]), pa.array([ids], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())),
-                    *(pa.array([x.tobytes()], pa.binary()) for x in (sizes.astype(np.int64), known.astype(np.int64), base, score)), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
-                ],
-                names,
-            )
-            if often.all():
-                continue
-            h, owner = h[~often], owner[~often]
-            bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            h, owner, bucket = h[order], (owner[order] << 1 | ~held[owner[order]]).astype(np.int32), bucket[order]
-            found, first = np.unique(bucket, return_index=True)
-            cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(h)], strict=True))
-            m = len(found)
-            yield pa.record_batch(
-                [
-                    pa.array(found.astype(np.int32)), pa.array(np.full(m, key)), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.bool_())), *(pa.nulls(m, pa.binary()) for _ in range(4)),
-                    pa.array([h[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in cuts], pa.binary()),
-                ],
-                names,
-            )
+            whole = [[ids], [held.tolist()], *([x.tobytes()] for x in (sizes.astype(np.int64), known.astype(np.int64), base, score))]
+            yield packed([key % (buckets + tries)], [key], *whole)
+            if not often.all():
+                h, owner = h[~often], owner[~often]
+                bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                found, (hashes, owners) = cut(bucket, h, (owner << 1 | ~held[owner]).astype(np.int32))
+                yield packed(found, np.full(len(found), key), hashes=hashes, owners=owners)
+            if len(rare):
+                owner = (np.searchsorted(starts, rare, side="right") - 1).astype(np.int32)
+                found, (asked, owners) = cut(buckets_of(rare_keys, tries), rare_keys, owner)
+                yield packed(found + buckets, np.full(len(found), key), owners=owners, grams=asked)
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All grams of the training rows, for their buckets."""
+        for batch in batches:
+            keys, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            if len(keys):
+                found, (own, times) = cut(buckets_of(keys, tries), keys, n)
+                yield packed(found + buckets, np.full(len(found), -1), grams=own, times=times)
+
+    parts_schema = pa.schema(
+        [("bucket", pa.int32()), ("slice", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), *((n, pa.binary()) for n in ("sizes", "known", "base", "score", "hashes", "owners", "grams", "times"))]
+    )
+
+    def packed(bucket, key, *whole, **parts) -> pa.RecordBatch:
+        """Rows of PARTS: those of a slice with ``whole`` columns, or parts of it for buckets."""
+        own = {"bucket": bucket, "slice": key} | dict(zip(("ids", "held", "sizes", "known", "base", "score"), whole, strict=False)) | parts
+        return pa.record_batch([pa.array(own[f.name], f.type) if f.name in own else pa.nulls(len(bucket), f.type) for f in parts_schema], schema=parts_schema)
 
     def rest(table: pa.Table) -> pa.Table:
-        """Counts of a bucket's words, as sums for each slice and row; rows of slices pass."""
+        """Scores of a bucket's words or grams, as sums for each slice and row; rows of slices pass."""
         names = [f.split()[0] for f in SUMS.split(", ")]
-        whole = table.filter(pa.compute.is_null(table["hashes"])).select(names)
+        whole = table.filter(pa.compute.is_valid(table["ids"])).select(names)
+        asked = table.filter(pa.compute.and_(pa.compute.is_valid(table["grams"]), pa.compute.is_valid(table["owners"])))
+        if asked.num_rows:
+            return pa.concat_tables([whole.cast(schema), grams_of(asked, table.filter(pa.compute.is_valid(table["times"])))])
         parts = table.filter(pa.compute.is_valid(table["hashes"]))
         if parts.num_rows == 0:
             return whole
@@ -299,6 +350,24 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         ]
         return pa.concat_tables([whole.cast(schema), pa.table(sums, schema=schema)])
 
+    def grams_of(asked: pa.Table, known: pa.Table) -> pa.Table:
+        """Scores of the grams that slices ask of a bucket, by its part of the trie."""
+        own = shared.value
+        keys, times = (np.frombuffer(b"".join(known[c].to_pylist()), t) for c, t in (("grams", np.uint64), ("times", np.int64)))
+        trie = Trie(own.short + shorter(keys, times, range(NEAR, ORDER + 1)), own.size)
+        wanted = [np.frombuffer(x, np.uint64) for x in asked["grams"].to_pylist()]
+        each, back = np.unique(np.concatenate(wanted), return_inverse=True)
+        values = trie.log10(each)[back]
+        score, rows, at = [], [], 0
+        for owner in asked["owners"].to_pylist():
+            owner = np.frombuffer(owner, np.int32)
+            row, place = np.unique(owner, return_inverse=True)
+            rows.append(row.tobytes())
+            score.append(np.bincount(place, weights=values[at : at + len(owner)]).tobytes())
+            at += len(owner)
+        own = {"slice": asked["slice"].combine_chunks(), "score": pa.array(score, pa.binary()), "owners": pa.array(rows, pa.binary())}
+        return pa.table([own.get(f.name, pa.nulls(len(rows), f.type)) for f in schema], schema=schema)
+
     schema = pa.schema(
         [("slice", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), *((n, pa.binary()) for n in ("sizes", "known", "base", "score", "owners"))]
     )
@@ -307,16 +376,26 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         """The rows of one slice, with the sums of all buckets."""
         whole = table.filter(pa.compute.is_valid(table["ids"]))
         number = lambda name, kind: np.frombuffer(whole[name][0].as_py(), kind).copy()
-        known, base = number("known", np.int64), number("base", np.float64)
+        known, base, score = number("known", np.int64), number("base", np.float64), number("score", np.float64)
         parts = table.filter(pa.compute.is_null(table["ids"]))
-        for k, b, rows in zip(parts["known"].to_pylist(), parts["base"].to_pylist(), parts["owners"].to_pylist(), strict=True):
+        for k, b, x, rows in zip(*(parts[c].to_pylist() for c in ("known", "base", "score", "owners")), strict=True):
             rows = np.frombuffer(rows, np.int32)
+            if x is not None:
+                score[rows] += np.frombuffer(x, np.float64)
+                continue
             known[rows] += np.frombuffer(k, np.int64)
             base[rows] += np.frombuffer(b, np.float64)
-        columns = [pa.array(whole["ids"][0].as_py(), pa.int64()), pa.array(whole["held"][0].as_py(), pa.bool_()), pa.array(number("sizes", np.int64)), pa.array(known), pa.array(base), pa.array(number("score", np.float64))]
+        columns = [pa.array(whole["ids"][0].as_py(), pa.int64()), pa.array(whole["held"][0].as_py(), pa.bool_()), pa.array(number("sizes", np.int64)), pa.array(known), pa.array(base), pa.array(score)]
         return pa.table(columns, [f.split()[0] for f in RESULT.split(", ")])
 
-    got = texts.mapInArrow(run, PARTS).groupBy("bucket").applyInArrow(rest, SUMS).groupBy("slice").applyInArrow(unpacked, RESULT)
+    with common.written(corpus_counts(texts)) as counts:
+        model = train(counts)
+        # buckets of words come first, then those of grams
+        buckets, tries = max(1, -(-model.tokens // BUCKET)), max(1, -(-model.rare // BUCKET))
+        trie = common.checkpoint(counts.where("kind = 0").select("key", "n").mapInArrow(nodes, PARTS))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by RATE, NEAR and COMMON
+    parts = texts.mapInArrow(run, PARTS).unionByName(trie)
+    got = parts.groupBy("bucket").applyInArrow(rest, SUMS).groupBy("slice").applyInArrow(unpacked, RESULT)
     scale = float(np.log10(model.tokens + 0.1 * (model.distinct + 1)))
     return got.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(scale)).alias("base_score"), "score"

@@ -98,3 +98,15 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([(None, "only held out", "x", 1)], SCHEMA)
     assert [r.train_tokens for r in ppm.scores(df).collect()] == [0]
     assert ppm.scores(df.limit(0)).count() == 0
+
+
+def test_grams_below_every_floor_count(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "RATE", 2.0**-5)
+    monkeypatch.setattr(ppm, "BUCKET", 300)
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices("aaaab cdé", k=rng.randrange(60)))) for i in range(120)]
+    after = counted([t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 10])
+    got = {r.doc_id: r.score for r in ppm.scores(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect()}
+    for i, t in rows:
+        full = bytes([255] * ppm.ORDER) + t.encode() + b"\xff"
+        assert math.isclose(got[i], sum(brute_log10(after, full[k - ppm.ORDER : k], full[k]) for k in range(ppm.ORDER, len(full))), rel_tol=1e-5)
