@@ -655,7 +655,7 @@ def classify_upsert(spark, d):
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """(actor_id, match_id): customers and the suppliers that served their orders."""
     o, li = gm.table(spark, d, "orders"), gm.table(spark, d, "lineitem")
-    return o.join(li.select("l_orderkey", "l_suppkey").distinct(), o.o_orderkey == F.col("l_orderkey")).select(F.col("o_custkey").alias("actor_id"), F.col("l_suppkey").alias("match_id")).where("match_id % 10 = 0").distinct()
+    return o.join(li.select("l_orderkey", "l_suppkey").distinct(), o.o_orderkey == F.col("l_orderkey")).select(F.col("o_custkey").alias("actor_id"), F.col("l_suppkey").alias("match_id")).distinct()
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey a, l_suppkey m FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_suppkey % 10 = 0),
