@@ -176,8 +176,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
 
     Windows are WINDOW consecutive words of an item; an item with fewer words, but not none, is one
     window. Null and empty texts have no words. Items without id, or without words, hit nothing. Rows
-    that repeat both id and text give one row; an id with several texts gives one for each (text_key
-    tells them apart). Other columns are not read.
+    that repeat both id and text give one row; an id with several texts gives one for each (text_key,
+    which equals xxhash64 of the text, null as empty, tells them apart). Other columns are not read.
     """
     prints = common.checkpoint(bench_fingerprints(bench, item_col, item_text))
     bits = docs.sparkSession.sparkContext.broadcast(fingerprint_filter(prints))
@@ -206,7 +206,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
                     o = int(doc[p])
                     rows.setdefault((o, length, int(h[p]), b" ".join(words[p : p + length])), []).append(p - int(starts[o]))
             full = {o for o, *_ in rows}
-            keys = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+            keys = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
             # a document without candidates keeps one row that can't match; its hash spreads such rows
             for o in range(len(texts)):
                 if o not in full:
