@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skirmish.functions import estimators as est
 from skirmish.functions import text as tx
 from skirmish.operators import rates as rt
+from skirmish.operators.discovery import checkpointed
 
 CS = (0.001, 0.01, 0.1, 1.0, 10.0)
 
@@ -19,41 +20,56 @@ CS = (0.001, 0.01, 0.1, 1.0, 10.0)
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """df with its place (from 0) in a total order: sorted by ranges, with the sizes of the ranges before added.
 
-    No task gets more than its range; the sizes are one row for each partition.
+    The sorted rows and their places inside a range are written once (a checkpoint in the shared folder), so the
+    sizes and the rows are of the same ranges. No task gets more than its range; the sizes are one row for each.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    before = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_own", own).join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("place", F.col("_own") + F.col("_before") - 1).drop("_part", "_own", "_before")
+    own = F.monotonically_increasing_id()  # the range in the upper bits, the place inside it in the lower 33
+    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", own)).withColumn("_part", F.shiftright("_at", 33))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(before), "_part").withColumn("place", place).drop("_part", "_at", "_before")
+
+
+def reached(df: DataFrame, n: int, order: list[str], places: list[int]) -> list[Column]:
+    """For each of the places in the order of n rows, whether a row of df is there or later.
+
+    Only the order's columns are sorted; one row for each place goes to the driver. Rows that are equal in all of the
+    order's columns fall on the same side.
+    """
+    inside = sorted({p for p in places if 0 < p < n})
+    keys = numbered(df.select(*order), order).where(F.col("place").isin(inside)).collect() if inside else []
+    at = {r["place"]: F.struct(*[F.lit(r[c]).cast(df.schema[c].dataType).alias(c) for c in order]) for r in keys}
+    return [F.lit(p <= 0) if p not in at else F.struct(*order) >= at[p] for p in places]
 
 
 def time_split(df: DataFrame, val: float = 0.15, test: float = 0.15, order: tuple[str, ...] = ("created_ms", "game_id")) -> DataFrame:
     """Adds split: the last rows in time are test, those before them val (one row at least), the rest train.
 
-    The two borders are exact places in the order, found by a bounded sort of keys only.
+    The two borders are exact places in the order; rows are compared with the keys there and aren't shuffled.
     """
     n = df.count()
     n_val, n_test = max(1, int(n * val)), max(1, int(n * test))
-    rows = numbered(df, list(order))
-    split = F.when(F.col("place") >= n - n_test, "test").when(F.col("place") >= n - n_test - n_val, "val").otherwise("train")
-    return rows.withColumn("split", split).drop("place")
+    in_test, in_val = reached(df, n, list(order), [n - n_test, n - n_test - n_val])
+    return df.withColumn("split", F.when(in_test, "test").when(in_val, "val").otherwise("train"))
 
 
 def version_time_split(df: DataFrame, old: list[str], new: str, part: float = 0.70) -> DataFrame:
     """All of the old versions and the first part of the new one train; half of the rest is val, half test."""
     minor = tx.truncate_version(F.col("patch"), 2)
-    first = numbered(df.where(minor == new), ["created_ms", "game_id"])
-    n = df.where(minor == new).count()
+    late = df.where(minor == new)
+    n = late.count()
     a = int(n * part)
-    b = a + (n - a) // 2
-    split = F.when(F.col("place") < a, "train").when(F.col("place") < b, "val").otherwise("test")
-    return first.withColumn("split", split).drop("place").unionByName(df.where(minor.isin(old)).withColumn("split", F.lit("train")))
+    in_val, in_test = reached(late, n, ["created_ms", "game_id"], [a, a + (n - a) // 2])
+    split = F.when(minor.isin(old) | ~in_val, "train").when(~in_test, "val").otherwise("test")
+    return df.where((minor == new) | minor.isin(old)).withColumn("split", split)
 
 
 def expanding_folds(df: DataFrame, k: int = 5) -> DataFrame:
     """(fold, part, row): for fold i the first i blocks of time train and the next one tests."""
     n = df.count()
-    rows = numbered(df, ["created_ms", "game_id"]).withColumn("block", F.floor(F.col("place") * (k + 1) / max(1, n)).cast("int")).drop("place")
+    starts = reached(df, n, ["created_ms", "game_id"], [-(-b * n // (k + 1)) for b in range(1, k + 1)])
+    rows = df.withColumn("block", sum((x.cast("int") for x in starts), F.lit(0)))
     folds = F.explode(F.sequence(F.greatest(F.col("block"), F.lit(1)), F.lit(k)))
     return rows.withColumn("fold", folds).withColumn("part", F.when(F.col("block") == F.col("fold"), "test").otherwise("train"))
 

@@ -212,3 +212,34 @@ def test_upsert_fills_payloads_and_repeats_safely(spark, tmp_path):
         write(batch([("a", 2, "[2]"), ("b", 2, "[3]"), ("c", 2, None)]), 1)
     got = {(r.game_id, r.created_ms, r.participants_json) for r in spark.read.parquet(f"{tmp_path}/t/v1").collect()}
     assert got == {("a", 1, "[2]"), ("b", 1, "[1]"), ("c", 2, None)}
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_splits_lose_no_row_whatever_is_kept(spark, adaptive):
+    """64 input partitions, payload columns, ties in time: every row keeps its place and its split."""
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 20_000
+        df = spark.range(0, n, 1, 64).selectExpr("id", "floor(id * 7919 % 20000 / 50) created_ms", "cast(id as string) game_id", "repeat('x', cast(id % 40 as int)) payload", "id % 2 blue_wins", "concat('16.', 5 + id % 2, '.1') patch")
+        order = sorted((i * 7919 % n // 50, str(i)) for i in range(n))
+        at = {g: p for p, (_, g) in enumerate(order)}
+        assert {r.game_id: r.place for r in mo.numbered(df, ["created_ms", "game_id"]).collect()} == at
+        got = {r.game_id: r.split for r in mo.time_split(df).select("game_id", "split", "payload").collect()}
+        assert got == {g: "test" if p >= 17_000 else "val" if p >= 14_000 else "train" for g, p in at.items()}
+        assert {(r.split, r.n) for r in mo.split_base_rate(mo.time_split(df)).collect()} == {("train", 14_000), ("val", 3_000), ("test", 3_000)}
+        folds = mo.expanding_folds(df).where("part = 'test'")
+        assert {r.game_id: r.fold for r in folds.select("game_id", "fold", "payload").collect()} == {g: p * 6 // n for g, p in at.items() if p * 6 // n}
+        late = sorted((i * 7919 % n // 50, str(i)) for i in range(1, n, 2))
+        want = {g: "train" if p < 7_000 else "val" if p < 8_500 else "test" for p, (_, g) in enumerate(late)} | {str(i): "train" for i in range(0, n, 2)}
+        assert {r.game_id: r.split for r in mo.version_time_split(df, ["16.5"], "16.6").collect()} == want
+        assert mo.shuffled_labels(df).agg(F.sum("blue_wins"), F.countDistinct("id")).first()[:] == (n // 2, n)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
+def test_splits_of_tiny_tables(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "created_ms long, game_id string")
+    assert {r.game_id: r.split for r in mo.time_split(df).collect()} == {"c": "train", "a": "val", "b": "test"}
+    assert mo.time_split(df.limit(0)).count() == 0
+    assert [r.split for r in mo.time_split(df.limit(1)).collect()] == ["test"]
