@@ -30,7 +30,7 @@ from . import common
 
 SPACE = "▁"
 #: Chunks, and pairs of tokens, that a worker remembers; the table starts anew when full.
-CHUNKS, PAIRS = 450_000, 400_000
+CHUNKS, PAIRS = 200_000, 200_000
 
 
 class PrefixEncoder:
