@@ -584,7 +584,7 @@ def solo_pair_places(spark, d):
 def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, list[int]]:
     rows = mo.time_split(gm.games(spark, d)).withColumn("label", F.col("blue_wins").cast("double"))
     ids = [r["entity_id"] for r in mo.build_vocab(rows.where("split = 'train'")).collect()]  # one row for each entity
-    return mo.two_team_features(rows, ids), ids
+    return dc.checkpointed(mo.two_team_features(rows, ids)), ids
 
 
 @query(rounded=4)
