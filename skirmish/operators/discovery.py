@@ -159,3 +159,29 @@ def leaderboard(runs: DataFrame) -> DataFrame:
     """The latest run of each variant, best validation accuracy first."""
     last = runs.groupBy("variant").agg(F.max_by(F.struct(*[c for c in runs.columns if c != "variant"]), F.col("at")).alias("r"))
     return last.select("variant", "r.*").orderBy(F.desc("val_accuracy"), "variant")
+
+
+def backfill_from(df: DataFrame, other: DataFrame, key: str, other_key: str, column: str, other_column: str) -> DataFrame:
+    """df with zeros of a column filled from the row of other that its key names; zero stays where there is none.
+
+    Of several rows with the key the greatest value counts.
+    """
+    found = other.groupBy(F.col(other_key).alias(key)).agg(F.max(other_column).alias("_found"))
+    rows = df.join(found, key, "left")
+    return rows.withColumn(column, F.when((F.col(column) == 0) & F.col(key).isNotNull(), F.coalesce("_found", column, F.lit(0))).otherwise(F.col(column))).select(*df.columns)
+
+
+def frontier_counts(frontier: DataFrame, actors: DataFrame) -> DataFrame:
+    """(kind, name, n, priority): entries of each status and actors of each source, with the least priority, by which sources are listed."""
+    count = lambda df, c: df.groupBy(F.lit(c).alias("kind"), F.col(c).alias("name")).agg(F.count("*").alias("n"), F.min("priority").alias("priority"))
+    return count(frontier, "status").unionByName(count(actors, "source")).orderBy("kind", "priority", F.desc("n"), "name")
+
+
+def status_snapshot(games: DataFrame, frontier: DataFrame, mode: int) -> DataFrame:
+    """One row: matches in all and of a mode, the mode's latest version with its count and time, its base rate, and the frontier by status."""
+    of = F.col("queue_id") == mode
+    counts = games.agg(F.count("*").alias("total"), F.count_if(of).alias("mode_total"), F.avg(F.when(of, F.col("blue_wins").cast("double"))).alias("base_rate"))
+    patches = games.where(of).groupBy("patch").agg(F.count("*").alias("latest_patch_games"), F.max("created_ms").alias("latest_ms"))
+    latest = patches.agg(F.max(F.struct("latest_ms", "patch", "latest_patch_games")).alias("x")).select(F.col("x.patch").alias("latest_patch"), "x.latest_patch_games", "x.latest_ms")
+    states = frontier.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("pending", "done", "failed")], F.count("*").alias("known"))
+    return counts.crossJoin(F.broadcast(latest)).crossJoin(F.broadcast(states))  # one row each

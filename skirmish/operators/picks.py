@@ -8,18 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.functions import estimators as est
+from skirmish.operators.dimensions import categories_of
+from skirmish.operators.discovery import checkpointed
 
 #: Bounds of a prior strength, what stands for one when there are too few rows, and the places of each search round.
 LOW, HIGH, DEFAULT, STEPS, ROUNDS = 5.0, 5000.0, 350.0, 25, 3
 
 
-def attribute_dim(rows: DataFrame) -> DataFrame:
-    """Dimension of the attributes that occur: rarity and set by the id's remainder."""
-    ids = rows.select("attribute_id").distinct()
-    rarity = F.element_at(F.array(F.lit("kPrismatic"), F.lit("kGold"), F.lit("kSilver")), (F.col("attribute_id") % 3 + 1).cast("int"))
-    return ids.select("attribute_id", rarity.alias("rarity"), F.concat(F.lit("set-"), (F.col("attribute_id") % 9).cast("string")).alias("set"))
-
-
 def with_attribute_dim(df: DataFrame, dim: DataFrame) -> DataFrame:
     """Attribute rows with their dimension; unknown attributes go."""
     return df.join(dim, "attribute_id")
@@ -36,17 +31,16 @@ def negative_log_likelihood(k: Column, prior: str = "baseline") -> Column:
 
 
 def prior_grid(rows: DataFrame, low: float = LOW, high: float = HIGH, prior: str = "baseline") -> DataFrame:
-    """(step, k, nll) over STEPS values of k, even in its logarithm; one pass, the values side by side in each row."""
+    """(n, step, k, nll) over STEPS values of k, even in its logarithm; each row meets each of these values inside the row."""
     ks = [low * (high / low) ** (i / (STEPS - 1)) for i in range(STEPS)]
-    sums = rows.agg(F.count("*").alias("n"), *[F.sum(negative_log_likelihood(F.lit(k), prior)).alias(f"s{i}") for i, k in enumerate(ks)])
-    each = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(k).alias("k"), F.col(f"s{i}").alias("nll")) for i, k in enumerate(ks)])
-    return sums.select("n", F.explode(each).alias("x")).select("n", "x.*")
+    each = rows.select("wins", "games", prior, F.posexplode(F.array(*map(F.lit, ks))).alias("step", "k"))
+    return each.groupBy("step", "k").agg(F.count("*").alias("n"), F.sum(negative_log_likelihood(F.col("k"), prior)).alias("nll")).select("n", "step", "k", "nll")
 
 
 def prior_strength(rows: DataFrame, prior: str = "baseline", least: int = 20) -> float:
     """k of least negative log-likelihood by rounds of ever finer grids; DEFAULT with fewer than ``least`` rows."""
-    low, high = LOW, HIGH
-    best = DEFAULT
+    low, high, best = LOW, HIGH, DEFAULT
+    rows = checkpointed(rows.select("wins", "games", prior))
     for _ in range(ROUNDS):
         grid = prior_grid(rows, low, high, prior).orderBy("nll", "step").limit(1).collect()
         if not grid or grid[0]["n"] < least:
@@ -67,11 +61,15 @@ def prior_strength_moment(rows: DataFrame) -> DataFrame:
     return upper.select("rho", F.coalesce(est.clip(1 / F.col("rho") - 1, LOW, HIGH), F.lit(DEFAULT)).alias("k"))
 
 
-def rank_attributes(attr: DataFrame, k: float, dim: DataFrame) -> DataFrame:
-    """Posterior mean and lower bound of each (entity, attribute), and the bound's lift over the baseline, which ranks it."""
+def rank_attributes(attr: DataFrame, k: float, dim: DataFrame, exact: bool = False) -> DataFrame:
+    """Posterior mean and lower bound of each (entity, attribute), and the bound's lift over the baseline, which ranks it.
+
+    The bound is the tenth part's quantile: exact, or in its normal form.
+    """
     a = est.number("wins") + est.number("baseline") * k
     b = est.number("games") - est.number("wins") + (1 - est.number("baseline")) * k
-    rows = with_attribute_dim(attr, dim).select("*", est.beta_mean(a, b).alias("posterior"), est.beta_quantile_normal(a, b).alias("lcb"))
+    low = est.beta_quantile(0.1, a, b) if exact else est.beta_quantile_normal(a, b)
+    rows = with_attribute_dim(attr, dim).select("*", est.beta_mean(a, b).alias("posterior"), low.alias("lcb"))
     return rows.withColumn("lcb_lift", F.col("lcb") - F.col("baseline")).withColumn("rank_score", F.col("lcb_lift"))
 
 
@@ -83,15 +81,6 @@ def damage_bucket(physical: Column, magic: Column, role: Column) -> Column:
     )
 
 
-def entity_dim(rates: DataFrame) -> DataFrame:
-    """Dimension of the entities that occur: role by the id's remainder, damage shares, front score."""
-    roles = F.array(*[F.lit(r) for r in ("Tank", "Fighter", "Mage", "Marksman", "Support", "Assassin")])
-    e = F.col("entity_id")
-    rows = rates.select(e, F.element_at(roles, (e % 6 + 1).cast("int")).alias("role"), ((e * 13 % 101) / 100.0).cast("double").alias("physical"), (e * 7 % 4).alias("front"))
-    rows = rows.withColumn("magic", F.greatest(F.lit(0.0), 0.95 - F.col("physical")))
-    return rows.withColumn("damage", damage_bucket(F.col("physical"), F.col("magic"), F.col("role")))
-
-
 def pick_totals(picks: DataFrame) -> DataFrame:
     """Picks in all, by role, by role and damage, and by entity, for each rarity and attribute: one pass of grouping sets."""
     return picks.groupingSets(
@@ -102,60 +91,67 @@ def pick_totals(picks: DataFrame) -> DataFrame:
 def pick_lift(attr: DataFrame, dim: DataFrame, entities: DataFrame) -> DataFrame:
     """ln of an entity's smoothed share of picks for an attribute over that of its peers, itself left out.
 
-    Peers are those of role and damage, or of the role where they have too few picks; where that has
-    none, all. Every share is smoothed to the next wider one.
+    The attribute's scope names the peers: those of the role, or of role and damage unless they have too few picks, when it
+    is the role; where that has none, all. Every share is smoothed to the next wider one. ``dim`` has (attribute_id, rarity,
+    scope), ``entities`` (entity_id, role, damage). Counts by entity and attribute are made once; totals come from them.
     """
-    rows = with_attribute_dim(attr.select("entity_id", "attribute_id", "games"), dim).join(entities.select("entity_id", "role", "damage"), "entity_id")
-    m = dim.groupBy("rarity").agg(F.count("*").alias("m"))
-    totals = {"own": ("rarity", "entity_id"), "all": ("rarity",), "role": ("rarity", "role"), "damage": ("rarity", "role", "damage")}
-    rows = rows.join(m, "rarity")
-    # totals of groups are small tables: an aggregate for each level, joined back
-    for name, by in totals.items():
-        rows = rows.join(rows.groupBy(*by).agg(F.sum("games").alias(f"t_{name}")), list(by))
+    rows = attr.select("entity_id", "attribute_id", "games").join(dim.where("rarity <> ''").select("attribute_id", "rarity", "scope"), "attribute_id")
+    rows = checkpointed(rows.join(entities.select("entity_id", "role", "damage"), "entity_id"))
+    levels = {"own": ("rarity", "entity_id"), "all": ("rarity",), "role": ("rarity", "role"), "damage": ("rarity", "role", "damage")}
+    own = rows
+    own = own.join(rows.groupBy("rarity").agg(F.count_distinct("attribute_id").alias("m")), "rarity")
+    for name, by in levels.items():
+        own = own.join(rows.groupBy(*by).agg(F.sum("games").alias(f"t_{name}")), list(by))
         if name != "own":
-            rows = rows.join(rows.groupBy(*by, "attribute_id").agg(F.sum("games").alias(f"c_{name}")), [*by, "attribute_id"])
+            own = own.join(rows.groupBy(*by, "attribute_id").agg(F.sum("games").alias(f"c_{name}")), [*by, "attribute_id"])
     d = est.number
     overall = (d("c_all") + 0.5) / (d("t_all") + 0.5 * d("m"))
-    use_damage = (F.col("t_damage") - F.col("t_own")) >= F.greatest(F.lit(50), 2 * F.col("m"))
+    use_damage = (F.col("scope") == "role_damage") & ((F.col("t_damage") - F.col("t_own")) >= F.greatest(F.lit(50), 2 * F.col("m")))
     peer_total = F.when(use_damage, F.col("t_damage")).otherwise(F.col("t_role")) - F.col("t_own")
     peer_count = F.when(use_damage, F.col("c_damage")).otherwise(F.col("c_role")) - F.col("games")
     peer = F.when(peer_total <= 0, overall).otherwise((d(peer_count) + 0.5 * d("m") * overall) / (d(peer_total) + 0.5 * d("m")))
-    own = (d("games") + 0.5 * d("m") * peer) / (d("t_own") + 0.5 * d("m"))
-    return rows.select("entity_id", "attribute_id", "rarity", "games", peer.alias("peer_share"), own.alias("share"), F.log(own / peer).alias("pick_lift"))
+    share = (d("games") + 0.5 * d("m") * peer) / (d("t_own") + 0.5 * d("m"))
+    scope = F.when(use_damage, "role_damage").otherwise("role")
+    return own.select("entity_id", "attribute_id", "rarity", "games", scope.alias("peer_scope"), peer.alias("peer_share"), share.alias("share"), F.log(share / peer).alias("pick_lift"))
 
 
-def category_counts(players: DataFrame, dim: DataFrame, rates: DataFrame) -> DataFrame:
-    """Games, wins and summed baselines by (entity, set) and by set; a participant counts once for each set.
+def category_counts(players: DataFrame, dim: DataFrame, rates: DataFrame, categories: str = "categories", name: str = "category") -> DataFrame:
+    """Games, wins and baseline by (entity, category); a participant counts once for each category. ``dim`` has (attribute_id, array)."""
+    rows = categories_of(players, dim, categories, name).groupBy("entity_id", name).agg(F.count("*").alias("games"), F.sum("win").cast("long").alias("wins"))
+    return with_baseline(rows, rates)
 
-    The sets of a participant's attributes are made distinct inside the row, so nothing is shuffled before the aggregate.
-    """
-    sets = F.array_distinct(F.transform("attributes", lambda a: F.concat(F.lit("set-"), (a % 9).cast("string"))))
-    rows = with_baseline(players.select("entity_id", "win", F.explode(sets).alias("set")), rates)
-    return rows.groupBy("entity_id", "set").agg(F.count("*").alias("games"), F.sum("win").cast("long").alias("wins"), F.max("baseline").alias("baseline"))
 
+def category_prior_strength(rows: DataFrame) -> float:
+    """Strength of the prior that rows (wins, games, prior) show; DEFAULT with fewer than eight."""
+    return prior_strength(rows, "prior", 8)
 
-def category_affinity(counts: DataFrame, k: float = DEFAULT, min_games: int = 45, fallback: int = 15) -> DataFrame:
+
+def category_affinity(counts: DataFrame, k: float | None = None, min_games: int = 45, fallback: int = 15, exact: bool = True, name: str = "category") -> DataFrame:
     """Posterior of each (entity, category) around the entity's rate plus the category's mean lift, with bounds of the residual.
 
-    Rows under ``min_games`` stay from ``fallback`` games on, marked as not primary.
+    ``k`` is estimated unless given. Rows under ``min_games`` stay from ``fallback`` games on, marked as not primary. The
+    bounds are the quantiles of one and nine tenths, exact or in their normal form.
     """
-    mean = counts.groupBy("set").agg(((F.sum("wins") - F.sum(F.col("baseline") * F.col("games"))) / F.sum("games")).alias("avg_lift"))
-    rows = counts.where(F.col("games") >= fallback).join(mean, "set")
-    prior = est.clip(F.col("baseline") + F.col("avg_lift"), 1e-4, 1 - 1e-4)
-    a, b = est.number("wins") + prior * k, est.number("games") - est.number("wins") + (1 - prior) * k
-    rows = rows.select("entity_id", "set", "games", "wins", "baseline", "avg_lift", est.beta_mean(a, b).alias("posterior"), prior.alias("prior"), est.beta_quantile_normal(a, b).alias("_low"), est.beta_quantile_normal(a, b, est.Z90).alias("_high"))
+    mean = counts.groupBy(name).agg(((F.sum("wins") - F.sum(F.col("baseline") * F.col("games"))) / F.sum("games")).alias("avg_lift"))
+    rows = counts.where(F.col("games") >= fallback).join(mean, name).withColumn("prior", est.clip(F.col("baseline") + F.col("avg_lift"), 1e-4, 1 - 1e-4))
+    if k is None:
+        rows = checkpointed(rows)
+        k = category_prior_strength(rows)
+    a, b = est.number("wins") + est.number("prior") * k, est.number("games") - est.number("wins") + (1 - est.number("prior")) * k
+    low, high = (est.beta_quantile(0.1, a, b), est.beta_quantile(0.9, a, b)) if exact else (est.beta_quantile_normal(a, b), est.beta_quantile_normal(a, b, est.Z90))
+    rows = rows.select("entity_id", name, "games", "wins", "baseline", "avg_lift", est.beta_mean(a, b).alias("posterior"), "prior", low.alias("_low"), high.alias("_high"))
     return rows.select(
-        "entity_id", "set", "games", "wins", "posterior", (F.col("posterior") - F.col("baseline")).alias("lift"), (F.col("posterior") - F.col("prior")).alias("residual"),
-        (F.col("_low") - F.col("prior")).alias("lcb"), (F.col("_high") - F.col("prior")).alias("ucb"), (F.col("games") >= min_games).alias("primary_sample"),
+        "entity_id", name, "games", "wins", "posterior", (F.col("posterior") - F.col("baseline")).alias("lift"), (F.col("posterior") - F.col("prior")).alias("residual"),
+        (F.col("_low") - F.col("prior")).alias("lcb"), (F.col("_high") - F.col("prior")).alias("ucb"), (F.col("games") >= min_games).alias("primary_sample"), F.lit(float(k)).alias("prior_strength"),
     )
 
 
-def top_bottom_affinity(df: DataFrame, n: int = 4) -> DataFrame:
-    """First n by lower and last n by upper bound of each entity; among primary rows if it has any."""
+def top_bottom_affinity(df: DataFrame, n: int = 4, name: str = "category") -> DataFrame:
+    """First n by lower bound and first n by least upper bound of each entity, then by residual, games and name; among primary rows if it has any."""
     some = F.max(F.col("primary_sample").cast("int")).over(Window.partitionBy("entity_id"))
     rows = df.withColumn("_some", some).where(F.col("primary_sample") | (F.col("_some") == 0))
-    top = Window.partitionBy("entity_id").orderBy(F.desc("lcb"), F.desc("games"), "set")
-    low = Window.partitionBy("entity_id").orderBy("ucb", F.desc("games"), "set")
+    top = Window.partitionBy("entity_id").orderBy(F.desc("lcb"), F.desc("residual"), F.desc("games"), name)
+    low = Window.partitionBy("entity_id").orderBy("ucb", "residual", "games", name)
     rows = rows.withColumn("top_rank", F.row_number().over(top)).withColumn("bottom_rank", F.row_number().over(low)).drop("_some")
     return rows.where((F.col("top_rank") <= n) | (F.col("bottom_rank") <= n))
 

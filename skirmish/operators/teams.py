@@ -7,74 +7,120 @@ from pyspark.sql import functions as F
 
 from skirmish.functions import estimators as est
 
-#: What a team of five needs at least of each score, and weights of the composition tables.
-THRESHOLDS = {"front": 5.0, "physical": 1.5, "magic": 1.0}
-WEIGHTS = {"lacks": 0.5, "front": 0.3, "damage": 0.2}
-
-
-def team_composition(teams: DataFrame, entities: DataFrame, key: str = "game_id") -> DataFrame:
-    """For each team: size, sums, strong fronts, roles, what it lacks of a team of five in proportion, and bins of its shares.
-
-    ``teams`` has (key, team array). The team is exploded, joined with the entities' profiles, and summed.
+#: What a team of five needs at least of each score; weights of the tables; and the tables, each a line of key=value.
+THRESHOLDS = {"wave": 3.0, "cc": 3.0, "engage": 2.2, "damage_score": 5.5, "poke": 2.0, "sustain": 1.5, "front": 1.8}
+WEIGHTS = {"ad_front": 0.55, "poke_front": 0.30, "wave_engage": 0.15, "all_lacks": 0.15, "mage_ad": 0.20, "marksman_ad": 0.20}
+TABLES = {
+    "ad_front": """
+        0 front|<35% AD: -0.0393; 0 front|35-45% AD: 0.0181; 0 front|45-55% AD: -0.0189; 0 front|55-65% AD: -0.0201; 0 front|>=65% AD: -0.0383;
+        1 front|<35% AD: -0.0019; 1 front|35-45% AD: 0.0187; 1 front|45-55% AD: 0.0149; 1 front|55-65% AD: 0.0185; 1 front|>=65% AD: -0.0037;
+        2+ front|<35% AD: -0.0146; 2+ front|35-45% AD: 0.0160; 2+ front|45-55% AD: 0.0097; 2+ front|55-65% AD: -0.0148; 2+ front|>=65% AD: -0.0388""",
+    "poke_front": """
+        0 front|poke lack: -0.0447; 0 front|poke ok: -0.0164; 1 front|poke lack: 0.0228; 1 front|poke ok: 0.0102; 2+ front|poke lack: -0.0497; 2+ front|poke ok: -0.0006""",
+    "wave_engage": """
+        wave lack|engage lack: -0.0160; wave lack|engage ok: -0.0105; wave ok|engage lack: 0.0073; wave ok|engage ok: 0.0002""",
+    "all_lacks": "0: 0.0026; 1: -0.0053; 2+: -0.0119",
+    "mage_ad": """
+        0|>=65% AD: -0.0499; 1|35-45% AD: 0.0006; 1|45-55% AD: -0.0118; 1|55-65% AD: -0.0042; 1|>=65% AD: -0.0285;
+        2+|<35% AD: -0.0135; 2+|35-45% AD: 0.0187; 2+|45-55% AD: 0.0110; 2+|55-65% AD: 0.0013; 2+|>=65% AD: -0.0099""",
+    "marksman_ad": """
+        0|<35% AD: -0.0266; 0|35-45% AD: -0.0141; 0|45-55% AD: -0.0037; 0|55-65% AD: -0.0354;
+        1|<35% AD: -0.0030; 1|35-45% AD: 0.0267; 1|45-55% AD: 0.0176; 1|55-65% AD: -0.0063; 1|>=65% AD: -0.0153;
+        2+|<35% AD: -0.0318; 2+|35-45% AD: 0.0188; 2+|45-55% AD: -0.0016; 2+|55-65% AD: 0.0071; 2+|>=65% AD: -0.0299""",
+}
+#: Weight of a composition's change and its bound, and of the nearness of the physical share to its target.
+COMPOSITION_WEIGHT, COMPOSITION_CLAMP, MIX_TARGET, MIX_WEIGHT, MIX_CLAMP = 0.25, 0.05, 0.40, 0.18, 0.025
+
+
+def table_entries(tables: dict[str, str] = TABLES) -> list[tuple[str, str, float]]:
+    """(table, key, value) of all tables."""
+    return [(t, *(kind(x.strip()) for kind, x in zip((str, float), entry.rsplit(":", 1), strict=True))) for t, text in tables.items() for entry in text.split(";")]
+
+
+def team_composition(teams: DataFrame, entities: DataFrame, key: str = "game_id", thresholds: dict[str, float] = THRESHOLDS) -> DataFrame:
+    """For each team: size, sums, strong fronts, roles, what it lacks of a team of five in proportion, and groups of these.
+
+    ``teams`` has (key, team array). The team is exploded, joined with the entities' profiles, and summed. Members
+    without a profile count for the size only.
     """
-    rows = teams.select(key, F.explode("team").alias("entity_id")).join(entities, "entity_id")
+    rows = teams.select(key, F.explode("team").alias("entity_id")).join(entities, "entity_id", "left")
+    total = lambda c: F.coalesce(F.round(F.sum(F.col(c).cast("decimal(20,6)")), 6).cast("double"), F.lit(0.0)).alias(c)
     sums = rows.groupBy(key).agg(
-        F.count("*").alias("size"), F.sum("front").alias("front"), F.round(F.sum(F.col("physical").cast("decimal(20,6)")), 6).cast("double").alias("physical"),
-        F.round(F.sum(F.col("magic").cast("decimal(20,6)")), 6).cast("double").alias("magic"),
+        F.count("*").alias("size"), *[total(c) for c in ("physical", "magic", *thresholds)],
         F.count_if(F.col("front") >= 2).alias("fronts"), F.count_if(F.col("role") == "Mage").alias("mages"), F.count_if(F.col("role") == "Marksman").alias("marksmen"),
     )
-    lack = lambda c: F.col(c) < F.lit(THRESHOLDS[c]) * F.col("size") / 5
-    share = F.col("physical") / (F.col("physical") + F.col("magic"))
-    count_group = lambda c: F.when(F.col(c) < 0.5, "none").when(F.col(c) < 1.5, "one").otherwise("more")
-    return sums.select(
-        "*", *[lack(c).alias(f"lacks_{c}") for c in THRESHOLDS], share.alias("ad_share"),
-        F.when(share < 0.3, "magic").when(share < 0.5, "mixed").otherwise("physical").alias("damage_bin"), count_group("fronts").alias("front_group"),
-    ).withColumn("lacks", F.concat_ws("+", *[F.when(F.col(f"lacks_{c}"), F.lit(c)) for c in THRESHOLDS]))
-
-
-def composition_tables(comp: DataFrame, labels: DataFrame, key: str = "game_id") -> DataFrame:
-    """(table, key, value) from results: mean of y less a half for each value of each composition column."""
-    rows = comp.join(labels, key)
-    each = F.array(*[F.struct(F.lit(t).alias("table"), c.alias("value_key")) for t, c in (("lacks", F.col("lacks")), ("front", F.col("front_group")), ("damage", F.col("damage_bin")))])
-    rows = rows.select("y", F.explode(each).alias("x")).select("x.*", "y")
-    return rows.groupBy("table", "value_key").agg(F.count("*").alias("games"), (F.sum("y") / F.count("*") - 0.5).alias("value"))
+    lack = lambda c: F.col(c) < F.lit(thresholds[c]) * F.col("size") / 5
+    both = F.col("physical") + F.col("magic")
+    rows = sums.select("*", *[lack(c).alias(f"lacks_{c}") for c in thresholds], F.when(both > 0, F.col("physical") / both).otherwise(0.5).alias("ad_share"))
+    lacks = sum((F.col(f"lacks_{c}").cast("int") for c in thresholds), F.lit(0))
+    s = F.col("ad_share")
+    bins = F.when(s < 0.35, "<35% AD").when(s < 0.45, "35-45% AD").when(s < 0.55, "45-55% AD").when(s < 0.65, "55-65% AD").otherwise(">=65% AD")
+
+    def group(n: Column) -> Column:
+        whole = n * 5 / F.col("size")
+        return F.when(whole < 0.5, "0").when(whole < 1.5, "1").otherwise("2+")
+
+    said = lambda c: F.when(F.col(f"lacks_{c}"), f"{c} lack").otherwise(f"{c} ok").alias(f"{c}_group")
+    return rows.select(
+        "*", bins.alias("ad_bin"), F.concat(group(F.col("fronts")), F.lit(" front")).alias("front_group"), group(F.col("mages")).alias("mage_group"), group(F.col("marksmen")).alias("marksman_group"),
+        *[said(c) for c in ("wave", "engage", "poke")], group(lacks).alias("lacks_group"),
+    )
 
 
 def lookup_score(df: DataFrame, tables: DataFrame, table: str, column: str) -> DataFrame:
-    """Adds the table's value for a column, 0 where it has none."""
+    """Adds the table's value for a column, 0 where it has none. ``tables`` has (table, value_key, value)."""
     own = tables.where(F.col("table") == table).select(F.col("value_key").alias(column), F.col("value").alias(f"score_{table}"))
     return df.join(own, column, "left").withColumn(f"score_{table}", F.coalesce(f"score_{table}", F.lit(0.0)))
 
 
-def composition_score(comp: DataFrame, tables: DataFrame) -> DataFrame:
-    """Weighted sum of the tables' values, within .05 either way, in proportion to how full the team is."""
-    for table, column in (("lacks", "lacks"), ("front", "front_group"), ("damage", "damage_bin")):
-        comp = lookup_score(comp, tables, table, column)
-    total = sum((F.col(f"score_{t}") * w for t, w in WEIGHTS.items()), F.lit(0.0))
-    return comp.withColumn("composition_score", est.clip(total, -0.05, 0.05) * est.clip((F.col("size") - 1) / 4, 0, 1))
+def composition_score(comp: DataFrame, tables: DataFrame | None = None, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """Weighted sum of six tables' values, within .05 either way, in proportion to how full the team is."""
+    if tables is None:
+        tables = comp.sparkSession.createDataFrame(table_entries(), "table string, value_key string, value double")
+    keys = {
+        "ad_front": ("front_group", "ad_bin"), "poke_front": ("front_group", "poke_group"), "wave_engage": ("wave_group", "engage_group"), "all_lacks": ("lacks_group",),
+        "mage_ad": ("mage_group", "ad_bin"), "marksman_ad": ("marksman_group", "ad_bin"),
+    }
+    for table, columns in keys.items():
+        comp = lookup_score(comp.withColumn("_key", F.concat_ws("|", *columns)), tables, table, "_key").drop("_key")
+    total = sum((F.col(f"score_{t}") * w for t, w in weights.items()), F.lit(0.0))
+    return comp.withColumn("composition_score", est.clip(total, -COMPOSITION_CLAMP, COMPOSITION_CLAMP) * est.clip((F.col("size") - 1) / 4, 0, 1))
 
 
 def damage_mix_score(share: Column, fix_ad_share: bool = True) -> Column:
-    """Nearness of the physical share to .40; without the fix the share counts as .5, as it always did."""
-    return est.clip(-F.abs((share if fix_ad_share else F.lit(0.5)) - 0.40) * 0.18, -0.025, 0.025)
+    """Nearness of the physical share to its target; without the fix the share counts as .5, as it always did."""
+    return -F.abs((share if fix_ad_share else F.lit(0.5)) - MIX_TARGET)
 
 
-def recommend(rolled: DataFrame, rates: DataFrame, picks: list[int], limit: int = 12) -> DataFrame:
-    """Candidates by pair fit over the picks, then coverage, z, own rate, games, id; the worst one takes the last place.
+def recommend(rolled: DataFrame, rates: DataFrame, picks: list[int], entities: DataFrame | None = None, limit: int = 12, fix_ad_share: bool = True) -> DataFrame:
+    """Candidates by fit, then pair fit, mean lift, mean z, coverage, games, id; the worst one takes the last place.
 
-    ``rolled`` is rollup_candidates(); both ends are bounded sorts.
+    ``rolled`` is rollup_candidates(). With the entities' profiles the fit adds what the candidate changes in the
+    composition's score and in the mix of damage, more the more picks it was seen beside. Both ends are bounded sorts.
     """
     own = rates.select(F.col("entity_id").alias("candidate"), est.bayes_rate("wins", "games").alias("solo"))
-    rows = rolled.join(own, "candidate").withColumn("pair_fit", F.col("sum_lift") / len(picks)).withColumn("avg_z", F.col("sum_z") / F.col("coverage"))
-    keys = ["pair_fit", "coverage", "avg_z", "solo", "min_games"]
+    rows = rolled.join(own, "candidate").withColumn("pair_fit", F.col("sum_lift") / len(picks)).withColumn("avg_lift", F.col("sum_lift") / F.col("coverage")).withColumn("avg_z", F.col("sum_z") / F.col("coverage"))
+    if entities is None:
+        rows = rows.withColumn("composition_delta", F.lit(0.0)).withColumn("mix_delta", F.lit(0.0))
+    else:
+        team = F.array(*[F.lit(p).cast("long") for p in picks])
+        teams = rows.select("candidate", F.concat(team, F.array("candidate")).alias("team")).unionByName(rates.sparkSession.range(1).select(F.lit(None).cast("long").alias("candidate"), team.alias("team")))
+        comp = composition_score(team_composition(teams, entities, "candidate")).select("candidate", "composition_score", damage_mix_score(F.col("ad_share"), fix_ad_share).alias("mix"))
+        before = comp.where("candidate IS NULL").select(F.col("composition_score").alias("_score"), F.col("mix").alias("_mix"))
+        rows = rows.join(comp, "candidate").crossJoin(F.broadcast(before))  # one row
+        rows = rows.withColumn("composition_delta", F.col("composition_score") - F.col("_score")).withColumn("mix_delta", F.col("mix") - F.col("_mix")).drop("composition_score", "mix", "_score", "_mix")
+    sure = 0.5 + 0.5 * F.col("coverage") / len(picks)
+    fit = F.col("pair_fit") + COMPOSITION_WEIGHT * F.col("composition_delta") * sure + est.clip(MIX_WEIGHT * F.col("mix_delta") * sure, -MIX_CLAMP, MIX_CLAMP)
+    rows = rows.withColumn("fit", fit).withColumn("_fit", F.round("fit", 12))
+    keys = ["_fit", "pair_fit", "avg_lift", "avg_z", "coverage", "min_games"]
     top = rows.orderBy(*[F.desc(k) for k in keys], "candidate").limit(limit - 1)
     worst = rows.join(top.select("candidate"), "candidate", "left_anti").orderBy(*[F.asc(k) for k in keys], F.desc("candidate")).limit(1)
-    return top.withColumn("place", F.lit("best")).unionByName(worst.withColumn("place", F.lit("worst")))
+    return top.withColumn("place", F.lit("best")).unionByName(worst.withColumn("place", F.lit("worst"))).drop("_fit")
 
 
 def recommendation_labels(rows: DataFrame, picks: int) -> DataFrame:
     """Words for strength, confidence and the reason of a recommendation."""
-    fit = F.col("pair_fit")
+    fit = F.col("fit")
     strength = F.when(fit >= 0.05, "very strong").when(fit >= 0.03, "strong").when(fit >= 0.01, "good").when(fit > -0.01, "neutral").otherwise("poor")
     sure = F.when((F.col("coverage") >= picks) & (F.col("min_games") >= 40) & (F.col("avg_z") >= 1), "high").when(F.col("coverage") * 2 >= picks, "medium").otherwise("low")
     reason = F.when(fit < 0, "works against the team").when(F.col("coverage") < picks, "little data beside some").otherwise("wins beside the team")

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from skirmish.functions import estimators as est
 from skirmish.functions import text as tx
+from skirmish.operators import dimensions as dims
 from skirmish.operators import discovery as dc
+from skirmish.operators import mart
 from skirmish.operators import matches as ma
 from skirmish.operators import models as mo
 from skirmish.operators import picks as pk
@@ -190,7 +192,7 @@ rb AS (SELECT *, x/(x+y) posterior, greatest(0, least(1, x/(x+y) - 1.28155156554
 def ranked(spark: SparkSession, d: str) -> DataFrame:
     p = gm.players(spark, d)
     attr, r = rt.entity_attribute_rates(p), rt.entity_rates(p)
-    return pk.rank_attributes(pk.with_baseline(attr, r), 350.0, pk.attribute_dim(attr))
+    return pk.rank_attributes(pk.with_baseline(attr, r), 350.0, gm.attribute_dim(spark))
 
 
 @query(RANKED + " SELECT entity_id, attribute_id, rarity, games, wins, round(posterior, 6) posterior, round(lcb, 6) lcb, round(lcb - b, 6) rank_score FROM rb")
@@ -227,7 +229,19 @@ def eb_prior_grid(spark, d):
     return pk.prior_grid(pk.with_baseline(rt.entity_attribute_rates(p), rt.entity_rates(p))).select("step", "k", "nll")
 
 
-@query()
+def strength_sql(rows: str, prior: str, least: int) -> str:
+    """CTEs that end in kk(k): three rounds of 25 values over a relation with wins, games and a prior."""
+    nll = "sum(-(lgamma(wins+q*k)+lgamma(games-wins+(1-q)*k)-lgamma(games+k)-lgamma(q*k)-lgamma((1-q)*k)+lgamma(k)))"
+    out, low, high = [f"qq AS (SELECT wins, games, greatest(least({prior}, 0.9999), 0.0001) q FROM {rows})"], "5.0::DOUBLE", "5000.0::DOUBLE"
+    for i in range(3):
+        bounds = f"SELECT {low} lo, {high} hi" + (f" FROM kb{i - 1}" if i else "")
+        out.append(f"kl{i} AS ({bounds}), kg{i} AS (SELECT i step, lo*pow(hi/lo, i/24.0::DOUBLE) k, ln(hi/lo)/24 w FROM range(25) t(i), kl{i})")
+        out.append(f"kb{i} AS (SELECT k, w FROM (SELECT step, k, w, {nll} nll FROM qq, kg{i} GROUP BY 1, 2, 3) ORDER BY nll, step LIMIT 1)")
+        low, high = "greatest(5.0::DOUBLE, k*exp(-w))", "least(5000.0::DOUBLE, k*exp(w))"
+    return ", " + ", ".join([*out, f"kk AS (SELECT CASE WHEN (SELECT count(*) FROM qq) < {least} THEN 350.0::DOUBLE ELSE k END k FROM kb2)"])
+
+
+@query(ATTRS + strength_sql("ar JOIN eb USING (entity_id)", "b", 20) + " SELECT entity_id, attribute_id, round(k, 6) k, round((wins + b*k)/(games + k), 6) posterior FROM ar JOIN eb USING (entity_id), kk")
 def eb_prior_strength(spark, d):
     """Strength found by the finer grids; the posterior mean it gives for each attribute."""
     p = gm.players(spark, d)
@@ -247,9 +261,32 @@ SETS = ATTRS + """, st AS (SELECT entity_id, 'set-' || s "set", count(*) games,
 al AS (SELECT "set", (sum(wins) - sum(baseline*games))/sum(games) avg_lift FROM st GROUP BY 1)"""
 
 
+def quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def any_sql(text: str, words: str) -> str:
+    return "(" + " OR ".join(f"contains({text}, {quoted([w])})" for w in words.split(",")) + ")"
+
+
+SAID = ",".join([*dims.TYPE_WORDS.values(), dims.DAMAGE_WORDS]).split(",")
+AD = f""", ad AS (SELECT attribute_id, slug, CASE WHEN {any_sql('txt', dims.DAMAGE_WORDS)} THEN 'role_damage' ELSE 'role' END "scope",
+ list_sort(list_distinct(list_concat([x FOR x IN [{', '.join(f"CASE WHEN {any_sql('txt', w)} THEN '{t}' END" for t, w in dims.TYPE_WORDS.items())}] IF x IS NOT NULL],
+ CASE slug {' '.join(f"WHEN '{k}' THEN [{quoted(v.split(','))}]" for k, v in dims.SET_TYPES.items())} END))) types
+ FROM (SELECT 1000+i attribute_id, [{quoted(dims.SET_TYPES)}][i % 9 + 1] slug, [{quoted(SAID)}][(i*7) % {len(SAID)} + 1] || ' ' || [{quoted(SAID)}][(i*11+5) % {len(SAID)} + 1] txt FROM range(60) t(i)))"""
+TYPES = ATTRS + AD + """, st AS (SELECT entity_id, category, count(*) games, CAST(sum(win) AS BIGINT) wins, any_value(b) baseline FROM (SELECT DISTINCT game_id, entity_id, win, unnest(types) category FROM a JOIN ad USING (attribute_id)) JOIN eb USING (entity_id) GROUP BY 1, 2),
+al AS (SELECT category, (sum(wins) - sum(baseline*games))/sum(games) avg_lift FROM st GROUP BY 1),
+af AS (SELECT *, greatest(least(baseline + avg_lift, 0.9999), 0.0001) pr FROM st JOIN al USING (category) WHERE games >= 15)"""
+
+
 def set_counts(spark: SparkSession, d: str) -> DataFrame:
     p = gm.players(spark, d)
-    return pk.category_counts(p, pk.attribute_dim(rt.with_attributes(p)), rt.entity_rates(p))
+    return pk.category_counts(p, gm.attribute_dim(spark).withColumn("categories", F.array("set")), rt.entity_rates(p), name="set")
+
+
+def type_counts(spark: SparkSession, d: str) -> DataFrame:
+    p = gm.players(spark, d)
+    return pk.category_counts(p, gm.attribute_dim(spark), rt.entity_rates(p), "types")
 
 
 @query(SETS + ' SELECT entity_id, "set", games, wins, round(baseline, 6) baseline, round(avg_lift, 6) avg_lift, round((wins+baseline*30)/(games+30), 6) smoothed, round((wins+baseline*30)/(games+30) - baseline, 6) lift, round((wins+baseline*30)/(games+30) - baseline - avg_lift, 6) residual FROM st JOIN al USING ("set")')
@@ -261,7 +298,7 @@ def set_affinity(spark, d):
 def set_rates_from_attributes(spark, d):
     p = gm.players(spark, d)
     attr = rt.entity_attribute_rates(p)
-    return pk.set_rates_from_attributes(attr, pk.attribute_dim(attr), rt.entity_rates(p))
+    return pk.set_rates_from_attributes(attr, gm.attribute_dim(spark), rt.entity_rates(p))
 
 
 AFF = SETS + """, af AS (SELECT *, greatest(least(baseline + avg_lift, 0.9999), 0.0001) pr FROM st JOIN al USING ("set") WHERE games >= 15),
@@ -270,37 +307,104 @@ ag AS (SELECT *, wins + pr*350 x, games - wins + (1-pr)*350 y FROM af), ah AS (S
 
 @query(AFF + ' SELECT entity_id, "set", games, wins, round(m, 6) posterior, round(m - baseline, 6) lift, round(m - pr, 6) residual, round(greatest(0, least(1, m - 1.2815515655446004::DOUBLE*sd)) - pr, 6) lcb, round(greatest(0, least(1, m + 1.2815515655446004::DOUBLE*sd)) - pr, 6) ucb, games >= 45 primary_sample FROM ah')
 def category_affinity_normal(spark, d):
-    return pk.category_affinity(set_counts(spark, d))
+    return pk.category_affinity(set_counts(spark, d), 350.0, exact=False, name="set").drop("prior_strength")
+
+
+BOUND = "round(greatest(0, least(1, m {0} 1.2815515655446004::DOUBLE*sd)) - pr, 6)"
+
+
+@query(TYPES + strength_sql("af", "pr", 8) + f""", ag AS (SELECT *, wins + pr*k x, games - wins + (1-pr)*k y FROM af, kk), ah AS (SELECT *, x/(x+y) m, sqrt(x*y/((x+y)*(x+y)*(x+y+1))) sd FROM ag)
+SELECT entity_id, category, games, wins, round(m, 6) posterior, round(m - baseline, 6) lift, round(m - pr, 6) residual, {BOUND.format('-')} lcb, {BOUND.format('+')} ucb, games >= 45 primary_sample, round(k, 6) prior_strength FROM ah""")
+def type_affinity_normal(spark, d):
+    """Affinities to attribute types with the strength of the prior that the rows show."""
+    return pk.category_affinity(type_counts(spark, d), exact=False)
 
 
 @query()
+def type_affinity(spark, d):
+    """The same with exact quantiles, which SQL hasn't."""
+    return pk.category_affinity(type_counts(spark, d))
+
+
+@query()
+def ranked_attributes_exact(spark, d):
+    """Attributes ranked by the exact tenth-part quantile; SQL has none."""
+    p = gm.players(spark, d)
+    attr, r = rt.entity_attribute_rates(p), rt.entity_rates(p)
+    return pk.rank_attributes(pk.with_baseline(attr, r), 350.0, gm.attribute_dim(spark), exact=True).select("entity_id", "attribute_id", "games", "wins", "posterior", "lcb", "rank_score")
+
+
+@query(AFF + """, aj AS (SELECT *, m - 1.2815515655446004::DOUBLE*sd lo, m + 1.2815515655446004::DOUBLE*sd hi, m - pr res, games >= 45 prim, max(CASE WHEN games >= 45 THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id) n_prim FROM ah),
+ak AS (SELECT entity_id, "set", row_number() OVER (PARTITION BY entity_id ORDER BY greatest(0, least(1, lo)) - pr DESC, res DESC, games DESC, "set") top_rank, row_number() OVER (PARTITION BY entity_id ORDER BY greatest(0, least(1, hi)) - pr, res, games, "set") bottom_rank FROM aj WHERE prim OR n_prim = 0)
+SELECT * FROM ak WHERE top_rank <= 4 OR bottom_rank <= 4""")
 def top_bottom_affinity(spark, d):
-    return pk.top_bottom_affinity(pk.category_affinity(set_counts(spark, d)))
+    rows = pk.category_affinity(set_counts(spark, d), 350.0, exact=False, name="set")
+    return pk.top_bottom_affinity(rows, name="set").select("entity_id", "set", "top_rank", "bottom_rank")
+
+
+KINDS, NAMES = list(gm.CATEGORIES), [*",".join(dims.ITEM_WORDS.values()).split(","), *["plain"] * 100]
+
+
+def style_sql() -> str:
+    has = lambda *some: f"list_has_any(c, [{quoted(some)}])"
+    w = {k: any_sql("lower(nm)", v) for k, v in dims.ITEM_WORDS.items()}
+    spell, pierce, hard, hit = f"({has('SpellDamage')} OR contains(lower(nm), 'ability power'))", has("ArmorPenetration", "Lethality"), has("Health", "Armor", "SpellBlock", "MagicResist"), has("OnHit", "AttackSpeed")
+    harm = has("Damage", "ArmorPenetration", "Lethality")
+    return f"""CASE WHEN price < 1800 THEN NULL WHEN {has('HealAndShieldPower')} OR {w['support']} THEN 'support' WHEN {has('CriticalStrike')} THEN 'crit'
+ WHEN {spell} THEN CASE WHEN {w['ap_onhit']} OR ({hit} AND NOT {has('Damage')}) THEN 'ap_onhit' WHEN {w['ap_burn']} THEN 'ap_burn' WHEN {w['ap_bruiser']} THEN 'ap_bruiser' WHEN {w['ap_burst']} THEN 'ap_burst' WHEN {hard} AND NOT {has('MagicPenetration')} THEN 'ap_bruiser' ELSE 'ap_burst' END
+ WHEN {harm} AND (contains(lower(nm), 'manamune') OR contains(lower(nm), 'muramana')) THEN 'ad_poke' WHEN {hit} THEN 'onhit'
+ WHEN {harm} THEN CASE WHEN {w['ad_poke']} THEN 'ad_poke' WHEN {w['ad_assassin']} THEN 'ad_assassin' WHEN {w['ad_bruiser']} THEN 'ad_bruiser' WHEN {has('Health', 'Armor', 'SpellBlock', 'MagicResist', 'LifeSteal', 'SpellVamp', 'Tenacity')} THEN 'ad_bruiser'
+  WHEN {pierce} AND {has('Active', 'NonbootsMovement', 'Slow', 'Stealth')} THEN 'ad_assassin' WHEN {pierce} AND {has('AbilityHaste', 'CooldownReduction', 'Mana')} THEN 'ad_poke' WHEN {pierce} THEN 'ad_assassin' ELSE 'ad_bruiser' END
+ WHEN {hard} THEN 'tank' END"""
+
+
+ITEMS = f""", it AS (SELECT *, {style_sql()} style FROM (SELECT k item_id, p_name || ' ' || [{quoted(NAMES)}][(k*17) % {len(NAMES)} + 1] nm,
+ [[{quoted(KINDS)}][(k*7) % {len(KINDS)} + 1], [{quoted(KINDS)}][(k*11+3) % {len(KINDS)} + 1], [{quoted(KINDS)}][(k*13+8) % {len(KINDS)} + 1]] c, 1700 + k*37 % 1500 price FROM (SELECT *, p_partkey k FROM part)))"""
+
+
+@query(ITEMS + " SELECT item_id, price, style FROM it")
+def item_styles(spark, d):
+    return gm.items(spark, d).select("item_id", "price", "style")
+
 
+@query(ITEMS + """, us AS (SELECT CAST(l_orderkey AS VARCHAR) game_id, l_suppkey % 10 slot, style, sum(price) weight FROM lineitem JOIN it ON item_id = l_partkey WHERE style IS NOT NULL GROUP BY 1, 2, 3)
+SELECT game_id, slot, style, CAST(weight AS BIGINT) weight FROM (SELECT *, row_number() OVER (PARTITION BY game_id, slot ORDER BY weight DESC, style) i FROM us) WHERE i = 1""")
+def primary_styles(spark, d):
+    return dims.primary_style(gm.used_items(spark, d), gm.items(spark, d), "game_id", "slot")
 
-ENT = """, en AS (SELECT entity_id, ['Tank','Fighter','Mage','Marksman','Support','Assassin'][entity_id % 6 + 1] AS role, (entity_id*13 % 101)/100.0::DOUBLE physical, entity_id*7 % 4 front FROM er),
+
+@query(ATTRS + AD + """ SELECT category, count(*) picks, CAST(sum(win) AS BIGINT) wins FROM (SELECT win, unnest(types) category FROM a JOIN ad USING (attribute_id)) GROUP BY 1""")
+def type_picks(spark, d):
+    """Picks and wins of each attribute type, an attribute once for each of its types."""
+    rows = dims.with_categories(rt.with_attributes(gm.players(spark, d)), gm.attribute_dim(spark), categories="types")
+    return rows.groupBy("category").agg(F.count("*").alias("picks"), F.sum("win").cast("long").alias("wins"))
+
+
+ENT = """, en AS (SELECT entity_id, ['Tank','Fighter','Mage','Marksman','Support','Assassin'][entity_id % 6 + 1] AS role, (entity_id*13 % 101)/100.0::DOUBLE physical, CAST(entity_id*7 % 4 AS DOUBLE) front,
+ entity_id*3 % 13 wave, entity_id*5 % 13 cc, entity_id*11 % 11 engage, entity_id*17 % 23 dmg, entity_id*19 % 9 poke, entity_id*23 % 7 sustain FROM er),
 ed AS (SELECT *, greatest(0, 0.95::DOUBLE - physical) magic FROM en),
 ee AS (SELECT *, CASE WHEN physical >= .55 AND physical - magic >= .15 THEN 'physical' WHEN magic >= .55 AND magic - physical >= .15 THEN 'magic' WHEN role IN ('Marksman','Assassin','Fighter') THEN 'physical' ELSE CASE WHEN role IN ('Mage','Support') THEN 'magic' ELSE 'mixed' END END damage FROM ed)"""
 
 
 @query(ENT + " SELECT entity_id, role, round(physical, 6) physical, front, round(magic, 6) magic, damage FROM ee")
 def entity_profiles(spark, d):
-    return pk.entity_dim(rates(spark, d))
+    return gm.entity_dim(rates(spark, d)).select("entity_id", "role", "physical", "front", "magic", "damage")
 
 
-PICK = ATTRS + ENT + """, pk AS (SELECT ar.entity_id, attribute_id, games, attribute_id % 3 rarity, role, damage FROM ar JOIN ee USING (entity_id)),
+PICK = ATTRS + ENT + AD + """, pk AS (SELECT ar.entity_id, attribute_id, games, attribute_id % 3 rarity, role, damage, "scope" = 'role_damage' dmg FROM ar JOIN ee USING (entity_id) JOIN ad USING (attribute_id)),
 pt AS (SELECT *, sum(games) OVER (PARTITION BY rarity, entity_id) t, sum(games) OVER (PARTITION BY rarity) ta, sum(games) OVER (PARTITION BY rarity, attribute_id) ca, sum(games) OVER (PARTITION BY rarity, role) tr, sum(games) OVER (PARTITION BY rarity, role, attribute_id) cr,
  sum(games) OVER (PARTITION BY rarity, role, damage) td, sum(games) OVER (PARTITION BY rarity, role, damage, attribute_id) cd FROM pk),
 pm AS (SELECT pt.*, m FROM pt JOIN (SELECT rarity, count(DISTINCT attribute_id) m FROM pk GROUP BY 1) USING (rarity)),
-pg AS (SELECT *, (ca + .5::DOUBLE)/(ta + .5::DOUBLE*m) gs, CASE WHEN td - t >= greatest(50, 2*m) THEN td ELSE tr END - t tt, CASE WHEN td - t >= greatest(50, 2*m) THEN cd ELSE cr END - games cc FROM pm),
+po AS (SELECT *, dmg AND td - t >= greatest(50, 2*m) near FROM pm),
+pg AS (SELECT *, (ca + .5::DOUBLE)/(ta + .5::DOUBLE*m) gs, CASE WHEN near THEN td ELSE tr END - t tt, CASE WHEN near THEN cd ELSE cr END - games cc FROM po),
 ph AS (SELECT *, CASE WHEN tt <= 0 THEN gs ELSE (cc + .5::DOUBLE*m*gs)/(tt + .5::DOUBLE*m) END peer FROM pg)"""
 
 
-@query(PICK + " SELECT entity_id, attribute_id, CASE rarity WHEN 0 THEN 'kPrismatic' WHEN 1 THEN 'kGold' ELSE 'kSilver' END rarity, games, round(peer, 6) peer_share, round((games + .5*m*peer)/(t + .5*m), 6) share, round(ln((games + .5*m*peer)/(t + .5*m)/peer), 6) pick_lift FROM ph")
+@query(PICK + " SELECT entity_id, attribute_id, CASE rarity WHEN 0 THEN 'kPrismatic' WHEN 1 THEN 'kGold' ELSE 'kSilver' END rarity, games, CASE WHEN near THEN 'role_damage' ELSE 'role' END peer_scope, round(peer, 6) peer_share, round((games + .5*m*peer)/(t + .5*m), 6) share, round(ln((games + .5*m*peer)/(t + .5*m)/peer), 6) pick_lift FROM ph")
 def pick_lift(spark, d):
     p = gm.players(spark, d)
     attr = rt.entity_attribute_rates(p)
-    return pk.pick_lift(attr, pk.attribute_dim(attr), pk.entity_dim(rt.entity_rates(p)))
+    return pk.pick_lift(attr, gm.attribute_dim(spark), gm.entity_dim(rt.entity_rates(p)))
 
 
 @query(ATTRS + ENT + """ SELECT CASE attribute_id % 3 WHEN 0 THEN 'kPrismatic' WHEN 1 THEN 'kGold' ELSE 'kSilver' END rarity, role, damage, attribute_id, CAST(sum(games) AS BIGINT) games FROM ar JOIN ee USING (entity_id)
@@ -308,7 +412,7 @@ def pick_lift(spark, d):
 def pick_totals(spark, d):
     p = gm.players(spark, d)
     attr = rt.entity_attribute_rates(p)
-    rows = pk.with_attribute_dim(attr, pk.attribute_dim(attr)).join(pk.entity_dim(rt.entity_rates(p)), "entity_id")
+    rows = pk.with_attribute_dim(attr, gm.attribute_dim(spark)).join(gm.entity_dim(rt.entity_rates(p)), "entity_id")
     return pk.pick_totals(rows).drop("level")
 
 
@@ -431,40 +535,57 @@ ORACLES["parse_round_trip"] = f"WITH {PLAYERS} SELECT game_id, queue_id, patch,
 
 # teams
 
-COMP = ENT + """, tc AS (SELECT game_id, count(*) size, CAST(sum(front) AS BIGINT) front, round(sum(physical), 6) physical, round(sum(magic), 6) magic, count(*) FILTER (front >= 2) fronts, count(*) FILTER (role = 'Mage') mages, count(*) FILTER (role = 'Marksman') marksmen
- FROM p JOIN ee USING (entity_id) WHERE team_id = 100 GROUP BY 1)"""
+def comp_sql(rows: str, key: str) -> str:
+    """CTEs that end in cs: composition and score of the teams in a relation (key, entity_id)."""
+    value = lambda t, *k: f"""coalesce((SELECT v FROM tb WHERE t = '{t}' AND tb.k = {" || '|' || ".join(k)}), 0)"""
+    lacks = {c: f"{c} < {low}::DOUBLE*size/5" for c, low in (("wave", 3), ("cc", 3), ("engage", 2.2), ("dmg", 5.5), ("poke", 2), ("sustain", 1.5), ("front", 1.8))}
+    group = lambda n: f"CASE WHEN {n}*5.0::DOUBLE/size < .5 THEN '0' WHEN {n}*5.0::DOUBLE/size < 1.5 THEN '1' ELSE '2+' END"
+    entries = ", ".join(f"('{t}', '{k}', {v}::DOUBLE)" for t, k, v in tm.table_entries())
+    return f""", tb(t, k, v) AS (VALUES {entries}),
+tc AS (SELECT {key}, count(*) size, sum(front) front, round(sum(physical), 6) physical, round(sum(magic), 6) magic, count(*) FILTER (front >= 2) fronts, count(*) FILTER (role = 'Mage') mages, count(*) FILTER (role = 'Marksman') marksmen,
+ {', '.join(f'CAST(sum({c}) AS DOUBLE)/10 {c}' for c in ('wave', 'cc', 'engage', 'dmg', 'poke', 'sustain'))} FROM {rows} JOIN ee USING (entity_id) GROUP BY 1),
+td AS (SELECT *, physical/(physical+magic) ad_share, {' + '.join(f'CASE WHEN {x} THEN 1 ELSE 0 END' for x in lacks.values())} lacks FROM tc),
+te AS (SELECT *, CASE WHEN ad_share < .35 THEN '<35% AD' WHEN ad_share < .45 THEN '35-45% AD' WHEN ad_share < .55 THEN '45-55% AD' WHEN ad_share < .65 THEN '55-65% AD' ELSE '>=65% AD' END ad_bin, {group('fronts')} || ' front' front_group,
+ {group('mages')} mage_group, {group('marksmen')} marksman_group, {group('lacks')} lacks_group, {', '.join(f"'{c} ' || CASE WHEN {lacks[c]} THEN 'lack' ELSE 'ok' END {c}_group" for c in ('wave', 'engage', 'poke'))} FROM td),
+tf AS (SELECT *, .55::DOUBLE*{value('ad_front', 'front_group', 'ad_bin')} + .3::DOUBLE*{value('poke_front', 'front_group', 'poke_group')} + .15::DOUBLE*{value('wave_engage', 'wave_group', 'engage_group')} + .15::DOUBLE*{value('all_lacks', 'lacks_group')}
+ + .2::DOUBLE*{value('mage_ad', 'mage_group', 'ad_bin')} + .2::DOUBLE*{value('marksman_ad', 'marksman_group', 'ad_bin')} total FROM te),
+cs AS (SELECT *, greatest(-.05, least(.05, total))*least(1, greatest(0, (size - 1)/4.0::DOUBLE)) score, -abs(ad_share - .4) mix FROM tf)"""
+
+
+COMP = ENT + comp_sql("(SELECT * FROM p WHERE team_id = 100)", "game_id")
 
 
 def blue_teams(spark: SparkSession, d: str) -> DataFrame:
     return gm.games(spark, d).select("game_id", F.col("blue").alias("team"), F.col("blue_wins").alias("y"))
 
 
-@query(COMP + """ SELECT game_id, size, front, physical, magic, fronts, mages, marksmen, front < 5.0*size/5 lacks_front, physical < 1.5*size/5 lacks_physical, magic < 1.0*size/5 lacks_magic, round(physical/(physical+magic), 6) ad_share,
- CASE WHEN physical/(physical+magic) < .3 THEN 'magic' WHEN physical/(physical+magic) < .5 THEN 'mixed' ELSE 'physical' END damage_bin, CASE WHEN fronts < .5 THEN 'none' WHEN fronts < 1.5 THEN 'one' ELSE 'more' END front_group FROM tc""")
+@query(COMP + " SELECT game_id, size, front, physical, magic, wave, poke, fronts, mages, marksmen, lacks, round(ad_share, 6) ad_share, ad_bin, front_group, mage_group, marksman_group, wave_group, engage_group, poke_group, lacks_group FROM cs")
 def team_composition(spark, d):
-    return tm.team_composition(blue_teams(spark, d), pk.entity_dim(rates(spark, d))).drop("lacks")
+    rows = tm.team_composition(blue_teams(spark, d), gm.entity_dim(rates(spark, d)))
+    lacks = sum((F.col(f"lacks_{c}").cast("int") for c in tm.THRESHOLDS), F.lit(0)).alias("lacks")
+    return rows.select("game_id", "size", "front", "physical", "magic", "wave", "poke", "fronts", "mages", "marksmen", lacks, "ad_share", "ad_bin", *[f"{c}_group" for c in ("front", "mage", "marksman", "wave", "engage", "poke", "lacks")])
 
 
-@query()
+@query(COMP + " SELECT game_id, round(score, 6) + 0.0 composition_score, round(mix, 6) + 0.0 mix FROM cs")
 def composition_score(spark, d):
-    """Scores of the blue teams by tables made of all results, with the damage-mix term."""
-    teams = blue_teams(spark, d)
-    comp = tm.team_composition(teams, pk.entity_dim(rates(spark, d)))
-    rows = tm.composition_score(comp, tm.composition_tables(comp, teams.select("game_id", "y")))
-    return rows.select("game_id", "composition_score", tm.damage_mix_score(F.col("ad_share")).alias("mix"))
+    """Scores of the blue teams, with the nearness of their damage to the wanted mix."""
+    comp = tm.team_composition(blue_teams(spark, d), gm.entity_dim(rates(spark, d)))
+    return tm.composition_score(comp).select("game_id", "composition_score", tm.damage_mix_score(F.col("ad_share")).alias("mix"))
 
 
-RECO = SYN + """, ro AS (SELECT mate candidate, count(*) coverage, sum(lift)/3 pair_fit, sum(z)/count(*) avg_z, min(games) min_games FROM syn WHERE anchor IN (7,21,40) AND mate NOT IN (7,21,40) GROUP BY 1),
-rq AS (SELECT ro.*, (wins+100.0::DOUBLE)/(games+200) solo FROM ro JOIN er ON entity_id = candidate),
-rw AS (SELECT *, row_number() OVER (ORDER BY pair_fit DESC, coverage DESC, avg_z DESC, solo DESC, min_games DESC, candidate) i, count(*) OVER () n FROM rq)"""
+RECO = SYN + ENT + """, ro AS (SELECT mate candidate, count(*) coverage, sum(lift)/3 pair_fit, sum(lift)/count(*) avg_lift, sum(z)/count(*) avg_z, min(games) min_games FROM syn WHERE anchor IN (7,21,40) AND mate NOT IN (7,21,40) GROUP BY 1),
+rt AS (SELECT candidate, unnest([7, 21, 40, candidate]) entity_id FROM ro UNION ALL SELECT -1, unnest([7, 21, 40]))""" + comp_sql("rt", "candidate") + """,
+rq AS (SELECT ro.*, (er.wins+100.0::DOUBLE)/(er.games+200) solo, .5 + .5*coverage/3.0::DOUBLE sure, cs.score - c0.score dc, cs.mix - c0.mix dm FROM ro JOIN er ON entity_id = candidate JOIN cs USING (candidate), (SELECT score, mix FROM cs WHERE candidate = -1) c0),
+rf AS (SELECT *, round(pair_fit + .25*dc*sure + greatest(-.025, least(.025, .18*dm*sure)), 12) fit FROM rq),
+rw AS (SELECT *, row_number() OVER (ORDER BY fit DESC, pair_fit DESC, avg_lift DESC, avg_z DESC, coverage DESC, min_games DESC, candidate) i, count(*) OVER () n FROM rf)"""
 
 
-@query(RECO + " SELECT candidate, coverage, round(pair_fit, 6) pair_fit, round(avg_z, 6) avg_z, round(solo, 6) solo, min_games, CASE WHEN i <= 11 THEN 'best' ELSE 'worst' END place FROM rw WHERE i <= 11 OR i = n")
+@query(RECO + " SELECT candidate, coverage, round(fit, 6) fit, round(pair_fit, 6) pair_fit, round(avg_z, 6) avg_z, round(solo, 6) solo, min_games, CASE WHEN i <= 11 THEN 'best' ELSE 'worst' END place FROM rw WHERE i <= 11 OR i = n")
 def recommendation(spark, d):
-    r = rates(spark, d)
-    rolled = rt.rollup_candidates(rt.pair_synergy(rt.pair_rates(gm.games(spark, d)), r), ANCHORS)
-    rows = tm.recommendation_labels(tm.recommend(rolled, r, ANCHORS), 3)
-    return rows.select("candidate", "coverage", "pair_fit", "avg_z", "solo", "min_games", "place")
+    r = dc.checkpointed(rates(spark, d))
+    rolled = dc.checkpointed(rt.rollup_candidates(rt.pair_synergy(rt.pair_rates(gm.games(spark, d)), r), ANCHORS))
+    rows = tm.recommendation_labels(tm.recommend(rolled, r, ANCHORS, gm.entity_dim(r)), 3)
+    return rows.select("candidate", "coverage", "fit", "pair_fit", "avg_z", "solo", "min_games", "place")
 
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -482,10 +603,14 @@ def swap_suggestions(spark, d):
     return tm.swap_suggestions(sessions(spark, d), rt.log_odds_weights(rates(spark, d))).select("game_id", "current", "candidate", "p", "delta")
 
 
-@query()
+@query(DELTA + WEIGHT + """, tp AS (SELECT game_id, sum(weight) l FROM p JOIN w USING (entity_id) WHERE team_id = 100 GROUP BY 1),
+ss AS (SELECT game_id, blue[1] cur, unnest(list_concat([blue[1]], red)) candidate FROM g),
+sw AS (SELECT game_id, cur, candidate, 1/(1+exp(-(l - wc.weight + wi.weight))) - 1/(1+exp(-l)) delta FROM ss JOIN tp USING (game_id) JOIN w wc ON wc.entity_id = cur JOIN w wi ON wi.entity_id = candidate),
+rs AS (SELECT game_id, unnest(blue[2:]) anchor FROM g)
+SELECT game_id, cur current, candidate, count(d) anchors, round(.7*coalesce(avg(d), 0) + .3*any_value(delta), 6) + 0.0 score FROM sw JOIN rs USING (game_id) LEFT JOIN ad ON ad.anchor = rs.anchor AND mate = candidate GROUP BY 1, 2, 3""")
 def blended_swap_score(spark, d):
-    r = rates(spark, d)
-    found = tm.blended_swap_score(sessions(spark, d), rt.anchor_delta(rt.pair_rates(gm.games(spark, d)), r), rt.log_odds_weights(r))
+    r = dc.checkpointed(rates(spark, d))
+    found = tm.blended_swap_score(sessions(spark, d), dc.checkpointed(rt.anchor_delta(rt.pair_rates(gm.games(spark, d)), r)), rt.log_odds_weights(r))
     return found.select("game_id", "current", "candidate", "anchors", "score")
 
 
@@ -599,6 +724,17 @@ def model_table(spark, d):
     return mo.evaluation_table(both)
 
 
+@query(rounded=4)
+def version_model(spark, d):
+    """Logistic model of both teams with effects of each version, fitted on train: metrics of each split."""
+    rows, _ = _labelled(spark, d)
+    rows = rows.withColumn("version", tx.truncate_version(F.col("patch"), 2))
+    train = rows.where("split = 'train'")
+    rows = mo.version_features(train, rows).select("split", "label", "features")
+    model = mo.fit_lr(rows.where("split = 'train'"), c=0.01)
+    return mo.evaluation_table(mo.predicted(model, rows).select("split", "label", "p").withColumn("model", F.lit("lr_version")))
+
+
 @query("!SELECT CASE WHEN k % 3 = 0 THEN 'web' ELSE 'ladder' END family, queue_id, count(*) matches, round(avg(blue_wins::DOUBLE), 3) base_rate FROM g GROUP BY ROLLUP (1, 2)", rounded=3)
 def family_mode_rollup(spark, d):
     rows = gm.games(spark, d).withColumn("family", F.when(F.col("k") % 3 == 0, "web").otherwise("ladder"))
@@ -652,6 +788,56 @@ def classify_upsert(spark, d):
     return dc.classify_upsert(actors(spark, d), gm.table(spark, d, "customer").select((c + 100).alias("actor_id"), (c % 3).alias("priority"), (c % 2).alias("depth")))
 
 
+def queued(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as entries of the frontier: status, source, the match they were found in, and its time where known."""
+    c = F.col("c_custkey")
+    word = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+    found = F.when(c % 5 != 0, (c * 3 + 1).cast("string"))
+    return gm.table(spark, d, "customer").select(
+        c.alias("actor_id"), word(("pending", "done", "failed"), c).alias("status"), word(("ladder", "web", "friend"), c * 7).alias("source"), (c % 6).alias("priority"),
+        found.alias("found_in"), F.when(c % 4 == 0, F.lit(880000000000) + c).otherwise(0).alias("found_ms"),
+    )
+
+
+QUEUED = """, qu AS (SELECT c_custkey actor_id, ['pending','done','failed'][c_custkey % 3 + 1] status, ['ladder','web','friend'][c_custkey*7 % 3 + 1] source, c_custkey % 6 priority,
+ CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey*3 + 1 AS VARCHAR) END found_in, CASE WHEN c_custkey % 4 = 0 THEN 880000000000 + c_custkey ELSE 0 END found_ms FROM customer)"""
+
+
+@query(QUEUED + " SELECT actor_id, CASE WHEN found_ms = 0 AND found_in IS NOT NULL THEN coalesce((SELECT max(created_ms) FROM g WHERE game_id = found_in), found_ms, 0) ELSE found_ms END found_ms FROM qu")
+def backfill_times(spark, d):
+    return dc.backfill_from(queued(spark, d), gm.games(spark, d), "found_in", "game_id", "found_ms", "created_ms").select("actor_id", "found_ms")
+
+
+@query(QUEUED + """ SELECT 'status' kind, status name, count(*) n, min(priority) priority FROM qu GROUP BY 2 UNION ALL SELECT 'source', source, count(*), min(priority) FROM qu GROUP BY 2""")
+def frontier_counts(spark, d):
+    return dc.frontier_counts(queued(spark, d), queued(spark, d))
+
+
+@query(QUEUED + """, v AS (SELECT patch, count(*) n, max(created_ms) m FROM g WHERE queue_id = 2400 GROUP BY 1 ORDER BY m DESC, patch DESC LIMIT 1)
+SELECT (SELECT count(*) FROM g) total, (SELECT count(*) FROM g WHERE queue_id = 2400) mode_total, patch latest_patch, n latest_patch_games, m latest_ms, (SELECT round(avg(blue_wins::DOUBLE), 6) FROM g WHERE queue_id = 2400) base_rate,
+ (SELECT count(*) FROM qu WHERE status = 'pending') pending, (SELECT count(*) FROM qu WHERE status = 'done') done, (SELECT count(*) FROM qu WHERE status = 'failed') failed, (SELECT count(*) FROM qu) known FROM v""")
+def status_snapshot(spark, d):
+    return dc.status_snapshot(gm.games(spark, d), queued(spark, d), 2400)
+
+
+@query(PAIRS + " SELECT anchor, mate, games, wins FROM pr2 WHERE mate IN (SELECT entity_id FROM er WHERE CAST(wins AS DOUBLE)/games >= .5)")
+def visible_pairs(spark, d):
+    seen = rates(spark, d).where(est.raw_rate("wins", "games") >= 0.5)
+    return mart.visible_pairs(rt.pair_rates(gm.games(spark, d)), seen).select("anchor", "mate", "games", "wins")
+
+
+@query(SYN + TOPN + TIERS + """, mp AS (SELECT entity_id, string_agg(rarity || ':' || attribute_id, ',' ORDER BY rarity, t) FILTER (t <= 5) best, string_agg(rarity || ':' || attribute_id, ',' ORDER BY rarity, u) FILTER (u <= 5) worst FROM rk GROUP BY 1),
+mm AS (SELECT anchor entity_id, count(*) n_pairs, string_agg(mate, ',' ORDER BY mate) mates FROM syn WHERE mate IN (SELECT entity_id FROM er) AND games >= 30 GROUP BY 1)
+SELECT entity_id, games, tier, round(bayes, 4) rate, best, worst, coalesce(n_pairs, 0) n_pairs, coalesce(mates, '') mates FROM ti JOIN mp USING (entity_id) LEFT JOIN mm USING (entity_id)""", rounded=4)
+def entity_mart(spark, d):
+    """The nested mart of the entities, its lists as text."""
+    t = dc.checkpointed(tiers(spark, d))
+    pairs = rt.pair_synergy(rt.pair_rates(gm.games(spark, d)), t.select("entity_id", "games", "wins")).where("games >= 30")
+    rows = mart.entity_mart(t, _ends(spark, d), mart.visible_pairs(pairs, t))
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["rarity"], x["attribute_id"].cast("string"))), ",").alias(c)
+    return rows.select("entity_id", "games", "tier", F.col("bayes").alias("rate"), said("best"), said("worst"), F.size("pairs").alias("n_pairs"), F.array_join(F.array_sort(F.transform("pairs", lambda x: x["id"])), ",").alias("mates"))
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """(actor_id, match_id): customers and the suppliers that served their orders."""
     o, li = gm.table(spark, d, "orders"), gm.table(spark, d, "lineitem")
@@ -730,6 +916,11 @@ def state_changes(spark, d):
     return dc.state_changes(gm.table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type")).select("user_id", "event_id")
 
 
+@query("SELECT date_trunc('day', ts) AS start, count(*) n, count(*) FILTER (event_type = 'purchase') done, max(ts) AS last FROM events GROUP BY 1")
+def snapshot_stream(spark, d):
+    return jobs.snapshot_stream(gm.table(spark, d, "events"))
+
+
 @query("""SELECT count(*) FILTER (a BETWEEN 0 AND 86400) hot, count(*) FILTER (a BETWEEN 0 AND 259200) warm FROM (SELECT epoch(TIMESTAMP '2024-01-20')::BIGINT - floor(epoch(ts))::BIGINT a FROM events)""")
 def recent_activity(spark, d):
     return jobs.recent_activity(gm.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), F.to_timestamp(F.lit("2024-01-20 00:00:00")))

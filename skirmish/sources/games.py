@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skirmish.operators import dimensions as dims
+from skirmish.operators import picks as pk
+
+#: Categories that the items made of parts can have.
+CATEGORIES = (
+    "SpellDamage", "HealAndShieldPower", "CriticalStrike", "OnHit", "AttackSpeed", "Damage", "Health", "Armor", "SpellBlock", "MagicResist", "MagicPenetration", "ArmorPenetration", "Lethality",
+    "LifeSteal", "Tenacity", "Active", "Slow", "AbilityHaste", "Mana",
+)
 PARTICIPANT = "array<struct<teamId:int,championId:int,augments:array<int>>>"
 GAMES = "game_id string, queue_id int, patch string, blue_champs string, red_champs string, blue_wins int, duration_sec int, created_ms long, captured_at string, participants_json string, seed_family string"
 
@@ -72,6 +80,45 @@ def capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def attribute_dim(spark: SparkSession) -> DataFrame:
+    """Dimension of the attributes that matches hold: rarity, set, slugs of its sets, and a text, all by the id."""
+    i = F.col("id") - 1000
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+    said = ",".join([*dims.TYPE_WORDS.values(), dims.DAMAGE_WORDS]).split(",")
+    return spark.range(1000, 1060).select(
+        F.col("id").alias("attribute_id"), pick(("kPrismatic", "kGold", "kSilver"), F.col("id")).alias("rarity"), F.concat(F.lit("set-"), (F.col("id") % 9).cast("string")).alias("set"),
+        F.array(pick(list(dims.SET_TYPES), i)).alias("slugs"), F.concat_ws(" ", pick(said, i * 7), pick(said, i * 11 + 5)).alias("text"),
+    ).select("*", dims.peer_scope(F.col("text")).alias("scope"), dims.attribute_types(F.col("text"), F.col("slugs")).alias("types"))
+
+
+def entity_dim(rates: DataFrame) -> DataFrame:
+    """Dimension of the entities that occur: role, damage shares and seven scores, all by the id."""
+    roles = F.array(*[F.lit(r) for r in ("Tank", "Fighter", "Mage", "Marksman", "Support", "Assassin")])
+    e = F.col("entity_id")
+    scores = {"wave": e * 3 % 13, "cc": e * 5 % 13, "engage": e * 11 % 11, "damage_score": e * 17 % 23, "poke": e * 19 % 9, "sustain": e * 23 % 7}
+    rows = rates.select(
+        e, F.element_at(roles, (e % 6 + 1).cast("int")).alias("role"), ((e * 13 % 101) / 100.0).cast("double").alias("physical"), (e * 7 % 4).cast("double").alias("front"),
+        *[(v / 10.0).cast("double").alias(c) for c, v in scores.items()],
+    )
+    rows = rows.withColumn("magic", F.greatest(F.lit(0.0), 0.95 - F.col("physical")))
+    return rows.withColumn("damage", pk.damage_bucket(F.col("physical"), F.col("magic"), F.col("role")))
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items made of the parts: name with a word of the item lists, three categories, price, and the style they give."""
+    k = F.col("p_partkey")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+    names = [*",".join(dims.ITEM_WORDS.values()).split(","), *["plain"] * 100]
+    kinds = [pick(CATEGORIES, k * 7), pick(CATEGORIES, k * 11 + 3), pick(CATEGORIES, k * 13 + 8)]
+    rows = table(spark, sf_dir, "part").select(k.alias("item_id"), F.concat("p_name", F.lit(" "), pick(names, k * 17)).alias("name"), F.array(*kinds).alias("categories"), (1700 + k * 37 % 1500).alias("price"))
+    return rows.select("*", dims.item_style(F.col("categories"), F.col("name"), F.col("price")).alias("style"))
+
+
+def used_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(game_id, slot, item_id): the parts of an order's lines, dealt to the participants of its match."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("game_id"), (F.col("l_suppkey") % 10).alias("slot"), F.col("l_partkey").alias("item_id"))
+
+
 def read_games(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Match fact in capture form; columns that the files lack are null."""
     wanted = spark.createDataFrame([], GAMES).schema

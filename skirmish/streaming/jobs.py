@@ -39,6 +39,13 @@ def family_yield(rows: DataFrame) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum((F.col("value") > 50).cast("long")).alias("yield"))
 
 
+def snapshot_stream(rows: DataFrame, size: str = "1 day", watermark: str = "1 day") -> DataFrame:
+    """A snapshot of each window: events, purchases and the last time; batch and stream."""
+    sums = rows.withWatermark("ts", watermark).groupBy(F.window("ts", size).alias("w"))
+    out = sums.agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("done"), F.max("ts").alias("last"))
+    return out.select(F.col("w.start").alias("start"), "n", "done", "last")
+
+
 def recent_activity(rows: DataFrame, now: Column) -> DataFrame:
     """Events within 24 and 72 hours of now."""
     age = F.unix_timestamp(now) - F.unix_timestamp("ts")
