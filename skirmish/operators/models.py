@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexer, VectorAssembler, VectorSizeHint
 from pyspark.ml.classification import FMClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -129,17 +129,19 @@ def fit_lr(train: DataFrame, label: str = "label", c: float = 1.0, n: int | None
     return LogisticRegression(featuresCol="features", labelCol=label, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=60).fit(train)
 
 
-def version_features(train: DataFrame, rows: DataFrame, version: str = "version", features: str = "features") -> DataFrame:
+def version_features(train: DataFrame, rows: DataFrame, size: int, version: str = "version", features: str = "features") -> DataFrame:
     """rows whose features are followed by those of their version alone: one block for each version of train.
 
     A version that train hasn't leaves its block empty, so such rows are scored by the common part.
     """
     index = StringIndexer(inputCol=version, outputCol="_index", handleInvalid="keep").fit(train)
     hot = OneHotEncoder(inputCol="_index", outputCol="_hot", dropLast=True).fit(index.transform(train))
-    own = Interaction(inputCols=["_hot", features], outputCol="_own")
-    both = VectorAssembler(inputCols=[features, "_own"], outputCol="_both")
-    found = both.transform(own.transform(hot.transform(index.transform(rows))))
-    return found.drop(features, "_index", "_hot", "_own").withColumnRenamed("_both", features)
+    sized = VectorAssembler(inputCols=[features], outputCol="_sized")
+    own = Interaction(inputCols=["_hot", "_sized"], outputCol="_own")
+    both = VectorAssembler(inputCols=["_sized", "_own"], outputCol="_both")
+    rows = VectorSizeHint(inputCol=features, size=size).transform(hot.transform(index.transform(rows)))
+    found = both.transform(own.transform(sized.transform(rows)))
+    return found.drop(features, "_index", "_hot", "_sized", "_own").withColumnRenamed("_both", features)
 
 
 def predicted(model, df: DataFrame) -> DataFrame:

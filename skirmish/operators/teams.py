@@ -87,11 +87,16 @@ def composition_score(comp: DataFrame, tables: DataFrame | None = None, weights:
     return comp.withColumn("composition_score", est.clip(total, -COMPOSITION_CLAMP, COMPOSITION_CLAMP) * est.clip((F.col("size") - 1) / 4, 0, 1))
 
 
-def damage_mix_score(share: Column, fix_ad_share: bool = True) -> Column:
+def damage_mix(share: Column, fix_ad_share: bool = True) -> Column:
     """Nearness of the physical share to its target; without the fix the share counts as .5, as it always did."""
     return -F.abs((share if fix_ad_share else F.lit(0.5)) - MIX_TARGET)
 
 
+def damage_mix_score(share: Column, fix_ad_share: bool = True) -> Column:
+    """That nearness by its weight, within .025 either way."""
+    return est.clip(damage_mix(share, fix_ad_share) * MIX_WEIGHT, -MIX_CLAMP, MIX_CLAMP)
+
+
 def recommend(rolled: DataFrame, rates: DataFrame, picks: list[int], entities: DataFrame | None = None, limit: int = 12, fix_ad_share: bool = True) -> DataFrame:
     """Candidates by fit, then pair fit, mean lift, mean z, coverage, games, id; the worst one takes the last place.
 
@@ -105,7 +110,7 @@ def recommend(rolled: DataFrame, rates: DataFrame, picks: list[int], entities: D
     else:
         team = F.array(*[F.lit(p).cast("long") for p in picks])
         teams = rows.select("candidate", F.concat(team, F.array("candidate")).alias("team")).unionByName(rates.sparkSession.range(1).select(F.lit(None).cast("long").alias("candidate"), team.alias("team")))
-        comp = composition_score(team_composition(teams, entities, "candidate")).select("candidate", "composition_score", damage_mix_score(F.col("ad_share"), fix_ad_share).alias("mix"))
+        comp = composition_score(team_composition(teams, entities, "candidate")).select("candidate", "composition_score", damage_mix(F.col("ad_share"), fix_ad_share).alias("mix"))
         before = comp.where("candidate IS NULL").select(F.col("composition_score").alias("_score"), F.col("mix").alias("_mix"))
         rows = rows.join(comp, "candidate").crossJoin(F.broadcast(before))  # one row
         rows = rows.withColumn("composition_delta", F.col("composition_score") - F.col("_score")).withColumn("mix_delta", F.col("mix") - F.col("_mix")).drop("composition_score", "mix", "_score", "_mix")

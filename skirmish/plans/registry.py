@@ -566,7 +566,7 @@ def team_composition(spark, d):
     return rows.select("game_id", "size", "front", "physical", "magic", "wave", "poke", "fronts", "mages", "marksmen", lacks, "ad_share", "ad_bin", *[f"{c}_group" for c in ("front", "mage", "marksman", "wave", "engage", "poke", "lacks")])
 
 
-@query(COMP + " SELECT game_id, round(score, 6) + 0.0 composition_score, round(mix, 6) + 0.0 mix FROM cs")
+@query(COMP + " SELECT game_id, round(score, 6) + 0.0 composition_score, round(greatest(-.025, least(.025, mix*.18)), 6) + 0.0 mix FROM cs")
 def composition_score(spark, d):
     """Scores of the blue teams, with the nearness of their damage to the wanted mix."""
     comp = tm.team_composition(blue_teams(spark, d), gm.entity_dim(rates(spark, d)))
@@ -727,10 +727,10 @@ def model_table(spark, d):
 @query(rounded=4)
 def version_model(spark, d):
     """Logistic model of both teams with effects of each version, fitted on train: metrics of each split."""
-    rows, _ = _labelled(spark, d)
+    rows, ids = _labelled(spark, d)
     rows = rows.withColumn("version", tx.truncate_version(F.col("patch"), 2))
     train = rows.where("split = 'train'")
-    rows = mo.version_features(train, rows).select("split", "label", "features")
+    rows = mo.version_features(train, rows, len(ids)).select("split", "label", "features")
     model = mo.fit_lr(rows.where("split = 'train'"), c=0.01)
     return mo.evaluation_table(mo.predicted(model, rows).select("split", "label", "p").withColumn("model", F.lit("lr_version")))
 
