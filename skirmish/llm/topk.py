@@ -88,9 +88,12 @@ PAIRS = "query_id long, neighbour_id long, distance int"
 def nearest(queries: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, neighbour_id, distance): each query's k nearest codes, ties by smaller id.
 
-    Both sides are (id, code) with an own row for each id; a query that is in the index finds itself
-    first. An index of fewer than k codes returns all of them.
+    Both sides are (id, code); a query that is in the index finds itself first. Repeated rows count once, and of
+    several codes of one id the least (as a signed number) counts; rows without id or code are left out. Further columns
+    are ignored. An index of fewer than k codes returns all of them, an empty one none.
     """
+    one = lambda rows: rows.where("id IS NOT NULL AND code IS NOT NULL").groupBy("id").agg(F.min("code").alias("code"))
+    queries, index = one(queries), one(index)
     size, asked = index.count(), queries.count()
     blocks = max(1, -(-size // BLOCK), min(common.partitions(index.sparkSession), -(-size // 4096)))
     groups = max(1, -(-asked // QUERIES))
@@ -108,7 +111,9 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
             "distance": np.concatenate([np.zeros(0, np.int64), *(x for *_, x in out)]).astype(np.int32),
         })
 
-    pairs = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInPandas(run, PAIRS)
+    # a stated number of partitions: small blocks are much work, and merged by their bytes they would be one task
+    spread = lambda rows: rows.repartition(blocks * groups, "b", "g").groupBy("b", "g")
+    pairs = spread(left).cogroup(spread(right)).applyInPandas(run, PAIRS)
     best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id"))), 1, k)  # at most k from each block
     ranked = pairs.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("rank", "x"))
     return ranked.select("query_id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("x.neighbour_id").alias("neighbour_id"), F.col("x.distance").cast("long").alias("distance"))

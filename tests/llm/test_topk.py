@@ -33,3 +33,11 @@ def test_small_and_empty_index(spark):
     assert topk.nearest(codes, codes, 10).count() == 4
     assert topk.nearest(codes, codes.limit(0), 10).count() == 0
     assert topk.nearest(codes.limit(0), codes, 10).count() == 0
+
+
+def test_repeated_ids_nulls_and_further_columns(spark):
+    rows = [(20, 5, 1), (20, 5, 2), (21, 7, 3), (22, None, 4), (None, 5, 5), (23, 6, 6), (23, 4, 7)]
+    codes = spark.createDataFrame(rows, "id long, code long, rank int")
+    got = sorted(map(tuple, topk.nearest(codes.where("id = 20"), codes, 3).collect()))
+    assert got == [(20, 1, 20, 0), (20, 2, 21, 1), (20, 3, 23, 1)]
+    assert topk.nearest(codes, codes.where("id > 99"), 3).count() == 0
