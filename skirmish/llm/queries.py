@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, lines, ppm, quality, sentencepiece_bpe, simhash, suffixes, topk
+from . import chat, decontam, licenses, lines, ppm, quality, sentencepiece_bpe, sharding, simhash, suffixes, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,6 +114,38 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "line_counts.n_lines", "line_counts.n_kept", "text")
 
 
+def op12_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``key``: forty shards in eight racks of four regions, and one more as a region of its own."""
+    tree = sharding.even_tree(40)
+    placed = sharding.assigned(table(spark, sf_dir, "documents"), tree, sharding.grown(tree, 40))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _nibble(x: int) -> int:
+    for _ in range(4):
+        x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+    return x
+
+
+OP12_SQL = f"""
+WITH leaves AS (SELECT range s, '/r' || (range * 8 // 40 * 4 // 8) reg, '/k' || (range * 8 // 40) rk FROM range(40)),
+keys AS (SELECT DISTINCT coalesce(CAST(doc_id AS VARCHAR), '') k FROM documents),
+tops AS (SELECT reg, CAST(count(*) AS DOUBLE) w FROM leaves GROUP BY reg UNION ALL SELECT '/own40', 1.0),
+racks AS (SELECT reg, rk, CAST(count(*) AS DOUBLE) w FROM leaves GROUP BY ALL),
+d1 AS (SELECT k, reg, -ln((('0x' || substr(md5(k || reg), 1, 13))::BIGINT + 0.5) / 16.0 ** 13) / w d FROM keys, tops),
+r1 AS (SELECT k, arg_min(reg, d) FILTER (reg <> '/own40') reg, arg_min(reg, d) = '/own40' own FROM d1 GROUP BY k),
+r2 AS (SELECT k, reg, own, arg_min(rk, -ln((('0x' || substr(md5(k || reg || rk), 1, 13))::BIGINT + 0.5) / 16.0 ** 13) / w) rk FROM r1 JOIN racks USING (reg) GROUP BY ALL),
+r3 AS (SELECT k, own, arg_min(s, -ln((('0x' || substr(md5(k || reg || rk || '/' || s), 1, 13))::BIGINT + 0.5) / 16.0 ** 13)) s FROM r2 JOIN leaves USING (reg, rk) GROUP BY ALL),
+t AS (SELECT {[_nibble(x) for x in range(16)]}::BIGINT[] t),
+b AS (SELECT doc_id, coalesce(text, '') x, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') h FROM documents),
+c AS (SELECT doc_id, strlen(x) + 16 size, xor(4294967295::BIGINT, list_reduce(list_transform(h, lambda c: ('0x' || c)::BIGINT),
+    lambda a, x: xor(xor(a, x) >> 8, xor(t[1 + (xor(a, x) & 15)] >> 4, t[1 + (xor(xor(a, x) >> 4, t[1 + (xor(a, x) & 15)]) & 15)])), 4294967295::BIGINT)) crc FROM b, t)
+SELECT doc_id, size, crc text_crc32, 'key' law, CAST(s AS INTEGER) shard, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, size, crc) - 1 slot,
+  CAST(CASE WHEN own THEN 40 ELSE s END AS INTEGER) grown_shard
+FROM c JOIN r3 ON coalesce(CAST(doc_id AS VARCHAR), '') = k
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_license_scan": op2_license_scan,
@@ -125,9 +157,11 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_hamming_topk": op9_hamming_topk,
     "op10_fuzzy_lines": op10_fuzzy_lines,
+    "op12_hash_tree_shards": op12_hash_tree_shards,
 }
 ORACLES = {
     "op1_chat_format": OP1_SQL,
     "op9_hamming_topk": OP9_SQL,
     "op4_decontaminate": OP4_SQL,
+    "op12_hash_tree_shards": OP12_SQL,
 }
