@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, lines, ppm, quality, sentencepiece_bpe, sharding, simhash, suffixes, topk
+from . import chat, decontam, licenses, lines, negatives, ppm, quality, sentencepiece_bpe, sharding, simhash, suffixes, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,6 +114,24 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "line_counts.n_lines", "line_counts.n_kept", "text")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the ids divisible by 50; every seventh id has the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.scaled(table(spark, sf_dir, "embeddings"), label)
+    return negatives.mined(rows, F.col("id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH e AS (SELECT vec_id id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+s AS (SELECT a.id, c.id other, a.label = c.label same, CAST(list_inner_product(a.v, c.v) AS BIGINT) score FROM e a JOIN e c ON a.id % 50 = 0 AND a.id <> c.id),
+p AS (SELECT id, other, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other) <= 5)
+SELECT p.id anchor_id, p.other positive_id, CAST(row_number() OVER (PARTITION BY p.id, p.other ORDER BY s.score DESC, s.other) AS INTEGER) rank, s.other negative_id,
+  p.score positive_score, s.score negative_score
+FROM p JOIN s ON p.id = s.id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3
+"""
+
+
 def op12_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``key``: forty shards in eight racks of four regions, and one more as a region of its own."""
     tree = sharding.even_tree(40)
@@ -157,11 +175,13 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_hamming_topk": op9_hamming_topk,
     "op10_fuzzy_lines": op10_fuzzy_lines,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_hash_tree_shards": op12_hash_tree_shards,
 }
 ORACLES = {
     "op1_chat_format": OP1_SQL,
     "op9_hamming_topk": OP9_SQL,
     "op4_decontaminate": OP4_SQL,
+    "op11_hard_negatives": OP11_SQL,
     "op12_hash_tree_shards": OP12_SQL,
 }
