@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, lines, negatives, ppm, quality, sentencepiece_bpe, sharding, simhash, suffixes, topk
+from . import chat, collocations, decontam, licenses, lines, negatives, ppm, quality, sentencepiece_bpe, sharding, simhash, suffixes, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,6 +164,29 @@ FROM c JOIN r3 ON coalesce(CAST(doc_id AS VARCHAR), '') = k
 """
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) n FROM w GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') phrase, count(*) a
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) i FROM w, range(1, 5) sizes(m) WHERE len(w) >= m) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, m, phrase, string_split(phrase, ' ') ws, a FROM g WHERE m > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, c.k, l.a l, r.a r, CAST(2000000::HUGEINT * c.a // (l.a::HUGEINT + r.a) AS BIGINT) score
+  FROM (SELECT *, unnest(range(1, m)) k FROM c) c JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(ws[:k], ' ') JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(ws[k + 1:], ' ')),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+parts AS (SELECT DISTINCT lang, a, array_to_string(ws[i:i + j - 1], ' ') phrase
+  FROM (SELECT *, unnest(range(1, m - j + 2)) i FROM (SELECT *, unnest(range(2, m)) j FROM c))),
+gone AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN parts ON s.lang = parts.lang AND s.phrase = parts.phrase AND 100 * parts.a >= 80 * s.a),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) rank, phrase, a, l, r, score FROM worst ANTI JOIN gone USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_license_scan": op2_license_scan,
@@ -177,6 +200,7 @@ QUERIES = {
     "op10_fuzzy_lines": op10_fuzzy_lines,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_hash_tree_shards": op12_hash_tree_shards,
+    "op13_collocations": op13_collocations,
 }
 ORACLES = {
     "op1_chat_format": OP1_SQL,
@@ -184,4 +208,5 @@ ORACLES = {
     "op4_decontaminate": OP4_SQL,
     "op11_hard_negatives": OP11_SQL,
     "op12_hash_tree_shards": OP12_SQL,
+    "op13_collocations": OP13_SQL,
 }
