@@ -31,7 +31,7 @@ BREAKS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 KIND = np.array([2 if c in BREAKS else 1 if c in SPACES else 0 for c in range(256)], np.uint8)
 _GAP = re.compile(b"[" + re.escape(BREAKS + SPACES) + b"]")
 #: Bytes that are cut into words at a time, and phrases that a task adds up at a time.
-CHUNK, BUFFER = 4 << 20, 1 << 21
+CHUNK, BUFFER = 1 << 20, 1 << 20
 #: Bits of a filter: 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
 #: Pairs above a language's first floor, for each phrase asked for, and how much lower each further floor goes.
