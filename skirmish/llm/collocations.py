@@ -20,6 +20,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,12 +117,16 @@ class Cutter:
 
 def texts_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     """(lang, its texts of a slice, lower-cased, each ended by a line feed) of batches (lang, text)."""
-    for batch in common.slices(batches, "text", CHUNK):
-        found: dict[str, list[bytes]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), common.binary_column(batch, "text"), strict=True):
-            found.setdefault(lang, []).append(text)
-        for lang, texts in found.items():
-            yield lang, (b"\n".join(texts) + b"\n").translate(common.LOWER)
+    for batch in batches:
+        at, ends = 0, np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while at < batch.num_rows:  # only a slice becomes Python's bytes at a time
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, side="right")))
+            part, at = batch.slice(at, stop - at), stop
+            found: dict[str, list[bytes]] = {}
+            for lang, text in zip(part.column(0).to_pylist(), common.binary_column(part, "text"), strict=True):
+                found.setdefault(lang, []).append(text)
+            for lang, texts in found.items():
+                yield lang, (b"\n".join(texts) + b"\n").translate(common.LOWER)
 
 
 def vocabulary(docs: DataFrame, seed: int) -> DataFrame:
@@ -179,7 +184,8 @@ def counted(docs: DataFrame, seed: int, size: int, wanted: Callable[[np.ndarray]
         if held:
             yield summed(parts)
 
-    rows = docs.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "a"]))
+    # tasks have added up what they read, so rows go to their phrase's task as they are
+    rows = docs.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "a"])).repartition(*names)
     return rows.groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
