@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import math
+import uuid
 
 from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexer, VectorAssembler, VectorSizeHint
 from pyspark.ml.classification import FMClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from skirmish.functions import estimators as est
 from skirmish.functions import text as tx
 from skirmish.operators import rates as rt
-from skirmish.operators.discovery import checkpointed
+from skirmish.operators.discovery import checkpointed, shared_folder
 
 CS = (0.001, 0.01, 0.1, 1.0, 10.0)
 
@@ -110,6 +114,58 @@ def solo_features(df: DataFrame, vocab: list[int]) -> DataFrame:
     return df.withColumn("features", _dense(vocab, lambda v: F.array_contains("team", F.lit(v).cast("long")).cast("int")))
 
 
+def place_of(entity: Column, vocab: list[int]) -> Column:
+    """The entity's place in the vocabulary, null if it has none: a table of short lists by the id's remainder, as a literal.
+
+    The vocabulary is on the driver, as a model's coefficients are: a number for each entity.
+    """
+    size = max(1, 2 * len(vocab))
+    table: list[list[tuple[int, int]]] = [[] for _ in range(size)]
+    for place, v in enumerate(vocab):
+        table[v % size].append((v, place))
+    kind = "array<array<struct<id:bigint,place:int>>>"
+    held = F.from_json(F.lit(json.dumps([[{"id": v, "place": p} for v, p in some] for some in table])), kind)  # folded once, not for each row
+    some = F.get(held, F.pmod(entity, F.lit(size)).cast("int"))
+    return F.get(F.filter(some, lambda x: x["id"] == entity), F.lit(0))["place"]
+
+
+def _known(places: Column) -> Column:
+    return F.filter(places, lambda x: x.isNotNull())
+
+
+def two_team_places(df: DataFrame, vocab: list[int], name: str = "sparse") -> DataFrame:
+    """Adds an array of (place, value) in order: how often an entity is on the blue side, less how often on the red."""
+    rows = df.withColumn("_blue", _known(F.transform("blue", lambda e: place_of(e, vocab)))).withColumn("_red", _known(F.transform("red", lambda e: place_of(e, vocab))))
+    times = lambda side, i: F.size(F.filter(side, lambda x: x == i))
+    each = F.transform(F.array_sort(F.array_distinct(F.concat("_blue", "_red"))), lambda i: F.struct(i.alias("place"), (times("_blue", i) - times("_red", i)).cast("double").alias("value")))
+    return rows.withColumn(name, F.filter(each, lambda x: x["value"] != 0)).drop("_blue", "_red")
+
+
+def team_places(df: DataFrame, vocab: list[int], pairs: bool = False, name: str = "sparse") -> DataFrame:
+    """Adds an array of (place, 1) in order: the team's entities, and with ``pairs`` its pairs in the places after all entities."""
+    own = df.withColumn("_own", F.array_sort(F.array_distinct(_known(F.transform("team", lambda e: place_of(e, vocab))))))
+    both = F.transform(rt.unordered_pairs(F.col("_own")), lambda p: pair_index(p["a"].cast("long"), p["b"].cast("long"), len(vocab)).cast("int"))
+    places = F.concat("_own", F.array_sort(both)) if pairs else F.col("_own")
+    return own.withColumn(name, F.transform(places, lambda i: F.struct(i.alias("place"), F.lit(1.0).alias("value")))).drop("_own")
+
+
+def sparse_width(n: int, pairs: bool = False) -> int:
+    return n + n * (n - 1) // 2 * pairs
+
+
+def as_vectors(df: DataFrame, width: int, name: str = "sparse", features: str = "features") -> DataFrame:
+    """df with sparse vectors of ``width`` instead of arrays (place, value), written once to the shared folder.
+
+    A file holds a vector as its parts; read with the vector's type they are vectors, so none is built dense and no Python runs.
+    """
+    spark, place = df.sparkSession, f"{shared_folder(df.sparkSession)}/features-{uuid.uuid4()}"
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(width).alias("size"), F.col(f"{name}.place").cast("array<int>").alias("indices"), F.col(f"{name}.value").alias("values"))
+    rows = df.withColumn(features, parts).drop(name)
+    rows.write.parquet(place)
+    kind = StructType([StructField(f.name, VectorUDT() if f.name == features else f.dataType) for f in rows.schema])
+    return spark.read.schema(kind).parquet(place)
+
+
 def pair_index(a: Column, b: Column, n: int) -> Column:
     """Place of the pair of places a < b after n single ones, the upper triangle row by row."""
     return F.lit(n) + a * n - F.floor(a * (a + 1) / 2) + (b - a - 1)
@@ -261,6 +317,45 @@ def shuffled_labels(df: DataFrame, seed: int = 0) -> DataFrame:
     return rows.join(labels, "place").drop("place")
 
 
+def leak_checks(df: DataFrame, seed: int = 0, least_correlation: float = 0.9, most_accuracy: float = 0.65, loss_slack: float = 0.005, accuracy_slack: float = 0.02) -> DataFrame:
+    """(check, value, bound, alarm): four signs that labels leak into a model, or that it can't learn, for matches split by time (split is train or val).
+
+    shuffled_loss and shuffled_accuracy: a model of shuffled training labels mustn't beat a constant on val, in log-loss by ``loss_slack`` or in accuracy by
+    ``accuracy_slack`` over the more frequent side. planted_correlation: with labels drawn from known weights of the entities, the fitted ones must correlate with
+    these. accuracy: with the true labels, more than ``most_accuracy`` on val is too good. Further feature columns (``leak_...``, numbers) join the
+    entities' features, so a column that knows the label shows up.
+    """
+    train = df.where("split = 'train'")
+    ids = [r["entity_id"] for r in build_vocab(train).collect()]  # one row for each entity
+    more = [c for c in df.columns if c.startswith("leak_")]
+    width = len(ids) + len(more)
+    extra = F.array(*[F.struct(F.lit(len(ids) + i).alias("place"), F.col(c).cast("double").alias("value")) for i, c in enumerate(more)])
+    extra = F.filter(extra, lambda x: F.coalesce(x["value"], F.lit(0.0)) != 0) if more else F.array().cast("array<struct<place:int,value:double>>")
+    uniform = lambda *of: (F.pmod(F.xxhash64(*of, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    normal = lambda e: F.sqrt(-2 * F.ln(uniform(e, F.lit("a")))) * F.cos(2 * math.pi * uniform(e, F.lit("b"))) / 2
+    total = lambda side: F.aggregate(side, F.lit(0.0), lambda acc, e: acc + normal(e))
+    planted = (uniform("game_id", F.lit("c")) < est.sigmoid(total("blue") - total("red"))).cast("double")
+    mixed = shuffled_labels(train.select("created_ms", "game_id", "blue_wins"), seed).select("game_id", F.col("blue_wins").cast("double").alias("shuffled"))
+    rows = two_team_places(df.withColumn("true", F.col("blue_wins").cast("double")).withColumn("planted", planted), ids).withColumn("sparse", F.concat("sparse", extra))
+    rows = rows.select("game_id", "split", "true", "planted", "sparse").join(mixed, "game_id", "left")
+    rows = as_vectors(rows, width)
+    train, val = rows.where("split = 'train'"), rows.where("split = 'val'")
+    n = train.count()
+    fit = lambda label: fit_lr(train, label, 1.0, n)
+    shuffled = binary_metrics(predicted(fit("shuffled"), val), "true", "p").first()
+    accuracy = binary_metrics(predicted(fit("true"), val), "true", "p").first()["accuracy"]
+    base = val.agg(F.avg("true")).first()[0]
+    weights = weights_of(fit("planted"), [*ids, *[-1 - i for i in range(len(more))]], df.sparkSession).where("id >= 0")
+    correlation = weights.agg(F.corr("weight", normal(F.col("id")))).first()[0]
+    out = [
+        ("shuffled_loss", shuffled["log_loss"], shuffled["constant_log_loss"] - loss_slack, shuffled["log_loss"] <= shuffled["constant_log_loss"] - loss_slack),
+        ("shuffled_accuracy", shuffled["accuracy"], max(base, 1 - base) + accuracy_slack, shuffled["accuracy"] >= max(base, 1 - base) + accuracy_slack),
+        ("planted_correlation", correlation, least_correlation, correlation is None or correlation <= least_correlation),
+        ("accuracy", accuracy, most_accuracy, accuracy > most_accuracy),
+    ]
+    return df.sparkSession.createDataFrame([(c, float(v) if v is not None else None, float(b), bool(a)) for c, v, b, a in out], "check string, value double, bound double, alarm boolean")
+
+
 def compare_windows(windows: dict[str, DataFrame], val: DataFrame, test: DataFrame, vocab: list[int]) -> DataFrame:
     """Metrics on one val and test for a model of each training window."""
     out = None

@@ -83,7 +83,7 @@ def streaks(df: DataFrame, group: str, order: list[str], gain: Column, least: in
 
     A run is what stands between two gains of its group, whichever ranges it lies in.
     """
-    rows = swept(df.withColumn("_gain", gain), [group], order, {"_run": (F.col("_gain") > 0).cast("long")})
+    rows = swept(df.withColumn("_gain", gain.cast("double")), [group], order, {"_run": (F.col("_gain") > 0).cast("long")})
     runs = rows.where(~F.coalesce(F.col("_gain") > 0, F.lit(False))).groupBy(group, "_run").agg(F.count("*").alias("streak"), F.min(first).alias(f"first_{first.removesuffix('_id')}"))
     return runs.where(F.col("streak") >= least).drop("_run")
 
@@ -96,7 +96,7 @@ def backoffs(df: DataFrame, group: str, order: list[str], gain: Column, limit: i
     runs, one row each, says at which places of the group back-offs begin, and a join by place finds their times.
     """
     ts = order[0]
-    rows = sweep(ranged(df.select(group, *order, gain.alias("_gain")), [group], order), {"_place": F.lit(1).cast("long")}, {"_before": ts})
+    rows = sweep(ranged(df.select(group, *order, gain.cast("double").alias("_gain")), [group], order), {"_place": F.lit(1).cast("long")}, {"_before": ts})
     rest = F.unix_micros(ts) - F.unix_micros("_before") > idle_s * 1_000_000
     rows = sweep(rows, {"_run": F.coalesce(rest, F.lit(True)).cast("long")})
     gains = F.min(F.when(F.col("_gain") > 0, F.col("_place")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,32 @@ def prior_strength(rows: DataFrame, prior: str = "baseline", least: int = 20) ->
     return best
 
 
+def prior_minimum(rows: DataFrame, prior: str = "baseline", least: int = 20, low: float = LOW, high: float = HIGH, nodes: int = 48) -> float:
+    """k of least negative log-likelihood, from one pass; DEFAULT with fewer than ``least`` rows.
+
+    Equal counts are added up first. The sum is a smooth function of log k, so its values at Chebyshev nodes, one row each, give a polynomial that equals it
+    to rounding between the bounds; its minimum is bracketed by a scan and narrowed by golden sections.
+    """
+    middle, half = (math.log(low) + math.log(high)) / 2, (math.log(high) - math.log(low)) / 2
+    angles = math.pi * (np.arange(nodes) + 0.5) / nodes
+    ks = [float(math.exp(middle + half * x)) for x in np.cos(angles)]
+    counts = rows.where("games > 0").groupBy("wins", "games", prior).agg(F.count("*").alias("rows"))
+    each = counts.select("*", F.posexplode(F.array(*map(F.lit, ks))).alias("step", "k"))
+    found = each.groupBy("step").agg(F.sum("rows").alias("n"), F.sum(F.col("rows") * negative_log_likelihood(F.col("k"), prior)).alias("nll")).orderBy("step").collect()
+    if not found or found[0]["n"] < least:
+        return DEFAULT
+    values = np.array([r["nll"] for r in found])
+    loss = np.polynomial.Chebyshev([(1 + (m > 0)) / nodes * float(values @ np.cos(m * angles)) for m in range(nodes)])
+    scan = np.linspace(-1, 1, 2001)
+    at = int(np.argmin(loss(scan)))
+    a, b = scan[max(0, at - 1)], scan[min(2000, at + 1)]
+    part = (math.sqrt(5) - 1) / 2
+    while b - a > 1e-9:
+        x, y = b - part * (b - a), a + part * (b - a)
+        a, b = (a, y) if loss(x) <= loss(y) else (x, b)
+    return float(min(high, max(low, math.exp(middle + half * (a + b) / 2))))
+
+
 def prior_strength_moment(rows: DataFrame) -> DataFrame:
     """(rho, k) from the median excess variance of the rows' rates over what chance gives (the upper median)."""
     v = est.number("baseline") * (1 - est.number("baseline"))

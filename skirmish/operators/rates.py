@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.functions import estimators as est
+from skirmish.operators import ordered
 
 
 def mirror_teams(matches: DataFrame) -> DataFrame:
@@ -107,7 +108,8 @@ def anchor_delta(pairs: DataFrame, rates: DataFrame, z: float = est.Z95) -> Data
 
 def noise_floor(deltas: DataFrame, z: float = est.Z95) -> DataFrame:
     """Median size of the differences, median half width of their intervals, and the ratio."""
-    rows = deltas.agg(F.percentile(F.abs("delta"), F.lit(0.5)).alias("median_delta"), F.percentile(F.col("se") * z, F.lit(0.5)).alias("median_half_width"))
+    rows = deltas.select(F.abs("delta").alias("size"), (F.col("se") * z).alias("half_width"))
+    rows = ordered.quantiles(rows, {"median_delta": ("size", 0.5), "median_half_width": ("half_width", 0.5)})
     return rows.withColumn("ratio", F.col("median_delta") / F.col("median_half_width"))
 
 
@@ -188,3 +190,20 @@ def tier_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     a, b = F.array_position(order, F.col("before")), F.array_position(order, F.col("after"))
     change = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "gone").when(b < a, "up").when(b > a, "down").otherwise("same")
     return rows.withColumn("change", change)
+
+
+def pooled_pairs(pairs: DataFrame, expected: str = "expected") -> DataFrame:
+    """pairs with their effects on the logit beside what their members alone give, shrunk towards none.
+
+    ``pairs`` has games, wins and the expected rate. A pair's own effect is (wins - expected wins) / information, the information being
+    games * p * (1 - p); effects are taken as normal around 0 with a variance that all pairs give together: what their weighted squares exceed
+    chance by, over the summed information (0 if they don't). Adds effect, pooled (the posterior mean), sd, z, rate (the pooled one) and tau2.
+    """
+    p = est.clip(expected, 1e-4, 1 - 1e-4)
+    rows = pairs.withColumn("_info", est.number("games") * p * (1 - p)).withColumn("_over", est.number("wins") - est.number("games") * p)
+    sums = rows.agg(F.sum(F.pow("_over", 2) / F.col("_info")).alias("q"), F.count("*").alias("n"), F.sum("_info").alias("info"))
+    tau2 = sums.select(F.greatest(F.lit(0.0), F.coalesce((F.col("q") - F.col("n")) / F.col("info"), F.lit(0.0))).alias("tau2"))
+    rows = rows.crossJoin(F.broadcast(tau2))  # one row
+    shrink = F.col("tau2") / (F.col("tau2") * F.col("_info") + 1)
+    rows = rows.withColumn("effect", F.col("_over") / F.col("_info")).withColumn("pooled", F.col("_over") * shrink).withColumn("sd", F.sqrt(shrink))
+    return rows.withColumn("z", F.when(F.col("sd") > 0, F.col("pooled") / F.col("sd")).otherwise(0.0)).withColumn("rate", est.sigmoid(est.logit(expected, 1e-4) + F.col("pooled"))).drop("_info", "_over")

@@ -17,12 +17,13 @@ from skirmish.operators import discovery as dc
 from skirmish.operators import mart
 from skirmish.operators import matches as ma
 from skirmish.operators import models as mo
+from skirmish.operators import ordered
 from skirmish.operators import picks as pk
 from skirmish.operators import privacy as pv
 from skirmish.operators import rates as rt
 from skirmish.operators import teams as tm
 from skirmish.sources import games as gm
-from skirmish.streaming import jobs
+from skirmish.streaming import jobs, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -250,6 +251,15 @@ def eb_prior_strength(spark, d):
     return rows.select("entity_id", "attribute_id", F.lit(k).alias("k"), est.bayes_rate("wins", "games", F.col("baseline"), k).alias("posterior"))
 
 
+@query(ATTRS + strength_sql("ar JOIN eb USING (entity_id)", "b", 20) + " SELECT (SELECT count(*) FROM ar) n, round(log10(k), 2) log_k FROM kk")
+def eb_prior_minimum(spark, d):
+    """The strength that one pass over the counts gives."""
+    p = gm.players(spark, d)
+    rows = dc.checkpointed(pk.with_baseline(rt.entity_attribute_rates(p), rt.entity_rates(p)))
+    k = pk.prior_minimum(rows)
+    return rows.agg(F.count("*").alias("n"), F.round(F.log10(F.lit(k)), 2).alias("log_k"))
+
+
 @query(ATTRS + """, rho AS (SELECT greatest(0, pow(CAST(wins AS DOUBLE)/games - b, 2) - b*(1-b)/games)/(b*(1-b)) rho FROM ar JOIN eb USING (entity_id)), r2 AS (SELECT rho, row_number() OVER (ORDER BY rho) - 1 i, count(*) OVER () n FROM rho WHERE rho > 0)
 SELECT round(rho, 6) rho, round(greatest(5, least(5000, 1/rho - 1)), 6) k FROM r2 WHERE i = n // 2""")
 def eb_prior_moment(spark, d):
@@ -265,14 +275,14 @@ def quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-def any_sql(text: str, words: str) -> str:
-    return "(" + " OR ".join(f"contains({text}, {quoted([w])})" for w in words.split(",")) + ")"
+def any_sql(text: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {quoted([w])})" for w in words) + ")"
 
 
-SAID = ",".join([*dims.TYPE_WORDS.values(), dims.DAMAGE_WORDS]).split(",")
+SAID = [w for words in (*dims.TYPE_WORDS.values(), dims.DAMAGE_WORDS) for w in words]
 AD = f""", ad AS (SELECT attribute_id, slug, CASE WHEN {any_sql('txt', dims.DAMAGE_WORDS)} THEN 'role_damage' ELSE 'role' END "scope",
  list_sort(list_distinct(list_concat([x FOR x IN [{', '.join(f"CASE WHEN {any_sql('txt', w)} THEN '{t}' END" for t, w in dims.TYPE_WORDS.items())}] IF x IS NOT NULL],
- CASE slug {' '.join(f"WHEN '{k}' THEN [{quoted(v.split(','))}]" for k, v in dims.SET_TYPES.items())} END))) types
+ CASE slug {' '.join(f"WHEN '{k}' THEN [{quoted(v)}]" for k, v in dims.SET_TYPES.items())} END))) types
  FROM (SELECT 1000+i attribute_id, [{quoted(dims.SET_TYPES)}][i % 9 + 1] slug, [{quoted(SAID)}][(i*7) % {len(SAID)} + 1] || ' ' || [{quoted(SAID)}][(i*11+5) % {len(SAID)} + 1] txt FROM range(60) t(i)))"""
 TYPES = ATTRS + AD + """, st AS (SELECT entity_id, category, count(*) games, CAST(sum(win) AS BIGINT) wins, any_value(b) baseline FROM (SELECT DISTINCT game_id, entity_id, win, unnest(types) category FROM a JOIN ad USING (attribute_id)) JOIN eb USING (entity_id) GROUP BY 1, 2),
 al AS (SELECT category, (sum(wins) - sum(baseline*games))/sum(games) avg_lift FROM st GROUP BY 1),
@@ -342,7 +352,7 @@ def top_bottom_affinity(spark, d):
     return pk.top_bottom_affinity(rows, name="set").select("entity_id", "set", "top_rank", "bottom_rank")
 
 
-KINDS, NAMES = list(gm.CATEGORIES), [*",".join(dims.ITEM_WORDS.values()).split(","), *["plain"] * 100]
+KINDS, NAMES = list(gm.CATEGORIES), [*(w for words in dims.ITEM_WORDS.values() for w in words), *["plain"] * 100]
 
 
 def style_sql() -> str:
@@ -709,7 +719,24 @@ def solo_pair_places(spark, d):
 def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, list[int]]:
     rows = mo.time_split(gm.games(spark, d)).withColumn("label", F.col("blue_wins").cast("double"))
     ids = [r["entity_id"] for r in mo.build_vocab(rows.where("split = 'train'")).collect()]  # one row for each entity
-    return dc.checkpointed(mo.two_team_features(rows, ids)), ids
+    return mo.as_vectors(mo.two_team_places(rows, ids), len(ids)), ids
+
+
+@query(", v AS (SELECT entity_id, CAST(row_number() OVER (ORDER BY entity_id) - 1 AS INTEGER) i FROM er) SELECT game_id, CAST(list_sum(list_transform(list(i ORDER BY i), lambda x: x)) AS BIGINT) place_sum, string_agg(i || ':' || CASE WHEN team_id = 100 THEN 1 ELSE -1 END, ' ' ORDER BY i) said FROM p JOIN v USING (entity_id) GROUP BY 1")
+def two_team_places(spark, d):
+    """Sparse features of both teams of each match, as text."""
+    games = gm.games(spark, d)
+    ids = [r["entity_id"] for r in mo.build_vocab(games).collect()]  # one row for each entity
+    rows = mo.two_team_places(games, ids)
+    said = F.array_join(F.transform("sparse", lambda x: F.concat_ws(":", x["place"].cast("string"), x["value"].cast("int").cast("string"))), " ")
+    return rows.select("game_id", F.aggregate("sparse.place", F.lit(0).cast("long"), lambda a, x: a + x).alias("place_sum"), said.alias("said"))
+
+
+@query(rounded=4)
+def leak_checks(spark, d):
+    """Shuffled labels, planted weights and accuracy over the matches' split by time."""
+    rows = mo.time_split(gm.games(spark, d)).where("split <> 'test'")
+    return mo.leak_checks(rows.select("game_id", "created_ms", "blue", "red", "blue_wins", "split"))
 
 
 @query(rounded=4)
@@ -826,6 +853,14 @@ def visible_pairs(spark, d):
     return mart.visible_pairs(rt.pair_rates(gm.games(spark, d)), seen).select("anchor", "mate", "games", "wins")
 
 
+@query(SYN + """, po AS (SELECT *, greatest(least(expected, 0.9999), 0.0001) q FROM syn WHERE anchor < mate), pi AS (SELECT *, games*q*(1-q) info, wins - games*q ov FROM po),
+t2 AS (SELECT greatest(0, (sum(ov*ov/info) - count(*))/sum(info)) tau2 FROM pi)
+SELECT anchor, mate, games, round(ov/info, 6) effect, round(ov*tau2/(tau2*info+1), 6) + 0.0 pooled, round(sqrt(tau2/(tau2*info+1)), 6) sd, round(1/(1+exp(-(ln(q/(1-q)) + ov*tau2/(tau2*info+1)))), 6) rate, round(tau2, 6) tau2 FROM pi, t2""")
+def pooled_pairs(spark, d):
+    """Effects of pairs over their members' logits, shrunk by a strength that all pairs give."""
+    return rt.pooled_pairs(synergy(spark, d).where("anchor < mate")).select("anchor", "mate", "games", "effect", "pooled", "sd", "rate", "tau2")
+
+
 @query(SYN + TOPN + TIERS + """, mp AS (SELECT entity_id, string_agg(rarity || ':' || attribute_id, ',' ORDER BY rarity, t) FILTER (t <= 5) best, string_agg(rarity || ':' || attribute_id, ',' ORDER BY rarity, u) FILTER (u <= 5) worst FROM rk GROUP BY 1),
 mm AS (SELECT anchor entity_id, count(*) n_pairs, string_agg(mate, ',' ORDER BY mate) mates FROM syn WHERE mate IN (SELECT entity_id FROM er) AND games >= 30 GROUP BY 1)
 SELECT entity_id, games, tier, round(bayes, 4) rate, best, worst, coalesce(n_pairs, 0) n_pairs, coalesce(mates, '') mates FROM ti JOIN mp USING (entity_id) LEFT JOIN mm USING (entity_id)""", rounded=4)
@@ -895,6 +930,30 @@ def zero_streaks(spark, d):
     return jobs.zero_streaks(gm.table(spark, d, "events").withColumn("gain", (F.col("value") > 50).cast("int")), 5)
 
 
+def timed_events(spark: SparkSession, d: str) -> DataFrame:
+    return gm.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER w pl, lag(ts) OVER w b FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+r AS (SELECT *, sum(CASE WHEN b IS NULL OR epoch_us(ts) - epoch_us(b) > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY pl) run FROM e),
+s AS (SELECT *, min(pl) OVER (PARTITION BY event_type, run) f, min(CASE WHEN value > 50 THEN pl END) OVER (PARTITION BY event_type, run) g FROM r)
+SELECT event_type, epoch_us(ts) at_us, epoch_us(ts) + 2700000000 until_us FROM s WHERE (pl - f + 1) % 3 = 0 AND (g IS NULL OR pl < g)""")
+def family_backoffs(spark, d):
+    """When event types back off: three results without gain, none in the run, whose parts are less than an hour apart."""
+    found = ordered.backoffs(timed_events(spark, d), "event_type", ["ts", "event_id"], F.col("value") > 50, limit=3, idle_s=3600)
+    return found.select("event_type", F.unix_micros("at").alias("at_us"), F.unix_micros("until").alias("until_us"))
+
+
+@query("""SELECT user_id, event_id, rank source_rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, s ORDER BY rank, ts, event_id) i FROM (SELECT *, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END rank, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) s
+ FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END new FROM events))) WHERE i = 1""")
+def best_of_sources(spark, d):
+    """One event of each user and stretch of hours: the first purchase, or else the first event."""
+    rows = timed_events(spark, d).select("user_id", "ts", "event_id", "event_type")
+    bought = F.col("event_type") == "purchase"
+    found = stateful.best_of_sources([rows.where(bought), rows.where(~bought)], "user_id", "ts", wait="6 hours", ties=("event_id",))
+    return found.select("user_id", "event_id", "source_rank")
+
+
 SNAP = "sn AS (SELECT date_trunc('day', ts) dt, count(*) c, count(*) FILTER (event_type = 'purchase') dn FROM events GROUP BY 1), s2 AS (SELECT epoch(dt)::BIGINT captured_at_unix, CAST(sum(c) OVER (ORDER BY dt) AS BIGINT) total, CAST(sum(dn) OVER (ORDER BY dt) AS BIGINT) done, CAST(day(dt)//10 AS VARCHAR) version FROM sn)"
 
 
@@ -911,6 +970,18 @@ def snapshot_deltas(spark, d):
     return dc.snapshot_deltas(snapshots(spark, d), "captured_at_unix").select("captured_at_unix", "total", "delta", "version_delta", F.col("per_hour"), F.col("yield_per_100").cast("double").alias("yield_per_100"))
 
 
+@query(f"""WITH RECURSIVE {SNAP}, de AS (SELECT captured_at_unix t, total % 3 workers, total % 400 pending, done - lag(done) OVER w dd, total - lag(total) OVER w d FROM s2 WINDOW w AS (ORDER BY captured_at_unix)),
+rs AS (SELECT *, CASE WHEN workers = 0 THEN 1 ELSE 0 END + CASE WHEN pending <= 120 THEN 1 ELSE 0 END + CASE WHEN dd >= 2 AND d <= 0 THEN 1 ELSE 0 END n FROM de),
+se AS (SELECT min(t) t FROM rs WHERE n > 0 UNION ALL SELECT (SELECT min(t) FROM rs WHERE n > 0 AND rs.t >= se.t + 200000) FROM se WHERE t IS NOT NULL)
+SELECT t captured_at_unix, n, t IN (SELECT t FROM se WHERE t IS NOT NULL) sent FROM rs""")
+def alarm_cooldown(spark, d):
+    """Reasons for alarm in each day's snapshot, and whether it is sent: not within two days or so of the last one sent."""
+    rows = snapshots(spark, d).select("*", (F.col("total") % 3).alias("workers"), (F.col("total") % 400).alias("pending"))
+    rows = dc.health_triggers(dc.snapshot_deltas(rows, "captured_at_unix"), 120, 2)
+    rows = ordered.cooled_down(rows, [], F.col("captured_at_unix"), 200_000, F.size("reasons") > 0)
+    return rows.select("captured_at_unix", F.size("reasons").alias("n"), "sent")
+
+
 @query("SELECT user_id, event_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) b FROM events) WHERE b IS NULL OR b <> event_type")
 def state_changes(spark, d):
     return dc.state_changes(gm.table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type")).select("user_id", "event_id")

@@ -21,48 +21,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One match for each order, with both teams and the participants in arrays; made inside the row, without a shuffle."""
+def _entity(slot: Column | int) -> Column:
+    """The entity at a place (0 to 4 blue, 5 to 9 red) of an order's match."""
+    k = F.col("o_orderkey")
+    return 1 + ((k * 37 + 11) % 101 + slot * (1 + (k * 13) % 100)) % 101
+
+
+def _attributes(entity: Column) -> Column:
     k = F.col("o_orderkey")
-    base, stride = (k * 37 + 11) % 101, 1 + (k * 13) % 100
+    return F.array(*[1000 + (entity * a + k * b) % 60 for a, b in ((7, 3), (11, 5), (13, 7))])
+
+
+def _facts() -> dict[str, Column]:
+    """Columns of a match that don't depend on its participants one by one."""
+    k = F.col("o_orderkey")
+    score = sum((((_entity(i) * 29) % 21 - 10) * (1 if i < 5 else -1) for i in range(10)), F.lit(0).cast("long")) + (k * 7919) % 121 - 60
+    return {
+        "game_id": k.cast("string"),
+        "k": k,
+        "queue_id": F.when(F.col("o_orderpriority") == "1-URGENT", 450).otherwise(2400),
+        "patch": F.concat(F.lit("16."), (F.year("o_orderdate") - 1990).cast("string"), F.lit("."), (700 + F.month("o_orderdate")).cast("string")),
+        "created_ms": F.unix_millis(F.col("o_orderdate").cast("timestamp")),
+        "actor_id": F.col("o_custkey"),
+        "duration_sec": 240 + (k * 17) % 1500,
+        "has_payload": k % 10 != 0,
+        "blue_wins": (score >= 0).cast("int"),
+    }
+
 
-    def participant(slot: Column) -> Column:
-        entity = 1 + (base + slot * stride) % 101
+def games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One match for each order, with both teams and the participants in arrays; made inside the row, without a shuffle.
+
+    Every column is plain arithmetic over ten fixed places, so columns that nothing asks for cost nothing.
+    """
+    facts = _facts()
+
+    def participant(slot: int) -> Column:
+        entity, blue = _entity(slot), slot < 5
         return F.struct(
-            slot.cast("int").alias("slot"),
-            entity.alias("entity_id"),
-            F.when(slot < 5, 100).otherwise(200).alias("team_id"),
-            (((entity * 29) % 21 - 10) * F.when(slot < 5, 1).otherwise(-1)).alias("weight"),
-            F.array(1000 + (entity * 7 + k * 3) % 60, 1000 + (entity * 11 + k * 5) % 60, 1000 + (entity * 13 + k * 7) % 60).alias("attributes"),
+            F.lit(slot).alias("slot"), entity.alias("entity_id"), F.lit(100 if blue else 200).alias("team_id"), (((entity * 29) % 21 - 10) * (1 if blue else -1)).alias("weight"), _attributes(entity).alias("attributes")
         )
 
-    rows = table(spark, sf_dir, "orders").select(k, "o_orderpriority", "o_orderdate", "o_custkey", F.transform(F.sequence(F.lit(0), F.lit(9)), participant).alias("participants"))
-    score = F.aggregate("participants", F.lit(0).cast("long"), lambda acc, p: acc + p["weight"]) + (k * 7919) % 121 - 60
-    side = lambda t: F.array_sort(F.transform(F.filter("participants", lambda p: p["team_id"] == t), lambda p: p["entity_id"]))
-    return rows.select(
-        k.cast("string").alias("game_id"),
-        k.alias("k"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", 450).otherwise(2400).alias("queue_id"),
-        F.concat(F.lit("16."), (F.year("o_orderdate") - 1990).cast("string"), F.lit("."), (700 + F.month("o_orderdate")).cast("string")).alias("patch"),
-        F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("created_ms"),
-        F.col("o_custkey").alias("actor_id"),
-        (240 + (k * 17) % 1500).alias("duration_sec"),
-        (k % 10 != 0).alias("has_payload"),
-        side(100).alias("blue"),
-        side(200).alias("red"),
-        (score >= 0).cast("int").alias("blue_wins"),
-        "participants",
-    )
+    facts |= {name: F.array_sort(F.array(*[_entity(i) for i in slots])) for name, slots in (("blue", range(5)), ("red", range(5, 10)))}
+    facts["participants"] = F.array(*[participant(i) for i in range(10)])
+    order = ["game_id", "k", "queue_id", "patch", "created_ms", "actor_id", "duration_sec", "has_payload", "blue", "red", "blue_wins", "participants"]
+    return table(spark, sf_dir, "orders").select(*[facts[c].alias(c) for c in order])
 
 
 def players(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each participant: game_id, queue_id, patch, team_id, entity_id, win, attributes (null without payload)."""
-    rows = games(spark, sf_dir).select("game_id", "k", "queue_id", "patch", "created_ms", "duration_sec", "has_payload", "blue_wins", F.explode("participants").alias("p"))
-    return rows.select(
-        "game_id", "k", "queue_id", "patch", "created_ms", "duration_sec", "p.team_id", "p.entity_id",
-        ((F.col("blue_wins") == 1) == (F.col("p.team_id") == 100)).cast("int").alias("win"),
-        F.when(F.col("has_payload"), F.col("p.attributes")).alias("attributes"),
-    )
+    facts = _facts()
+    own = ["game_id", "k", "queue_id", "patch", "created_ms", "duration_sec"]
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", *[facts[c].alias(c) for c in (*own, "has_payload", "blue_wins")], F.explode(F.sequence(F.lit(0), F.lit(9))).alias("slot"))
+    rows = rows.select("o_orderkey", *own, "has_payload", "blue_wins", F.when(F.col("slot") < 5, 100).otherwise(200).alias("team_id"), _entity(F.col("slot")).alias("entity_id"))
+    win = ((F.col("blue_wins") == 1) == (F.col("team_id") == 100)).cast("int").alias("win")
+    return rows.select(*own, "team_id", "entity_id", win, F.when(F.col("has_payload"), _attributes(F.col("entity_id"))).alias("attributes"))
 
 
 def capture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +97,7 @@ def attribute_dim(spark: SparkSession) -> DataFrame:
     """Dimension of the attributes that matches hold: rarity, set, slugs of its sets, and a text, all by the id."""
     i = F.col("id") - 1000
     pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
-    said = ",".join([*dims.TYPE_WORDS.values(), dims.DAMAGE_WORDS]).split(",")
+    said = [w for words in (*dims.TYPE_WORDS.values(), dims.DAMAGE_WORDS) for w in words]
     return spark.range(1000, 1060).select(
         F.col("id").alias("attribute_id"), pick(("kPrismatic", "kGold", "kSilver"), F.col("id")).alias("rarity"), F.concat(F.lit("set-"), (F.col("id") % 9).cast("string")).alias("set"),
         F.array(pick(list(dims.SET_TYPES), i)).alias("slugs"), F.concat_ws(" ", pick(said, i * 7), pick(said, i * 11 + 5)).alias("text"),
@@ -108,7 +121,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items made of the parts: name with a word of the item lists, three categories, price, and the style they give."""
     k = F.col("p_partkey")
     pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
-    names = [*",".join(dims.ITEM_WORDS.values()).split(","), *["plain"] * 100]
+    names = [*(w for words in dims.ITEM_WORDS.values() for w in words), *["plain"] * 100]
     kinds = [pick(CATEGORIES, k * 7), pick(CATEGORIES, k * 11 + 3), pick(CATEGORIES, k * 13 + 8)]
     rows = table(spark, sf_dir, "part").select(k.alias("item_id"), F.concat("p_name", F.lit(" "), pick(names, k * 17)).alias("name"), F.array(*kinds).alias("categories"), (1700 + k * 37 % 1500).alias("price"))
     return rows.select("*", dims.item_style(F.col("categories"), F.col("name"), F.col("price")).alias("style"))

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from skirmish.operators import ordered
+from skirmish.streaming.stateful import best_of_sources
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -60,15 +63,15 @@ def attach_version(stream: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def merge_primary_fallback(primary: DataFrame, fallback: DataFrame, key: str, watermark: str = "1 hour") -> DataFrame:
-    """Records of either source, the first that arrives of each id."""
-    both = primary.withColumn("source_rank", F.lit(0)).unionByName(fallback.withColumn("source_rank", F.lit(1)))
-    return both.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
+    """One record of each id: the primary one if there is one, whichever arrives first, else the earliest of the fallback."""
+    return best_of_sources([primary, fallback], key, "ts", watermark, watermark)
 
 
 def upsert_batch(target: str, key: str = "game_id") -> Callable[[DataFrame, int], None]:
     """foreachBatch sink: writes, as version ``batch_id`` of the table, first records with payloads filled in by later ones.
 
-    A batch that runs again writes the same version again.
+    A batch that runs again writes the same version again. Each batch writes the whole table: for one that is large beside
+    its batches, see ``upserts.merge_into``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -100,7 +103,10 @@ def next_backoff(streak: int, total: int, until: float, at: float, value: float,
 
 
 def family_backoff(stream: DataFrame, limit: int = 25, hold_s: float = 45 * 60.0, watermark: str = "1 hour") -> DataFrame:
-    """(family, at, until) whenever a family (event type) begins a back-off; results in order of time within a batch."""
+    """(family, at, until) whenever a family (event type) begins a back-off, at once: results in order of time within a batch.
+
+    Late results count where they arrive, and state stays; ``stateful.family_backoff`` waits for the watermark and forgets.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak, total, until = state.get if state.exists else (0, 0, 0.0)
@@ -118,10 +124,5 @@ def family_backoff(stream: DataFrame, limit: int = 25, hold_s: float = 45 * 60.0
 
 
 def zero_streaks(rows: DataFrame, least: int) -> DataFrame:
-    """Batch form: runs of results without yield in each family, by grouping between yields."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    marked = rows.withColumn("_run", F.sum((F.col("gain") > 0).cast("int")).over(w))
-    runs = marked.where("gain <= 0").groupBy("event_type", "_run").agg(F.count("*").alias("streak"), F.min("event_id").alias("first_event"))
-    return runs.where(F.col("streak") >= least).drop("_run")
+    """Batch form: runs of results without yield in each family, between its yields."""
+    return ordered.streaks(rows, "event_type", ["ts", "event_id"], F.col("gain"), least, "event_id")

@@ -164,11 +164,12 @@ def sent_alarms(stream: DataFrame, key: str, ts: str, triggered: Column, cooldow
     return found.select(key, _time("at"))
 
 
-def best_of_sources(streams: list[DataFrame], key: str, ts: str, wait: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
+def best_of_sources(streams: list[DataFrame], key: str, ts: str, wait: str = "1 hour", watermark: str = "1 hour", ties: tuple[str, ...] = ()) -> DataFrame:
     """One record of each key, from the first of the sources (in the order given) that has one, and from it the earliest.
 
     Records of a key less than ``wait`` apart belong together and are held until the watermark has passed the last of them by that time, so the order of arrival
-    doesn't matter. Batch and stream; a key that comes again later than that is a new record. Source and time are those of the record.
+    doesn't matter. Batch and stream; a key that comes again later than that is a new record. Source and time are those of the record. Of
+    records of one source and time the least by the columns ``ties`` counts.
     """
     both = None
     for rank, rows in enumerate(streams):
@@ -176,6 +177,6 @@ def best_of_sources(streams: list[DataFrame], key: str, ts: str, wait: str = "1
         both = rows if both is None else both.unionByName(rows)
     columns = [c for c in both.columns if c not in (key, ts)]
     rows = both.withColumn("_ts", F.col(ts)).withWatermark(ts, watermark)
-    best = F.min_by(F.struct(F.col("_ts").alias(ts), *columns), F.struct("source_rank", "_ts")).alias("r")
+    best = F.min_by(F.struct(F.col("_ts").alias(ts), *columns), F.struct("source_rank", "_ts", *ties)).alias("r")
     found = rows.groupBy(F.session_window(ts, wait).alias("w"), key).agg(best)
     return found.select(key, f"r.{ts}", *[f"r.{c}" for c in columns])
