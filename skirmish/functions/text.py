@@ -63,3 +63,28 @@ def to_double(x: Column, default: float = 0.0) -> Column:
 
 def to_int(x: Column, default: int = 0) -> Column:
     return F.coalesce(x.try_cast("int"), F.lit(default))
+
+
+def end_ms(start: Column, seconds: Column) -> Column:
+    """End of a match in milliseconds, from its start and length."""
+    return start + seconds.cast("long") * 1000
+
+
+def start_ms(end: Column, seconds: Column) -> Column:
+    return end - seconds.cast("long") * 1000
+
+
+def utc_text(ms: Column) -> Column:
+    """Milliseconds as ISO-8601 text in UTC, to seconds."""
+    return F.date_format(F.to_utc_timestamp(F.timestamp_millis(ms), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def is_recent(ms: Column, now_ms: Column, hours: float) -> Column:
+    """Whether a time is at most so many hours before now; a missing one isn't."""
+    return F.coalesce(ms >= now_ms - int(hours * 3_600_000), F.lit(False))
+
+
+def looked_up(key: Column, table: dict[str, object], default: object = None, overrides: dict[str, object] | None = None) -> Column:
+    """The table's value of a key, the overrides' first, the default where neither has it."""
+    values = F.create_map(*[F.lit(x) for entry in (table | (overrides or {})).items() for x in entry])
+    return F.coalesce(values[key], F.lit(default))

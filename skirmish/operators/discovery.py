@@ -65,6 +65,12 @@ def reseed(actors: DataFrame, now_ms: int, cap: int, families: list[str] | None
     return rows.orderBy(F.desc("new_games"), F.desc("latest_match_ms"), "priority", F.asc_nulls_first("last_crawled_ms"), "actor_id").limit(cap)
 
 
+def reseed_family(actors: DataFrame, sources: list[str], now_ms: int, cap: int = 120, cooldown_ms: int = 3_600_000) -> DataFrame:
+    """Productive actors of given sources not visited in the cooldown: best priority, then the latest match, fewest visits, last seen first; no source, no actor."""
+    rows = actors.where(F.col("source").isin([s for s in sources if s]) & (F.col("new_games") > 0) & (F.coalesce("last_crawled_ms", F.lit(0)) <= now_ms - cooldown_ms))
+    return rows.orderBy("priority", F.desc("latest_match_ms"), "process_count", F.desc("first_seen_ms"), "actor_id").limit(cap)
+
+
 def best_candidates(frontier: DataFrame, now_ms: int, k: int) -> DataFrame:
     """The k pending, eligible entries to visit next."""
     rows = frontier.where((F.col("status") == "pending") & (F.coalesce("eligible_ms", F.lit(0)) <= now_ms))
@@ -182,11 +188,19 @@ def frontier_counts(frontier: DataFrame, actors: DataFrame) -> DataFrame:
     return count(frontier, "status").unionByName(count(actors, "source")).orderBy("kind", "priority", F.desc("n"), "name")
 
 
-def status_snapshot(games: DataFrame, frontier: DataFrame, mode: int) -> DataFrame:
-    """One row: matches in all and of a mode, the mode's latest version with its count and time, its base rate, and the frontier by status."""
+def worker_counts(workers: DataFrame, now_ms: int | Column, alive_ms: int = 120_000) -> DataFrame:
+    """One row: workers alive (their last sign of life is at most ``alive_ms`` old), dead, and the ids of the living. ``workers`` has (worker_id, seen_ms), a row a sign."""
+    last = workers.where("worker_id IS NOT NULL").groupBy("worker_id").agg(F.max("seen_ms").alias("seen_ms"))
+    alive = F.coalesce(F.col("seen_ms") >= now_ms - alive_ms, F.lit(False))
+    return last.agg(F.count_if(alive).alias("alive"), F.count_if(~alive).alias("dead"), F.array_sort(F.collect_list(F.when(alive, F.col("worker_id")))).alias("workers"))
+
+
+def status_snapshot(games: DataFrame, frontier: DataFrame, mode: int, workers: DataFrame | None = None, now_ms: int | Column = 0) -> DataFrame:
+    """One row: matches in all and of a mode, the mode's latest version with its count and time, its base rate, the frontier by status, and workers alive and dead if given."""
     of = F.col("queue_id") == mode
     counts = games.agg(F.count("*").alias("total"), F.count_if(of).alias("mode_total"), F.avg(F.when(of, F.col("blue_wins").cast("double"))).alias("base_rate"))
     patches = games.where(of).groupBy("patch").agg(F.count("*").alias("latest_patch_games"), F.max("created_ms").alias("latest_ms"))
     latest = patches.agg(F.max(F.struct("latest_ms", "patch", "latest_patch_games")).alias("x")).select(F.col("x.patch").alias("latest_patch"), "x.latest_patch_games", "x.latest_ms")
     states = frontier.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("pending", "done", "failed")], F.count("*").alias("known"))
-    return counts.crossJoin(F.broadcast(latest)).crossJoin(F.broadcast(states))  # one row each
+    row = counts.crossJoin(F.broadcast(latest)).crossJoin(F.broadcast(states))  # one row each
+    return row if workers is None else row.crossJoin(F.broadcast(worker_counts(workers, now_ms)))

@@ -97,11 +97,16 @@ def has_forbidden_keys(payload: Column, keys: list[str]) -> Column:
     return F.coalesce(F.exists(objects, lambda o: F.arrays_overlap(F.coalesce(F.json_object_keys(o), F.array().cast("array<string>")), F.array(*[F.lit(k) for k in keys]))), F.lit(False))
 
 
-def search_entities(entities: DataFrame, role: str | None, text: str) -> DataFrame:
-    """Entities with a role chip whose name, alias or tags contain the text; counts for each tier."""
+def found_entities(entities: DataFrame, role: str | None, text: str) -> DataFrame:
+    """Entities with a role chip (any, if none is asked for) whose name, alias or tags contain the trimmed text, in any case."""
     blob = F.lower(F.concat_ws(" ", "name", "alias", F.array_join("tags", " ")))
-    rows = entities.where(blob.contains(text.lower()))
-    return (rows.where(F.array_contains("tags", role)) if role else rows).groupBy("tier").agg(F.count("*").alias("n"))
+    rows = entities.where(blob.contains(text.strip().lower()))
+    return rows.where(F.array_contains("tags", role)) if role else rows
+
+
+def search_entities(entities: DataFrame, role: str | None, text: str) -> DataFrame:
+    """How many of ``found_entities`` each tier has."""
+    return found_entities(entities, role, text).groupBy("tier").agg(F.count("*").alias("n"))
 
 
 def conform(df: DataFrame, schema: str, defaults: dict[str, object] | None = None) -> DataFrame:

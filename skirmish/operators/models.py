@@ -285,6 +285,13 @@ def choose_model(evaluations: DataFrame) -> DataFrame:
     return evaluations.where("split = 'val'").agg(F.max_by("model", F.struct("accuracy", -F.col("log_loss"), "model")).alias("model"))
 
 
+def run_summary(evaluations: DataFrame, n_entities: int, versions: list[str], base_rate: float, temperature: float) -> DataFrame:
+    """One row about a run: entities, versions, base rate, the model chosen on val, temperature, and each model's val and test figures as a map."""
+    figures = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("/", "model", "split"), F.struct("log_loss", "accuracy", "ece")))))
+    rows = evaluations.where("split IN ('val', 'test')").agg(figures.alias("figures")).crossJoin(F.broadcast(choose_model(evaluations)))  # one row
+    return rows.select(F.lit(n_entities).alias("n_entities"), F.array(*map(F.lit, versions)).cast("array<string>").alias("versions"), F.lit(base_rate).alias("base_rate"), F.col("model").alias("best_model"), F.lit(temperature).alias("temperature"), "figures")
+
+
 def model_lift(team: list[int], rates: DataFrame, weights: DataFrame, n: int = 200, seed: int = 1) -> DataFrame:
     """For each candidate: P(team and candidate) less the mean P(candidate and four others) over n draws by hash.
 

@@ -100,14 +100,6 @@ def rank_attributes(attr: DataFrame, k: float, dim: DataFrame, exact: bool = Fal
     return rows.withColumn("lcb_lift", F.col("lcb") - F.col("baseline")).withColumn("rank_score", F.col("lcb_lift"))
 
 
-def damage_bucket(physical: Column, magic: Column, role: Column) -> Column:
-    """physical or magic with at least .55 and a lead of .15, else by role, else mixed."""
-    return (
-        F.when((physical >= 0.55) & (physical - magic >= 0.15), "physical").when((magic >= 0.55) & (magic - physical >= 0.15), "magic")
-        .when(role.isin("Marksman", "Assassin", "Fighter"), "physical").when(role.isin("Mage", "Support"), "magic").otherwise("mixed")
-    )
-
-
 def pick_totals(picks: DataFrame) -> DataFrame:
     """Picks in all, by role, by role and damage, and by entity, for each rarity and attribute: one pass of grouping sets."""
     return picks.groupingSets(

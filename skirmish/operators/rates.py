@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.functions import estimators as est
+from skirmish.functions import text as tx
 from skirmish.operators import ordered
 
 
@@ -183,6 +184,28 @@ def top_bottom(df: DataFrame, key: str, last: str, n: int, min_games: int = 0) -
     return top.unionByName(rows.orderBy(F.asc(key), last).limit(n).withColumn("end", F.lit("bottom")))
 
 
+def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """df with its rank, from 1, in the order of ascending expressions that tell all rows apart; no task gets the whole table."""
+    keys = {f"_order{i}": x for i, x in enumerate(order)}
+    return ordered.placed(df.withColumns(keys), [], list(keys), name).withColumn(name, F.col(name) + 1).drop(*keys)
+
+
+def mode_summary(games: DataFrame) -> DataFrame:
+    """For each mode: matches, base rate, first and last version by number, and the latest time."""
+    by = tx.version_parts(F.col("patch"))
+    return games.groupBy("queue_id").agg(
+        F.count("*").alias("n"), F.avg(F.col("blue_wins").cast("double")).alias("base_rate"), F.min_by("patch", by).alias("min_patch"), F.max_by("patch", by).alias("max_patch"), F.max("created_ms").alias("latest_ms")
+    )
+
+
+def latest_version(games: DataFrame, mode: int | None = None, parts: int = 2) -> DataFrame:
+    """One row: the version (its first parts) with the latest match of a mode, how many it has, and that time; the greater version of equals."""
+    rows = games if mode is None else games.where(F.col("queue_id") == mode)
+    rows = rows.groupBy(tx.truncate_version(F.col("patch"), parts).alias("version")).agg(F.count("*").alias("n"), F.max("created_ms").alias("latest_ms"))
+    best = F.max_by(F.struct("version", "n", "latest_ms"), F.struct("latest_ms", tx.version_parts(F.col("version"))))
+    return rows.agg(best.alias("x")).where("x IS NOT NULL").select("x.*")
+
+
 def tier_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     """How each entity's tier changed between two tier lists: up, down, same, new or gone."""
     order = F.array(*[F.lit(t) for t, _ in est.TIERS], F.lit("T5"))

@@ -168,12 +168,15 @@ def recommend(rolled: DataFrame, rates: DataFrame, picks: list[int], entities: D
     else:
         team = F.array(*[F.lit(p).cast("long") for p in picks])
         teams = rows.select("candidate", F.concat(team, F.array("candidate")).alias("team")).unionByName(rates.sparkSession.range(1).select(F.lit(None).cast("long").alias("candidate"), team.alias("team")))
-        comp = composition_score(team_composition(teams, entities, "candidate")).select("candidate", "composition_score", damage_mix(F.col("ad_share"), fix_ad_share).alias("mix"))
-        before = comp.where("candidate IS NULL").select(F.col("composition_score").alias("_score"), F.col("mix").alias("_mix"))
+        groups = ["ad_share", *[f"{c}_group" for c in ("front", "poke", "wave", "engage", "lacks")]]
+        comp = composition_score(team_composition(teams, entities, "candidate")).select("candidate", "composition_score", damage_mix(F.col("ad_share"), fix_ad_share).alias("mix"), F.struct(*groups).alias("after"))
+        before = comp.where("candidate IS NULL").select(F.col("composition_score").alias("_score"), F.col("mix").alias("_mix"), F.col("after").alias("before"))
         rows = rows.join(comp, "candidate").crossJoin(F.broadcast(before))  # one row
         rows = rows.withColumn("composition_delta", F.col("composition_score") - F.col("_score")).withColumn("mix_delta", F.col("mix") - F.col("_mix")).drop("composition_score", "mix", "_score", "_mix")
     sure = 0.5 + 0.5 * F.col("coverage") / len(picks)
-    fit = F.col("pair_fit") + COMPOSITION_WEIGHT * F.col("composition_delta") * sure + est.clip(MIX_WEIGHT * F.col("mix_delta") * sure, -MIX_CLAMP, MIX_CLAMP)
+    rows = rows.withColumn("mix_part", est.clip(MIX_WEIGHT * F.col("mix_delta") * sure, -MIX_CLAMP, MIX_CLAMP))
+    rows = rows.withColumn("composition_part", COMPOSITION_WEIGHT * F.col("composition_delta") * sure + F.col("mix_part"))
+    fit = F.col("pair_fit") + F.col("composition_part")
     rows = checkpointed(rows.withColumn("fit", fit).withColumn("_fit", F.round("fit", 12)))  # a row a candidate, for both ends
     keys = ["_fit", "pair_fit", "avg_lift", "avg_z", "coverage", "min_games"]
     top = rows.orderBy(*[F.desc(k) for k in keys], "candidate").limit(limit - 1)
@@ -182,11 +185,27 @@ def recommend(rolled: DataFrame, rates: DataFrame, picks: list[int], entities: D
 
 
 def recommendation_labels(rows: DataFrame, picks: int) -> DataFrame:
-    """Words for strength, confidence and the reason of a recommendation."""
-    fit = F.col("fit")
-    strength = F.when(fit >= 0.05, "very strong").when(fit >= 0.03, "strong").when(fit >= 0.01, "good").when(fit > -0.01, "neutral").otherwise("poor")
-    sure = F.when((F.col("coverage") >= picks) & (F.col("min_games") >= 40) & (F.col("avg_z") >= 1), "high").when(F.col("coverage") * 2 >= picks, "medium").otherwise("low")
-    reason = F.when(fit < 0, "works against the team").when(F.col("coverage") < picks, "little data beside some").otherwise("wins beside the team")
+    """Words for the strength, the confidence and the reason of ``recommend`` rows.
+
+    Strength follows the fit; confidence the share of picks covered, the fewest games and the size of the mean z. The reason is what
+    the candidate does to the team: to its damage if that part counts, else the first gap that it fills, else the change in percent.
+    """
+    covered, signal = F.col("coverage") / picks, F.abs("avg_z")
+    strength = F.when(F.col("fit") >= 0.05, "excellent fit").when(F.col("fit") >= 0.03, "good fit").when(F.col("fit") >= 0.01, "playable fit").otherwise("low edge")
+    sure = F.when((covered >= 0.75) & (F.col("min_games") >= 60) & (signal >= 1), "high confidence")
+    sure = sure.when((covered >= 0.5) & (F.col("min_games") >= 40) & (signal >= 0.6), "medium confidence").otherwise("early signal")
+    if "after" not in rows.columns:
+        return rows.select("*", strength.alias("strength"), sure.alias("confidence"), F.lit("team neutral").alias("reason"))
+    part, mix = F.col("composition_part"), F.col("mix_part")
+    change = F.format_string("%+.1f%%", part * 100)
+    adds = lambda what: F.concat(F.lit(f"adds {what} "), change)
+    fills = lambda c: (F.col(f"before.{c}_group") == f"{c} lack") & (F.col(f"after.{c}_group") == f"{c} ok")
+    moved = lambda c: F.col(f"before.{c}_group") != F.col(f"after.{c}_group")
+    gain = F.when(moved("front") & (F.col("after.front_group") != "0 front"), adds("frontline")).when(fills("poke"), adds("poke"))
+    gain = gain.when(fills("wave"), adds("waveclear")).when(fills("engage"), adds("engage")).when(moved("lacks"), F.concat(F.lit("rounds team "), change))
+    skew = F.when(mix <= 0, F.concat(F.lit("damage skew "), change)).when(F.col("after.ad_share") > F.col("before.ad_share"), adds("AD")).otherwise(adds("AP"))
+    plain = F.when(F.abs(part) < 0.001, "team neutral").otherwise(F.concat(F.lit("team "), change))
+    reason = F.when(F.abs(mix) >= 0.004, skew).when(part > 0.001, F.coalesce(gain, plain)).otherwise(plain)
     return rows.select("*", strength.alias("strength"), sure.alias("confidence"), reason.alias("reason"))
 
 

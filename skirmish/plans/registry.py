@@ -431,13 +431,40 @@ def pick_totals(spark, d):
 
 @query("!SELECT queue_id, count(*) n, round(avg(blue_wins::DOUBLE), 6) base_rate, max(created_ms) latest_ms FROM g GROUP BY 1")
 def mode_summary(spark, d):
-    return gm.games(spark, d).groupBy("queue_id").agg(F.count("*").alias("n"), F.avg(F.col("blue_wins").cast("double")).alias("base_rate"), F.max("created_ms").alias("latest_ms"))
+    return rt.mode_summary(gm.games(spark, d)).drop("min_patch", "max_patch")
+
+
+@query("!SELECT queue_id, count(*) n, arg_min(patch, [CAST(x AS INT) FOR x IN string_split(patch, '.')]) min_patch, arg_max(patch, [CAST(x AS INT) FOR x IN string_split(patch, '.')]) max_patch FROM g GROUP BY 1")
+def mode_versions(spark, d):
+    """First and last version of each mode, by number."""
+    return rt.mode_summary(gm.games(spark, d)).select("queue_id", "n", "min_patch", "max_patch")
 
 
 @query("!SELECT version, count(*) n, max(created_ms) latest_ms FROM g GROUP BY 1 ORDER BY latest_ms DESC, CAST(split_part(version, '.', 2) AS INT) DESC LIMIT 1")
 def latest_version(spark, d):
-    rows = gm.games(spark, d).groupBy(tx.truncate_version(F.col("patch"), 2).alias("version")).agg(F.count("*").alias("n"), F.max("created_ms").alias("latest_ms"))
-    return rows.orderBy(F.desc("latest_ms"), tx.version_parts(F.col("version")).desc()).limit(1)
+    return rt.latest_version(gm.games(spark, d))
+
+
+@query(TIERS + " SELECT entity_id, tier, row_number() OVER (ORDER BY bayes DESC, entity_id) rank FROM ti")
+def ranked_tiers(spark, d):
+    """All entities with their rank by shrunk rate."""
+    return rt.with_rank(tiers(spark, d), [-F.col("bayes"), F.col("entity_id")]).select("entity_id", "tier", "rank")
+
+
+@query(TIERS + " (SELECT entity_id, 'top' AS \"end\" FROM ti WHERE games >= 50 ORDER BY bayes DESC, entity_id LIMIT 7) UNION ALL (SELECT entity_id, 'bottom' FROM ti WHERE games >= 50 ORDER BY bayes, entity_id LIMIT 7)")
+def global_ends(spark, d):
+    return rt.top_bottom(tiers(spark, d), "bayes", "entity_id", 7, 50).select("entity_id", "end")
+
+
+@query("!SELECT game_id, created_ms FROM g ORDER BY created_ms DESC, game_id DESC LIMIT 5")
+def most_recent(spark, d):
+    return dc.most_recent(gm.games(spark, d), ["created_ms", "game_id"]).select("game_id", "created_ms")
+
+
+@query("!SELECT actor actor_id, max(created_ms) created_ms, arg_max(patch, (created_ms, patch)) patch FROM g GROUP BY 1")
+def latest_per_actor(spark, d):
+    """Each actor's last match time, and the greatest version text of that time."""
+    return dc.latest_per_key(gm.games(spark, d), "actor_id", "created_ms", "patch")
 
 
 @query("!SELECT game_id, patch FROM g WHERE patch LIKE '16.5%' OR patch LIKE '16.1%'")
@@ -598,6 +625,22 @@ def recommendation(spark, d):
     return rows.select("candidate", "coverage", "fit", "pair_fit", "avg_z", "solo", "min_games", "place")
 
 
+@query(RECO + """, rx AS (SELECT rf.*, coverage/3.0::DOUBLE cv, .25*dc*sure + greatest(-.025, least(.025, .18*dm*sure)) part, greatest(-.025, least(.025, .18*dm*sure)) mp FROM rf)
+SELECT rx.candidate, CASE WHEN fit >= .05 THEN 'excellent fit' WHEN fit >= .03 THEN 'good fit' WHEN fit >= .01 THEN 'playable fit' ELSE 'low edge' END strength,
+ CASE WHEN cv >= .75 AND min_games >= 60 AND abs(avg_z) >= 1 THEN 'high confidence' WHEN cv >= .5 AND min_games >= 40 AND abs(avg_z) >= .6 THEN 'medium confidence' ELSE 'early signal' END confidence,
+ CASE WHEN abs(mp) >= .004 THEN CASE WHEN mp <= 0 THEN 'damage skew' WHEN af.ad_share > be.ad_share THEN 'adds AD' ELSE 'adds AP' END
+  WHEN part > .001 AND be.front_group <> af.front_group AND af.front_group <> '0 front' THEN 'adds frontline' WHEN part > .001 AND be.poke_group = 'poke lack' AND af.poke_group = 'poke ok' THEN 'adds poke'
+  WHEN part > .001 AND be.wave_group = 'wave lack' AND af.wave_group = 'wave ok' THEN 'adds waveclear' WHEN part > .001 AND be.engage_group = 'engage lack' AND af.engage_group = 'engage ok' THEN 'adds engage'
+  WHEN part > .001 AND be.lacks_group <> af.lacks_group THEN 'rounds team' WHEN abs(part) < .001 THEN 'team neutral' ELSE 'team' END reason
+FROM rx JOIN cs af USING (candidate), (SELECT * FROM cs WHERE candidate = -1) be""")
+def recommendation_reasons(spark, d):
+    """Every candidate's words: strength, confidence, and what it does to the team (without the percents)."""
+    r = dc.checkpointed(rates(spark, d))
+    rolled = dc.checkpointed(rt.rollup_candidates(rt.pair_synergy(rt.pair_rates(gm.games(spark, d)), r), ANCHORS))
+    rows = tm.recommendation_labels(tm.recommend(rolled, r, ANCHORS, gm.entity_dim(r), limit=1 << 20), 3)
+    return rows.select("candidate", "strength", "confidence", F.regexp_replace("reason", " [-+]?[0-9.]+%$", "").alias("reason"))
+
+
 def sessions(spark: SparkSession, d: str) -> DataFrame:
     """Every match as a pick session: blue's first as the current pick, red as the bench."""
     return gm.games(spark, d).select("game_id", F.col("blue").alias("team"), F.col("blue")[0].alias("current"), F.col("red").alias("bench"))
@@ -802,6 +845,45 @@ def reseed_candidates(spark, d):
     return dc.reseed(actors(spark, d), NOW, 80).select("actor_id", "new_games")
 
 
+@query(ACTORS + " SELECT actor_id, new_games FROM ac WHERE family IN ('web', 'friend') AND new_games > 0 AND coalesce(last_crawled_ms, 0) <= 900000000000 - 3600000 ORDER BY priority, latest_match_ms DESC, depth, actor_id % 7 DESC, actor_id LIMIT 120")
+def reseed_family(spark, d):
+    rows = actors(spark, d).select("*", F.col("family").alias("source"), F.col("depth").alias("process_count"), (F.col("actor_id") % 7).alias("first_seen_ms"))
+    return dc.reseed_family(rows, ["web", "", "friend"], NOW).select("actor_id", "new_games")
+
+
+@query("WITH w AS (SELECT user_id, max(epoch_ms(ts)) s FROM events GROUP BY 1), n AS (SELECT max(s) n FROM w) SELECT count(*) FILTER (s >= n - 7200000) alive, count(*) FILTER (s < n - 7200000) dead, CAST(sum(user_id) FILTER (s >= n - 7200000) AS BIGINT) ids FROM w, n")
+def worker_counts(spark, d):
+    """Users as workers: alive if seen in the last two hours of events."""
+    signs = gm.table(spark, d, "events").select(F.col("user_id").alias("worker_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("seen_ms"))
+    now = signs.agg(F.max("seen_ms")).first()[0]
+    return dc.worker_counts(signs, now, 7_200_000).select("alive", "dead", F.aggregate("workers", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"))
+
+
+@query("!SELECT actor actor_id, coalesce(arg_min(f, k) FILTER (f NOT IN ('', 'unknown', 'legacy_match')), 'unknown') family FROM (SELECT actor, k, ['ladder', '', 'unknown', 'web', 'legacy_match', 'friend'][k % 6 + 1] f FROM g WHERE k % 6 <> 2 OR k % 12 = 2) GROUP BY 1")
+def attribute_family(spark, d):
+    """First known root family of each actor by order of discovery."""
+    k = F.col("k")
+    rows = gm.games(spark, d).where((k % 6 != 2) | (k % 12 == 2)).select("actor_id", k.alias("position"), F.element_at(F.array(*map(F.lit, ("ladder", "", "unknown", "web", "legacy_match", "friend"))), (k % 6 + 1).cast("int")).alias("family"))
+    return dc.attribute_family(rows)
+
+
+@query("""WITH p AS (SELECT c_nationkey tier, c_custkey % 9 page, c_custkey position, c_custkey % 400 actor_id FROM customer), z AS (SELECT tier, page, count(*) n FROM p GROUP BY 1, 2), l AS (SELECT tier, min(page) FILTER (n < 2) AS last FROM z GROUP BY 1)
+SELECT actor_id, s[1] tier, s[2] page, s[3] AS position FROM (SELECT actor_id, min([tier, page, position]) s FROM p JOIN l USING (tier) WHERE page <= coalesce(last, 2147483647) GROUP BY 1)""")
+def collect_actors(spark, d):
+    """Distinct actors over pages, up to and with each tier's first page that isn't full."""
+    c = F.col("c_custkey")
+    rows = gm.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("tier"), (c % 9).alias("page"), c.alias("position"), (c % 400).alias("actor_id"))
+    return dc.collect_actors(rows, full=2)
+
+
+@query("SELECT DISTINCT user_id actor_id, CAST(event_id // 10 AS BIGINT) match_id FROM events WHERE user_id % 11 <> 0")
+def participants_of(spark, d):
+    """Actors of groups of ten events, once each; some ids are missing."""
+    e = gm.table(spark, d, "events")
+    rows = e.groupBy(F.expr("event_id div 10").alias("match_id")).agg(F.collect_list(F.struct(F.when(F.col("user_id") % 11 != 0, F.col("user_id")).alias("a"))).alias("x"))
+    return dc.participants_of(rows.select(F.transform("x", lambda x: x["a"]).alias("actors"), "match_id"))
+
+
 @query(ACTORS + " SELECT actor_id, latest_match_ms FROM ac WHERE NOT processed AND latest_match_ms IS NOT NULL ORDER BY latest_match_ms DESC, priority, depth, actor_id LIMIT 50")
 def next_batch(spark, d):
     rows = actors(spark, d).where("latest_match_ms is not null").select("*", F.when(F.col("processed"), "done").otherwise("pending").alias("status"), F.lit(0).alias("eligible_ms"), F.lit(0).alias("updated_ms"), F.col("actor_id").alias("queue_idx"))
@@ -830,6 +912,11 @@ QUEUED = """, qu AS (SELECT c_custkey actor_id, ['pending','done','failed'][c_cu
  CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey*3 + 1 AS VARCHAR) END found_in, CASE WHEN c_custkey % 4 = 0 THEN 880000000000 + c_custkey ELSE 0 END found_ms FROM customer)"""
 
 
+@query(QUEUED + " SELECT (SELECT count(*) FROM g) games, (SELECT count(*) FROM g WHERE queue_id = 2400) mode_2400, (SELECT count(*) FROM qu WHERE status = 'pending') pending")
+def scalar_counts(spark, d):
+    return dc.scalar_counts(gm.games(spark, d), queued(spark, d))
+
+
 @query(QUEUED + " SELECT actor_id, CASE WHEN found_ms = 0 AND found_in IS NOT NULL THEN coalesce((SELECT max(created_ms) FROM g WHERE game_id = found_in), found_ms, 0) ELSE found_ms END found_ms FROM qu")
 def backfill_times(spark, d):
     return dc.backfill_from(queued(spark, d), gm.games(spark, d), "found_in", "game_id", "found_ms", "created_ms").select("actor_id", "found_ms")
@@ -873,6 +960,70 @@ def entity_mart(spark, d):
     return rows.select("entity_id", "games", "tier", F.col("bayes").alias("rate"), said("best"), said("worst"), F.size("pairs").alias("n_pairs"), F.array_join(F.array_sort(F.transform("pairs", lambda x: x["id"])), ",").alias("mates"))
 
 
+def minute_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A dimension of entities with role tags, and scores as a profile file has them, with gaps."""
+    e = F.col("entity_id")
+    dim = rates(spark, d).select(e, F.when(e % 10 != 0, F.array(F.element_at(F.array(*map(F.lit, ("Tank", "Fighter", "Mage", "Marksman", "Support", "Assassin"))), (e % 6 + 1).cast("int")))).alias("tags"))
+    part = lambda x: (x / 100.0).cast("double")
+    scores = rates(spark, d).where(e % 9 != 0).select(
+        e.alias("champion_id"), F.when(e % 7 != 0, (300 + e * 37 % 900).cast("double")).alias("empirical_damage_per_min"), part(e * 13 % 101).alias("empirical_physical_damage_ratio"),
+        part(F.greatest(F.lit(0), 95 - e * 13 % 101)).alias("empirical_magic_damage_ratio"), F.lit(0.05).alias("empirical_true_damage_ratio"), (e * 3 % 13 / 10.0).cast("double").alias("wave_clear_score"),
+    )
+    return dim, scores
+
+
+MINUTE = """, mi AS (SELECT entity_id, CASE WHEN entity_id % 10 = 0 THEN 'Unknown' ELSE ['Tank','Fighter','Mage','Marksman','Support','Assassin'][entity_id % 6 + 1] END AS role, entity_id % 9 <> 0 AS scored,
+ CASE WHEN entity_id % 9 <> 0 AND entity_id % 7 <> 0 THEN CAST(300 + entity_id*37 % 900 AS DOUBLE) ELSE 0 END dpm, CASE WHEN entity_id % 9 <> 0 THEN (entity_id*13 % 101)/100.0::DOUBLE ELSE 0 END ph, CASE WHEN entity_id % 9 <> 0 THEN greatest(0, 95 - entity_id*13 % 101)/100.0::DOUBLE ELSE 0 END mg,
+ CASE WHEN entity_id % 9 <> 0 THEN .05::DOUBLE ELSE 0 END tr, CASE WHEN entity_id % 9 <> 0 THEN (entity_id*3 % 13)/10.0::DOUBLE ELSE 0 END wave FROM er),
+mb AS (SELECT *, CASE WHEN ph >= .55 AND ph >= mg + .15::DOUBLE THEN 'physical' WHEN mg >= .55 AND mg >= ph + .15::DOUBLE THEN 'magic' WHEN role IN ('Marksman','Fighter','Assassin') THEN 'physical' WHEN role IN ('Mage','Support') THEN 'magic' ELSE 'mixed' END damage FROM mi),
+mc AS (SELECT entity_id, role, damage, CASE WHEN dpm*ph + dpm*mg > 0 THEN dpm*ph WHEN damage = 'physical' THEN 1 WHEN damage = 'mixed' THEN .5 ELSE 0 END physical,
+ CASE WHEN dpm*ph + dpm*mg > 0 THEN dpm*mg WHEN damage = 'magic' THEN 1 WHEN damage = 'mixed' THEN .5 ELSE 0 END magic, dpm*tr true_damage, wave FROM mb)"""
+
+
+@query(MINUTE + " SELECT entity_id, role, damage, round(physical, 6) physical, round(magic, 6) magic, round(true_damage, 6) true_damage, wave FROM mc")
+def profiles_by_minute(spark, d):
+    """Profiles from damage a minute and its shares, with what stands in where there is none."""
+    return dims.entity_profiles(*minute_scores(spark, d)).select("entity_id", "role", "damage", "physical", "magic", "true_damage", "wave")
+
+
+def whole_mart(spark: SparkSession, d: str) -> DataFrame:
+    """The published record of each entity."""
+    p = gm.players(spark, d)
+    t = dc.checkpointed(tiers(spark, d))
+    pairs = rt.pair_synergy(rt.pair_rates(gm.games(spark, d)), t.select("entity_id", "games", "wins")).where("games >= 30")
+    picks = pk.pick_lift(rt.entity_attribute_rates(p), gm.attribute_dim(spark), gm.entity_dim(t))
+    sets = pk.top_bottom_affinity(pk.category_affinity(set_counts(spark, d), 350.0, exact=False, name="set"), name="set")
+    return mart.published_mart(t.select("entity_id", "games", "tier"), _ends(spark, d), picks, mart.visible_pairs(pairs, t), {"sets": (sets, "set")}, dims.entity_profiles(*minute_scores(spark, d)))
+
+
+ENDS = """ SELECT rk.entity_id, e AS "end", rk.rarity, CASE e WHEN 'best' THEN t ELSE u END rank, rk.attribute_id, rk.games, round(posterior, 4) wr, round(posterior - b, 4) lift, round(lcb - b, 4) lcb, round(peer, 4) peer_pick, round((ph.games + .5*m*peer)/(ph.t + .5*m), 4) pick,
+ round(ln((ph.games + .5*m*peer)/(ph.t + .5*m)/peer), 3) pick_lift FROM (SELECT *, unnest(['best', 'worst']) e FROM rk) rk JOIN rb USING (entity_id, attribute_id) JOIN ph USING (entity_id, attribute_id) WHERE CASE e WHEN 'best' THEN rk.t ELSE rk.u END <= 5"""
+
+
+@query((PICK + TOPN[len(ATTRS) :] + ENDS).replace("rk.games", "rb.games").replace("CASE e WHEN 'best' THEN t ELSE u END rank", "CASE e WHEN 'best' THEN rk.t ELSE rk.u END rank"), rounded=4)
+def mart_attributes(spark, d):
+    """The attributes at either end of each entity's record, with their numbers."""
+    each = [whole_mart(spark, d).select("entity_id", F.lit(end).alias("end"), F.explode(end).alias("x")) for end in ("best", "worst")]
+    x = "x.rarity", "x.rank", F.col("x.id").alias("attribute_id"), F.col("x.g").alias("games"), "x.wr", "x.lift", "x.lcb", "x.peer_pick", "x.pick", "x.pick_lift"
+    return each[0].unionByName(each[1]).select("entity_id", "end", *x)
+
+
+@query(AFF + """, aj AS (SELECT *, m - pr res, greatest(0, least(1, m - 1.2815515655446004::DOUBLE*sd)) - pr lo, greatest(0, least(1, m + 1.2815515655446004::DOUBLE*sd)) - pr hi, games >= 45 prim, max(CASE WHEN games >= 45 THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id) n_prim FROM ah),
+ak AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY lo DESC, res DESC, games DESC, "set") a, row_number() OVER (PARTITION BY entity_id ORDER BY hi, res, games, "set") z FROM aj WHERE prim OR n_prim = 0)
+SELECT entity_id, e AS "end", CASE e WHEN 'top' THEN a ELSE z END rank, "set" AS name, games g, round(m, 4) wr, round(m - baseline, 4) lift, round(res, 4) res, round(lo, 4) score, round(hi, 4) bad_score FROM (SELECT *, unnest(['top', 'bottom']) e FROM ak) WHERE CASE e WHEN 'top' THEN a ELSE z END <= 4""", rounded=4)
+def mart_categories(spark, d):
+    """The sets at either end of each entity's record, with their numbers."""
+    each = [whole_mart(spark, d).select("entity_id", F.lit(end).alias("end"), F.explode(f"sets.{end}").alias("x")) for end in ("top", "bottom")]
+    return each[0].unionByName(each[1]).select("entity_id", "end", *[f"x.{c}" for c in ("rank", "name", "g", "wr", "lift", "res", "score", "bad_score")])
+
+
+@query(SYN + MINUTE + """ SELECT anchor entity_id, mate id, syn.games g, round(raw, 4) wr, round(expected, 4) expected, round(lift, 4) lift, round(z, 3) z, round(physical, 3) physical, round(magic, 3) magic FROM syn JOIN mc ON mc.entity_id = anchor WHERE syn.games >= 30""", rounded=4)
+def mart_pairs(spark, d):
+    """The pairs of each entity's record, with their numbers, beside the damage of its profile."""
+    rows = whole_mart(spark, d).select("entity_id", F.explode("pairs").alias("x"), "profile.physical", "profile.magic")
+    return rows.select("entity_id", *[f"x.{c}" for c in ("id", "g", "wr", "expected", "lift", "z")], "physical", "magic")
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """(actor_id, match_id): customers and the suppliers that served their orders."""
     o, li = gm.table(spark, d, "orders"), gm.table(spark, d, "lineitem")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skirmish.functions.text import account_id
 from skirmish.operators import dimensions as dims
-from skirmish.operators import picks as pk
+from skirmish.operators import ordered
 
 #: Categories that the items made of parts can have.
 CATEGORIES = (
@@ -114,7 +115,7 @@ def entity_dim(rates: DataFrame) -> DataFrame:
         *[(v / 10.0).cast("double").alias(c) for c, v in scores.items()],
     )
     rows = rows.withColumn("magic", F.greatest(F.lit(0.0), 0.95 - F.col("physical")))
-    return rows.withColumn("damage", pk.damage_bucket(F.col("physical"), F.col("magic"), F.col("role")))
+    return rows.withColumn("damage", dims.damage_bucket(F.col("physical"), F.col("magic"), F.col("role")))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,21 +187,69 @@ def tail_snapshots(spark: SparkSession, path: str, n: int, order: str = "capture
     return rows.orderBy(F.desc(order)).limit(n)
 
 
-def read_sources(spark: SparkSession, paths: list[str], exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Several capture files as one table with their place in the list; a path given twice counts once."""
+#: Columns of the training form of matches.
+MATCHES = (
+    "match_id string, patch string, queue_id int, platform string, duration_sec int, blue_champions array<int>, red_champions array<int>, blue_wins boolean, game_creation_ms long, game_end_ms long, "
+    "max_leaver_gap_sec int, participants_json string"
+)
+
+
+def read_matches(spark: SparkSession, path: str) -> DataFrame:
+    """Match fact in training form; columns that the files lack are null, and only columns that are asked for are read."""
+    wanted = spark.createDataFrame([], MATCHES).schema
+    found = spark.read.parquet(path)
+    return found.select(*[(F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
+
+
+def resolved(spark: SparkSession, paths: list[str], globs: list[str] | None = None, exclude: tuple[str, ...] = ()) -> list[str]:
+    """Paths in the order given, then what each pattern matches by name; each once, without those excluded, by their full names.
+
+    A path that doesn't exist stays, so that reading it fails; a pattern that matches nothing adds nothing.
+    """
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def full(path: str) -> str:
+        p = name(path)
+        files = p.getFileSystem(conf)
+        return files.makeQualified(p).toString().rstrip("/")
+
+    found = [full(p) for p in paths]
+    for pattern in globs or []:
+        p = name(pattern)
+        found += sorted(x.getPath().toString().rstrip("/") for x in p.getFileSystem(conf).globStatus(p) or [])
+    gone = {full(p) for p in exclude}
+    return [p for p in dict.fromkeys(found) if p not in gone]
+
+
+def read_sources(spark: SparkSession, paths: list[str], exclude: tuple[str, ...] = (), globs: list[str] | None = None) -> DataFrame:
+    """Several capture files as one table with their place in the list; a path given twice, or also found by a pattern, counts once, and what is excluded (the own output) not at all."""
     out = None
-    for rank, path in enumerate(p for p in dict.fromkeys(x.rstrip("/") for x in paths) if p not in exclude):
+    for rank, path in enumerate(resolved(spark, paths, globs, exclude)):
         rows = read_games(spark, path).select("*", F.lit(rank).alias("source_rank"), F.lit(path).alias("source"))
         out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no source is left to read")
     return out
 
 
-def read_seeds(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(seed, position): normalised ids of text files, one a line, first appearance kept."""
-    from skirmish.functions.text import account_id
+def read_seeds(spark: SparkSession, paths: list[str], ids: tuple[str, ...] = ()) -> DataFrame:
+    """(seed, position): normalised ids, those given first, then those of text files, one a line; the first appearance counts, and positions run from 0.
 
-    rows = spark.read.text(paths).select(account_id(F.col("value")).alias("seed"), F.monotonically_increasing_id().alias("position"))
-    return rows.where("seed is not null").groupBy("seed").agg(F.min("position").alias("position"))
+    Order is that of the ids, then of the paths, of the files' names below a path, and of the lines, however files are split among tasks. A path that doesn't exist is left out.
+    """
+    name, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    place = F.struct(F.lit(-1).alias("rank"), F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), F.col("at"))
+    rows = spark.createDataFrame(list(enumerate(ids)), "at long, value string").select("value", place.alias("place"))
+    for rank, path in enumerate(paths):
+        if not name(path).getFileSystem(conf).exists(name(path)):
+            continue
+        found = spark.read.text(path).select(
+            "value", F.struct(F.lit(rank).alias("rank"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place")
+        )  # lines of one block of a file are read in order, by one task
+        rows = rows.unionByName(found)
+    first = rows.select(account_id(F.col("value")).alias("seed"), "place").where("seed IS NOT NULL").groupBy("seed").agg(F.min("place").alias("place"))
+    return ordered.placed(first, [], ["place"], "position").select("seed", "position")
 
 
 def write_partitioned(df: DataFrame, path: str) -> None:
