@@ -190,11 +190,13 @@ def share_summary(shared: DataFrame) -> DataFrame:
 
 def verify_report(df: DataFrame, source: str = "source", modes: tuple[int, ...] = (450, 2400)) -> DataFrame:
     """For each source of decoded matches: rows, bad rows, repeated ids, base rate, odd modes, and warnings."""
-    rows = df.groupBy(source).agg(
-        F.count("*").alias("total"), F.count_if(~row_valid()).alias("bad"), (F.count("*") - F.count_distinct("game_id")).alias("repeated"),
-        F.round(F.avg(F.col("blue_wins").cast("double")), 6).alias("base_rate"), F.count_if(~F.col("queue_id").isin(*modes)).alias("odd_modes"),
+    # one row an id first, so that distinct ids are a count and each payload is read once
+    each = df.groupBy(source, "game_id").agg(
+        F.count("*").alias("n"), F.count_if(~row_valid()).alias("bad"), F.sum("blue_wins").alias("wins"), F.count("blue_wins").alias("known"), F.count_if(~F.col("queue_id").isin(*modes)).alias("odd_modes"),
         F.count_if(has_forbidden_keys(F.col("participants_json"), ["puuid", "summonerName", "gameName"])).alias("identities"),
     )
+    total = lambda c: F.sum(c).alias(c)
+    rows = each.groupBy(source).agg(F.sum("n").alias("total"), total("bad"), (F.sum("n") - F.count("game_id")).alias("repeated"), F.round(F.sum("wins").cast("double") / F.sum("known"), 6).alias("base_rate"), total("odd_modes"), total("identities"))
     said = [("bad rows", F.col("bad") > 0), ("repeated ids", F.col("repeated") > 0), ("base rate out of range", ~F.col("base_rate").between(0.40, 0.60)), ("odd modes", F.col("odd_modes") > 0), ("identities", F.col("identities") > 0)]
     return rows.withColumn("warnings", F.array_compact(F.array(*[F.when(c, t) for t, c in said])))
 

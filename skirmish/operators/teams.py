@@ -209,22 +209,54 @@ def recommendation_labels(rows: DataFrame, picks: int) -> DataFrame:
     return rows.select("*", strength.alias("strength"), sure.alias("confidence"), reason.alias("reason"))
 
 
-def team_probability(teams: DataFrame, weights: DataFrame, key: str = "game_id") -> DataFrame:
-    """sigmoid of the summed weights against an unknown opponent, and how many members have none."""
-    rows = teams.select(key, F.explode("team").alias("entity_id")).join(weights.select("entity_id", "weight"), "entity_id", "left")
-    return rows.groupBy(key).agg(F.sum(F.coalesce("weight", F.lit(0.0)).cast("decimal(30,12)")).cast("double").alias("logit"), F.count_if(F.col("weight").isNull()).alias("unknown")).withColumn("p", est.sigmoid("logit"))
+#: Weights up to which they are one map inside the row.
+SMALL = 4096
 
 
-def swap_suggestions(sessions: DataFrame, weights: DataFrame, key: str = "game_id") -> DataFrame:
+def _weight_map(weights: DataFrame, small: int) -> DataFrame | None:
+    """One row with a map of the weights, or None if they are more than ``small``."""
+    rows = weights.where("entity_id IS NOT NULL").groupBy("entity_id").agg(F.max("weight").alias("weight"))
+    if rows.limit(small + 1).count() > small:
+        return None
+    return rows.agg(F.map_from_entries(F.collect_list(F.struct(F.col("entity_id").cast("long"), "weight"))).alias("_weights"))
+
+
+def team_probability(teams: DataFrame, weights: DataFrame, key: str = "game_id", small: int = SMALL) -> DataFrame:
+    """sigmoid of the summed weights against an unknown opponent, and how many members have none.
+
+    At most ``small`` weights are looked up inside the row, and nothing is shuffled; more are joined to the members.
+    """
+    table = _weight_map(weights, small)
+    if table is None:
+        rows = teams.select(key, F.explode("team").alias("entity_id")).join(weights.select("entity_id", "weight"), "entity_id", "left")
+        rows = rows.groupBy(key).agg(F.sum(F.coalesce("weight", F.lit(0.0)).cast("decimal(30,12)")).cast("double").alias("logit"), F.count_if(F.col("weight").isNull()).alias("unknown"))
+    else:
+        own = F.transform("team", lambda e: F.col("_weights")[e.cast("long")])
+        rows = teams.where(F.size("team") > 0).crossJoin(F.broadcast(table)).select(key, own.alias("_own"))  # one row
+        total = F.aggregate("_own", F.lit(0).cast("decimal(30,12)"), lambda acc, w: (acc + F.coalesce(w, F.lit(0.0)).cast("decimal(30,12)")).cast("decimal(30,12)"))
+        rows = rows.select(key, total.cast("double").alias("logit"), F.size(F.filter("_own", lambda w: w.isNull())).cast("long").alias("unknown"))
+    return rows.withColumn("p", est.sigmoid("logit"))
+
+
+def swap_suggestions(sessions: DataFrame, weights: DataFrame, key: str = "game_id", small: int = SMALL) -> DataFrame:
     """For each session (team, current, bench): keeping or swapping in each of the bench; probability, change, z of the weight, order.
 
-    Unknown entities come last.
+    Unknown entities come last. At most ``small`` weights are looked up inside the row; more are joined.
     """
     moments = weights.agg(F.avg("weight").alias("mu"), F.stddev_pop("weight").alias("sd"))
-    base = team_probability(sessions, weights, key).select(key, F.col("logit").alias("_whole"))
-    rows = sessions.select(key, "current", F.explode(F.concat(F.array("current"), "bench")).alias("candidate")).join(base, key)
-    w = lambda c, n: weights.select(F.col("entity_id").alias(c), F.col("weight").alias(n))
-    rows = rows.join(w("current", "_out"), "current", "left").join(w("candidate", "_in"), "candidate", "left").crossJoin(F.broadcast(moments))  # one row
+    table = _weight_map(weights, small)
+    candidates = F.explode(F.concat(F.array("current"), "bench")).alias("candidate")
+    if table is None:
+        base = team_probability(sessions, weights, key, small).select(key, F.col("logit").alias("_whole"))
+        rows = sessions.select(key, "current", candidates).join(base, key)
+        w = lambda c, n: weights.select(F.col("entity_id").alias(c), F.col("weight").alias(n))
+        rows = rows.join(w("current", "_out"), "current", "left").join(w("candidate", "_in"), "candidate", "left")
+    else:
+        of = lambda c: F.col("_weights")[F.col(c).cast("long")]
+        whole = F.aggregate("team", F.lit(0.0), lambda acc, e: acc + F.coalesce(F.col("_weights")[e.cast("long")], F.lit(0.0)))
+        rows = sessions.crossJoin(F.broadcast(table)).select(key, "current", "_weights", whole.alias("_whole"), of("current").alias("_out"), candidates)  # one row
+        rows = rows.withColumn("_in", of("candidate")).drop("_weights")
+    rows = rows.crossJoin(F.broadcast(moments))  # one row
     p = est.sigmoid(F.col("_whole") - F.coalesce("_out", F.lit(0.0)) + F.coalesce("_in", F.lit(0.0)))
     rows = rows.select(key, "current", "candidate", F.col("_in").isNotNull().alias("known"), p.alias("p"), (p - est.sigmoid("_whole")).alias("delta"), ((F.col("_in") - F.col("mu")) / F.col("sd")).alias("z"))
     order = Window.partitionBy(key).orderBy(F.desc("known"), F.desc("delta"), "candidate")
