@@ -57,10 +57,23 @@ def attribute_rates(players: DataFrame) -> DataFrame:
     return count_rates(with_attributes(players), "attribute_id")
 
 
+def _team_pairs(team: Column, size: int = 5) -> Column:
+    """unordered_pairs, written out for teams of the usual size."""
+    written = F.array(*[F.struct(F.get(team, F.lit(i)).alias("a"), F.get(team, F.lit(j)).alias("b")) for i in range(size) for j in range(i + 1, size)])
+    return F.when(F.size(team) == size, written).otherwise(unordered_pairs(team))
+
+
 def pair_rates(matches: DataFrame) -> DataFrame:
-    """Games and wins for each ordered pair of team mates."""
-    rows = mirror_teams(matches.select("blue", "red", "blue_wins")).select(F.explode(ordered_pairs(F.col("team"))).alias("p"), F.col("y").alias("win"))
-    return count_rates(rows.select("p.anchor", "p.mate", "win"), "anchor", "mate")
+    """Games and wins for each ordered pair of team mates: counted once a pair, and turned round when they are few."""
+    rows = mirror_teams(matches.select("blue", "red", "blue_wins")).select(F.explode(_team_pairs(F.col("team"))).alias("p"), F.col("y").alias("win"))
+    once = count_rates(rows.select("p.a", "p.b", "win"), "a", "b")
+    both = F.explode(F.array(F.struct(F.col("a").alias("anchor"), F.col("b").alias("mate")), F.struct(F.col("b").alias("anchor"), F.col("a").alias("mate")))).alias("p")
+    return once.select(both, "games", "wins").groupBy("p.anchor", "p.mate").agg(F.sum("games").alias("games"), F.sum("wins").alias("wins"))
+
+
+def rates_of_pairs(pairs: DataFrame, size: int = 5) -> DataFrame:
+    """Games and wins of each entity from pair_rates() over teams of one size: every game of an entity is in size - 1 of its pairs."""
+    return pairs.groupBy(F.col("anchor").alias("entity_id")).agg((F.sum("games") / (size - 1)).cast("long").alias("games"), (F.sum("wins") / (size - 1)).cast("long").alias("wins"))
 
 
 def global_rate(rates: DataFrame) -> DataFrame:

@@ -127,15 +127,21 @@ def pair_rates(spark, d):
 
 @query(PAIRS + " SELECT anchor, mate, games, wins, ag anchor_games, aw anchor_wins, rg rest_games, rw rest_wins FROM pd")
 def anchor_rest(spark, d):
-    return rt.anchor_rest(rt.pair_rates(gm.games(spark, d)), rates(spark, d))
+    return rt.anchor_rest(*pairs_and_rates(spark, d))
+
+
+def pairs_and_rates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Rates of all pairs and of the entities, from one pass over the matches; a row a pair is kept."""
+    pairs = dc.checkpointed(rt.pair_rates(gm.games(spark, d)))
+    return pairs, rt.rates_of_pairs(pairs)
 
 
 def synergy(spark: SparkSession, d: str) -> DataFrame:
-    return rt.pair_synergy(rt.pair_rates(gm.games(spark, d)), rates(spark, d))
+    return rt.pair_synergy(*pairs_and_rates(spark, d))
 
 
 def deltas(spark: SparkSession, d: str) -> DataFrame:
-    return rt.anchor_delta(rt.pair_rates(gm.games(spark, d)), rates(spark, d))
+    return rt.anchor_delta(*pairs_and_rates(spark, d))
 
 
 @query(SYN + " SELECT anchor, mate, games, wins, round(raw, 6) raw, round(expected, 6) expected, round(dr, 6) delta_vs_rest, round(lift, 6) lift, round(z, 6) z FROM syn")
@@ -162,8 +168,8 @@ def noise_floor(spark, d):
  FROM ad JOIN (SELECT entity_id, ln((wins+100.0::DOUBLE)/(games+200)/(1-(wins+100.0::DOUBLE)/(games+200))) w FROM er WHERE games >= 50) ON entity_id = mate
  WHERE anchor IN (7,21,40) AND mate NOT IN (7,21,40) AND games >= 3 GROUP BY mate""")
 def pick_advisor(spark, d):
-    r = rates(spark, d)
-    return rt.pick_advisor(rt.pair_rates(gm.games(spark, d)), r, rt.log_odds_weights(r), ANCHORS, 3, 50)
+    pairs, r = pairs_and_rates(spark, d)
+    return rt.pick_advisor(pairs, r, rt.log_odds_weights(r), ANCHORS, 3, 50)
 
 
 SLIFT = PAIRS + """, sl AS (SELECT mate candidate, count(*) n_anchors, CAST(sum(games) AS BIGINT) pair_games, avg(CAST(wins AS DOUBLE)/games) pair_rate, avg(CAST(wins AS DOUBLE)/games*(1-CAST(wins AS DOUBLE)/games)/games)/count(*) v FROM pr2
@@ -619,8 +625,9 @@ rw AS (SELECT *, row_number() OVER (ORDER BY fit DESC, pair_fit DESC, avg_lift D
 
 @query(RECO + " SELECT candidate, coverage, round(fit, 6) fit, round(pair_fit, 6) pair_fit, round(avg_z, 6) avg_z, round(solo, 6) solo, min_games, CASE WHEN i <= 11 THEN 'best' ELSE 'worst' END place FROM rw WHERE i <= 11 OR i = n")
 def recommendation(spark, d):
-    r = dc.checkpointed(rates(spark, d))
-    rolled = dc.checkpointed(rt.rollup_candidates(rt.pair_synergy(rt.pair_rates(gm.games(spark, d)), r), ANCHORS))
+    pairs, r = pairs_and_rates(spark, d)
+    r = dc.checkpointed(r)
+    rolled = dc.checkpointed(rt.rollup_candidates(rt.pair_synergy(pairs, r), ANCHORS))
     rows = tm.recommendation_labels(tm.recommend(rolled, r, ANCHORS, gm.entity_dim(r)), 3)
     return rows.select("candidate", "coverage", "fit", "pair_fit", "avg_z", "solo", "min_games", "place")
 
@@ -635,8 +642,9 @@ SELECT rx.candidate, CASE WHEN fit >= .05 THEN 'excellent fit' WHEN fit >= .03 T
 FROM rx JOIN cs af USING (candidate), (SELECT * FROM cs WHERE candidate = -1) be""")
 def recommendation_reasons(spark, d):
     """Every candidate's words: strength, confidence, and what it does to the team (without the percents)."""
-    r = dc.checkpointed(rates(spark, d))
-    rolled = dc.checkpointed(rt.rollup_candidates(rt.pair_synergy(rt.pair_rates(gm.games(spark, d)), r), ANCHORS))
+    pairs, r = pairs_and_rates(spark, d)
+    r = dc.checkpointed(r)
+    rolled = dc.checkpointed(rt.rollup_candidates(rt.pair_synergy(pairs, r), ANCHORS))
     rows = tm.recommendation_labels(tm.recommend(rolled, r, ANCHORS, gm.entity_dim(r), limit=1 << 20), 3)
     return rows.select("candidate", "strength", "confidence", F.regexp_replace("reason", " [-+]?[0-9.]+%$", "").alias("reason"))
 
