@@ -1004,6 +1004,13 @@ def whole_mart(spark: SparkSession, d: str) -> DataFrame:
     return mart.published_mart(t.select("entity_id", "games", "tier"), _ends(spark, d), picks, mart.visible_pairs(pairs, t), {"sets": (sets, "set")}, dims.entity_profiles(*minute_scores(spark, d)))
 
 
+def both_ends(mart_rows: DataFrame, *lists: str) -> DataFrame:
+    """(entity_id, end, x): the entries of two lists of each record, with the list's name."""
+    named = lambda end: lambda x: F.struct(F.lit(end).alias("end"), x.alias("x"))
+    each = [F.transform(c, named(c.rsplit(".", 1)[-1])) for c in lists]
+    return mart_rows.select("entity_id", F.explode(F.concat(*each)).alias("e")).select("entity_id", "e.end", "e.x")
+
+
 ENDS = """ SELECT rk.entity_id, e AS "end", rk.rarity, CASE e WHEN 'best' THEN t ELSE u END rank, rk.attribute_id, rk.games, round(posterior, 4) wr, round(posterior - b, 4) lift, round(lcb - b, 4) lcb, round(peer, 4) peer_pick, round((ph.games + .5*m*peer)/(ph.t + .5*m), 4) pick,
  round(ln((ph.games + .5*m*peer)/(ph.t + .5*m)/peer), 3) pick_lift FROM (SELECT *, unnest(['best', 'worst']) e FROM rk) rk JOIN rb USING (entity_id, attribute_id) JOIN ph USING (entity_id, attribute_id) WHERE CASE e WHEN 'best' THEN rk.t ELSE rk.u END <= 5"""
 
@@ -1011,9 +1018,9 @@ ENDS = """ SELECT rk.entity_id, e AS "end", rk.rarity, CASE e WHEN 'best' THEN t
 @query((PICK + TOPN[len(ATTRS) :] + ENDS).replace("rk.games", "rb.games").replace("CASE e WHEN 'best' THEN t ELSE u END rank", "CASE e WHEN 'best' THEN rk.t ELSE rk.u END rank"), rounded=4)
 def mart_attributes(spark, d):
     """The attributes at either end of each entity's record, with their numbers."""
-    each = [whole_mart(spark, d).select("entity_id", F.lit(end).alias("end"), F.explode(end).alias("x")) for end in ("best", "worst")]
+    rows = both_ends(whole_mart(spark, d), "best", "worst")
     x = "x.rarity", "x.rank", F.col("x.id").alias("attribute_id"), F.col("x.g").alias("games"), "x.wr", "x.lift", "x.lcb", "x.peer_pick", "x.pick", "x.pick_lift"
-    return each[0].unionByName(each[1]).select("entity_id", "end", *x)
+    return rows.select("entity_id", "end", *x)
 
 
 @query(AFF + """, aj AS (SELECT *, m - pr res, greatest(0, least(1, m - 1.2815515655446004::DOUBLE*sd)) - pr lo, greatest(0, least(1, m + 1.2815515655446004::DOUBLE*sd)) - pr hi, games >= 45 prim, max(CASE WHEN games >= 45 THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id) n_prim FROM ah),
@@ -1021,8 +1028,8 @@ ak AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY lo DESC, res
 SELECT entity_id, e AS "end", CASE e WHEN 'top' THEN a ELSE z END rank, "set" AS name, games g, round(m, 4) wr, round(m - baseline, 4) lift, round(res, 4) res, round(lo, 4) score, round(hi, 4) bad_score FROM (SELECT *, unnest(['top', 'bottom']) e FROM ak) WHERE CASE e WHEN 'top' THEN a ELSE z END <= 4""", rounded=4)
 def mart_categories(spark, d):
     """The sets at either end of each entity's record, with their numbers."""
-    each = [whole_mart(spark, d).select("entity_id", F.lit(end).alias("end"), F.explode(f"sets.{end}").alias("x")) for end in ("top", "bottom")]
-    return each[0].unionByName(each[1]).select("entity_id", "end", *[f"x.{c}" for c in ("rank", "name", "g", "wr", "lift", "res", "score", "bad_score")])
+    rows = both_ends(whole_mart(spark, d), "sets.top", "sets.bottom")
+    return rows.select("entity_id", "end", *[f"x.{c}" for c in ("rank", "name", "g", "wr", "lift", "res", "score", "bad_score")])
 
 
 @query(SYN + MINUTE + """ SELECT anchor entity_id, mate id, syn.games g, round(raw, 4) wr, round(expected, 4) expected, round(lift, 4) lift, round(z, 3) z, round(physical, 3) physical, round(magic, 3) magic FROM syn JOIN mc ON mc.entity_id = anchor WHERE syn.games >= 30""", rounded=4)
