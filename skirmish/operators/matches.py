@@ -243,6 +243,11 @@ END_BLOCK = "gameId long, gameMode string, gameLength int, endOfGameTimestamp lo
 GAME_DETAIL = "gameId long, queueId int, gameMode string, gameDuration int, gameCreation long, gameVersion string, participants array<struct<teamId:int,championId:int,stats:struct<win:string," + ",".join(f"playerAugment{i}:int" for i in range(1, 7)) + ">>>, teams array<struct<teamId:int,win:string>>"
 
 
+def parsed_once(record: Column) -> Column:
+    """The record as the one row of a generator: filters and fields above use its result, where they would each parse the text again."""
+    return F.explode(F.array(record))
+
+
 def _team(participants: Column, side: int) -> Column:
     return F.array_sort(F.transform(F.filter(participants, lambda p: p["teamId"] == side), lambda p: p["championId"]))
 
@@ -254,7 +259,7 @@ def _whole(df: DataFrame) -> DataFrame:
 def flatten_match_detail(raw: DataFrame, column: str = "json") -> DataFrame:
     """Match rows of nested details; records without ten participants, two known sides, five entities each and a blue result go."""
     p = F.col("d.info.participants")
-    rows = raw.select(F.from_json(column, DETAIL).alias("d")).where((F.size(p) == 10) & F.forall(p, lambda x: x["teamId"].isin(*SIDES)))
+    rows = raw.select(parsed_once(F.from_json(column, DETAIL)).alias("d")).where((F.size(p) == 10) & F.forall(p, lambda x: x["teamId"].isin(*SIDES)))
     blue = F.element_at(F.filter("d.info.teams", lambda t: t["teamId"] == 100), 1)
     return _whole(rows.where(F.exists("d.info.teams", lambda t: t["teamId"] == 100)).select(
         F.col("d.metadata.matchId").alias("match_id"), F.col("d.info.gameVersion").alias("patch"), F.col("d.info.queueId").alias("queue_id"), F.col("d.info.platformId").alias("platform"),
@@ -266,7 +271,7 @@ def flatten_match_detail(raw: DataFrame, column: str = "json") -> DataFrame:
 
 def flatten_end_block(raw: DataFrame, column: str = "json") -> DataFrame:
     """Match rows of end-of-game blocks of known modes with 300 seconds or more."""
-    rows = raw.select(F.from_json(column, END_BLOCK).alias("d"))
+    rows = raw.select(parsed_once(F.from_json(column, END_BLOCK)).alias("d"))
     players = F.flatten(F.transform("d.teams", lambda t: F.transform(t["players"], lambda p: F.struct(t["teamId"].alias("teamId"), p["championId"].alias("championId"), p["stats"].alias("stats")))))
     win = F.exists("d.teams", lambda t: (t["teamId"] == 100) & t["isWinningTeam"])
     rows = rows.select("d", players.alias("p")).select(
@@ -279,7 +284,7 @@ def flatten_end_block(raw: DataFrame, column: str = "json") -> DataFrame:
 
 def flatten_game_detail(raw: DataFrame, column: str = "json") -> DataFrame:
     """Match rows of game details; the winner from the teams' flag or word, else from the first blue participant."""
-    rows = raw.select(F.from_json(column, GAME_DETAIL).alias("d")).withColumn("p", F.col("d.participants"))
+    rows = raw.select(parsed_once(F.from_json(column, GAME_DETAIL)).alias("d")).withColumn("p", F.col("d.participants"))
     word = lambda w: F.when(F.lower(w).isin("win", "true"), 1).when(F.lower(w).isin("fail", "false"), 0)
     team = F.get(F.filter("d.teams", lambda t: t["teamId"] == 100), F.lit(0))["win"]
     first = F.get(F.filter("p", lambda x: x["teamId"] == 100), F.lit(0))["stats"]["win"]
@@ -334,7 +339,7 @@ def bridge_ids(df: DataFrame, bridge: DataFrame) -> DataFrame:
 def parse_session(raw: DataFrame, column: str = "json") -> DataFrame:
     """Team, own entity and bench of a pick session; no row if a cell has no entity or the own cell isn't in the team."""
     shape = "localPlayerCellId int, myTeam array<struct<cellId:int,championId:int>>, benchChampions array<struct<championId:int>>, benchEnabled boolean"
-    rows = raw.select("*", F.from_json(column, shape).alias("d"))
+    rows = raw.select("*", parsed_once(F.from_json(column, shape)).alias("d"))
     own = F.get(F.filter("d.myTeam", lambda c: c["cellId"] == F.col("d.localPlayerCellId")), F.lit(0))["championId"]
     rows = rows.where((F.size("d.myTeam") > 0) & F.forall("d.myTeam", lambda c: F.coalesce(c["championId"] > 0, F.lit(False))) & own.isNotNull())
     bench = F.when(F.col("d.benchEnabled"), F.array_sort(F.transform("d.benchChampions", lambda c: c["championId"]))).otherwise(F.array().cast("array<int>"))
