@@ -13,7 +13,8 @@ from skirmish.functions import text as tx
 from skirmish.operators import discovery as dc
 from skirmish.operators import matches as ma
 from skirmish.operators import models as mo
-from skirmish.plans.registry import query, rates, scored, SCORED, SPLIT
+from skirmish.operators import rates as rt
+from skirmish.plans.registry import SCORED, SPLIT, query, rates, scored
 from skirmish.sources import games as gm
 
 
@@ -284,3 +285,59 @@ def rates_by_csv(spark, d):
     rows = rates(spark, d).withColumn("win_rate", est.raw_rate("wins", "games")).withColumnRenamed("entity_id", "champion_id")
     gm.write_rates_csv(rows.select("champion_id", "games", "wins", "win_rate"), place, ["win_rate", "games"])
     return gm.read_profiles(spark, place).withColumnRenamed("champion_id", "entity_id")
+
+
+@query(", wl AS (SELECT entity_id, ln((wins+100.0::DOUBLE)/(games+200)/(1-(wins+100.0::DOUBLE)/(games+200))) w FROM er) SELECT row_number() OVER (ORDER BY entity_id) - 1 \"index\", entity_id id, round(w, 6) weight FROM wl")
+def weights_round_trip(spark, d):
+    """Weights of the vocabulary's entities, exported and loaded again with the check of their places."""
+    place, g = _place(spark, "weights"), gm.games(spark, d)
+    weights = rt.log_odds_weights(rates(spark, d)).join(mo.build_vocab(g), "entity_id").select("index", F.col("entity_id").alias("id"), "weight")
+    gm.export_weights(weights, place)
+    return gm.load_weights(spark, place)
+
+
+@query("SELECT epoch_us(ts) // 1000 captured_at_unix, event_id, event_type FROM events ORDER BY epoch_us(ts) DESC LIMIT 50")
+def snapshot_tail(spark, d):
+    """The fifty latest of the events, appended to a store in two goes."""
+    place = _place(spark, "snapshots")
+    rows = gm.table(spark, d, "events").select(F.unix_millis(F.col("ts").cast("timestamp")).alias("captured_at_unix"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "event_type")
+    gm.append_snapshot(rows.where("event_id % 2 = 0"), place)
+    gm.append_snapshot(rows.where("event_id % 2 = 1"), place)
+    return gm.tail_snapshots(spark, place, 50, "at").drop("at")
+
+
+@query("!SELECT version, count(*) n, CAST(sum(blue_wins) AS BIGINT) wins, count(*) - 2 >= 30 ready FROM g GROUP BY 1")
+def frozen_snapshot(spark, d):
+    """Matches frozen once and counted by version from the frozen files, and whether each version has enough new ones for a round."""
+    rows = gm.games(spark, d).select(tx.truncate_version(F.col("patch"), 2).alias("version"), "blue_wins")
+    counts = gm.freeze_snapshot(rows, _place(spark, "frozen")).groupBy("version").agg(F.count("*").alias("n"), F.sum("blue_wins").alias("wins"))
+    return counts.withColumn("ready", gm.round_ready(F.col("n"), F.lit(2)))
+
+
+@query(""", tr AS (SELECT * FROM g WHERE len(list_filter(list_concat(blue, red), lambda x: x % 10 = 3)) = 0), vo AS (SELECT list(DISTINCT e) v FROM (SELECT unnest(list_concat(blue, red)) e FROM tr))
+SELECT game_id FROM g, vo WHERE list_has_all(v, list_concat(blue, red))""")
+def known_rows(spark, d):
+    """Matches whose entities all occur in a training set that lacks some entities."""
+    g = gm.games(spark, d)
+    train = g.where(~F.exists(F.concat("blue", "red"), lambda x: x % 10 == 3))
+    return mo.known_only(train, g).select("game_id")
+
+
+@query(SPLIT + SCORED + """, va AS (SELECT y, ln(p/(1-p)) l FROM sd WHERE split = 'val'), ts AS (SELECT 0.05::DOUBLE*exp(i*ln(400.0::DOUBLE)/800) t FROM range(0, 801) r(i)),
+lo AS (SELECT t, avg(ln(1+exp(-abs(l/t))) + greatest(l/t, 0) - y*l/t) loss FROM va, ts GROUP BY t)
+SELECT (SELECT count(*) FROM va) n, round((SELECT avg(ln(1+exp(-abs(l))) + greatest(l, 0) - y*l) FROM va), 4) raw_loss, round(min(loss), 4) calibrated_loss FROM lo""")
+def temperature_loss(spark, d):
+    """Log-loss of the val matches before and after the temperature that is fitted on them."""
+    rows = scored(spark, d).where("split = 'val'").select(F.col("label").alias("y"), est.logit("p").alias("l"))
+    rows = dc.checkpointed(rows)
+    t = mo.fit_temperature(rows, "y", "l")
+    loss = lambda z: F.round(F.avg(F.log(1 + F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0)) - F.col("y") * z), 4)
+    return rows.agg(F.count("*").alias("n"), loss(F.col("l")).alias("raw_loss"), loss(F.col("l") / t).alias("calibrated_loss"))
+
+
+@query("""SELECT p_partkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n/1024.0::DOUBLE) ELSE printf('%.1f MB', n/1048576.0::DOUBLE) END size, printf('%+.1f', (p_retailprice/1000 - 1)*100 + 0.013) points
+ FROM (SELECT *, p_partkey*p_partkey*p_size*2 + 1 n FROM part)""")
+def formatted_parts(spark, d):
+    """Sizes and signed percent points as text."""
+    n = F.col("p_partkey") * F.col("p_partkey") * F.col("p_size") * 2 + 1
+    return gm.table(spark, d, "part").select("p_partkey", tx.human_size(n).alias("size"), tx.signed_points(F.col("p_retailprice") / 1000 - 1 + 0.00013).alias("points"))
