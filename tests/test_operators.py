@@ -243,3 +243,13 @@ def test_splits_of_tiny_tables(spark):
     assert {r.game_id: r.split for r in mo.time_split(df).collect()} == {"c": "train", "a": "val", "b": "test"}
     assert mo.time_split(df.limit(0)).count() == 0
     assert [r.split for r in mo.time_split(df.limit(1)).collect()] == ["test"]
+
+
+def test_raw_records_are_parsed_once(spark):
+    """However many fields and filters use a record, its text is parsed by one expression of the optimized plan."""
+    raw = spark.createDataFrame([("{}",), (None,), ("broken",)], "json string")
+    for flatten in (ma.flatten_match_detail, ma.flatten_end_block, ma.flatten_game_detail, ma.parse_session):
+        found = flatten(raw)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") + plan.count("jsontostructs(") == 1, flatten.__name__
+        assert found.count() == 0
