@@ -134,3 +134,90 @@ def test_exact_quantile_has_its_closed_forms(spark, a, b):
     for q in (0.01, 0.1, 0.5, 0.9, 0.999):
         want = 1 - (1 - q) ** (1 / b) if a == 1 else q ** (1 / a)
         assert spark.range(1).select(est.beta_quantile(q, F.lit(a), F.lit(b))).first()[0] == pytest.approx(want, abs=1e-9)
+
+
+def labelled(spark, rows):
+    return spark.createDataFrame(rows, MATCH).withColumn("label", F.col("blue_wins").cast("double"))
+
+
+def test_swaps_turn_about_half_and_are_repeatable(spark):
+    rows, _ = matches(2000)
+    df = spark.createDataFrame(rows, MATCH)
+    before = {r.game_id: (r.blue, r.red, r.blue_wins) for r in df.collect()}
+    got = {s: {r.game_id: (r.blue, r.red, r.blue_wins) for r in mo.swap_augment(df.repartition(s + 2), s).collect()} for s in (1, 2)}
+    for after in got.values():
+        turned = [i for i in before if after[i] != before[i]]
+        assert all(after[i] == (before[i][1], before[i][0], 1 - before[i][2]) for i in turned)
+        assert 0.45 < len(turned) / len(before) < 0.55
+    assert got[1] == {r.game_id: (r.blue, r.red, r.blue_wins) for r in mo.swap_augment(df, 1).collect()} and got[1] != got[2]
+
+
+def test_model_lift_equals_a_loop_over_its_draws(spark):
+    rng = random.Random(3)
+    weights = {10 + 7 * i: rng.gauss(0, 0.4) for i in range(40)}
+    table = spark.createDataFrame(list(weights.items()), "entity_id long, weight double")
+    team, n, seed = [10, 24, 45], 60, 5
+    at = spark.range(n).selectExpr("id draw", "explode(sequence(0, 3)) mate").select("draw", F.pmod(F.xxhash64("draw", "mate", F.lit(seed)), F.lit(len(weights))).alias("place")).collect()
+    ids, draws = sorted(weights), {}
+    for r in at:
+        draws.setdefault(r.draw, []).append(ids[r.place])
+    draws = [d for d in draws.values() if len(set(d)) == 4]
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    want = {}
+    for c in set(ids) - set(team):
+        own = [sigmoid(weights[c] + sum(weights[e] for e in d)) for d in draws if c not in d]
+        want[c] = (len(own), sigmoid(weights[c] + sum(weights[e] for e in team)) - sum(own) / len(own))
+    got = {r.candidate: (r.draws, r.lift) for r in mo.model_lift(team, table, table, n, seed).collect()}
+    assert set(got) == set(want)
+    assert all(got[c][0] == want[c][0] and math.isclose(got[c][1], want[c][1], abs_tol=1e-12) for c in want)
+
+
+def test_windows_are_compared_on_the_same_matches(spark):
+    rows, _ = matches(2400, 20)
+    train, val, test = (labelled(spark, rows[a:b]).drop("label") for a, b in ((0, 1600), (1600, 2000), (2000, 2400)))
+    ids = [r.entity_id for r in mo.build_vocab(train).collect()]
+    # the short window's labels say nothing, so it must lose
+    noise = train.where("created_ms < 200").withColumn("blue_wins", (F.col("created_ms") % 2).cast("int"))
+    found = {(r.window, r.split): r for r in mo.compare_windows({"long": train, "short": noise}, val, test, ids).collect()}
+    assert set(found) == {(w, s) for w in ("long", "short") for s in ("val", "test")}
+    assert all(r.n == 400 for r in found.values())
+    for split in ("val", "test"):
+        assert found["long", split].log_loss < found[("short", split)].log_loss
+        assert found["long", split].constant_log_loss == found["short", split].constant_log_loss
+
+
+def test_stacked_model_uses_what_the_first_lacks(spark):
+    rng = np.random.default_rng(4)
+    rows, _ = matches(2400, 20, weight=0.3)
+    known = [(*r[:4], int(rng.random() < 1 / (1 + math.exp(-3 * x))), float(x)) for r, x in zip(rows, rng.normal(size=len(rows)), strict=True)]
+    df = spark.createDataFrame(known, MATCH + ", extra double").withColumn("label", F.col("blue_wins").cast("double"))
+    ids = [r.entity_id for r in mo.build_vocab(df).collect()]
+    train, test = (mo.two_team_features(df.where(w), ids) for w in ("created_ms < 1800", "created_ms >= 1800"))
+    base = mo.fit_lr(train)
+    stacked = mo.fit_stacked(train.drop("p"), base, ["extra"])
+    first = mo.predicted(base, test)
+    second = mo.predicted(stacked, mo.stacked_features(first, ["extra"]).drop("p"))
+    loss = lambda scored: mo.binary_metrics(scored, "label", "p").first().log_loss
+    assert loss(second) < loss(first) - 0.2
+    assert 1.5 < stacked.coefficients[1] < 4.5
+
+
+def test_factorisation_machine_finds_planted_interactions(spark):
+    """Labels that depend on a pair of entities only, which no linear model sees."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(3000):
+        a, b = rng.integers(0, 2, 2)
+        rows.append((str(i), i, [1 + int(a), 3 + int(b)], [9], int(rng.random() < (0.9 if a == b else 0.1))))
+    df = mo.two_team_features(labelled(spark, rows), [1, 2, 3, 4])
+    train, test = df.where("created_ms < 2400"), df.where("created_ms >= 2400")
+    loss = lambda model: mo.binary_metrics(mo.predicted(model, test), "label", "p").first()
+    assert loss(mo.fit_lr(train)).log_loss > 0.66
+    found = loss(mo.fit_fm(train))
+    assert found.log_loss < 0.5 and found.accuracy > 0.85
+
+
+def test_choice_of_model_looks_at_val_only(spark):
+    rows = [("val", "a", 0.6, 0.61), ("val", "b", 0.6, 0.60), ("val", "c", 0.5, 0.4), ("test", "c", 0.9, 0.1)]
+    table = spark.createDataFrame(rows, "split string, model string, accuracy double, log_loss double")
+    assert mo.choose_model(table).first().model == "b"
