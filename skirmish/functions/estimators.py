@@ -98,18 +98,24 @@ def log_beta(a, b) -> Column:
 
 
 def _fraction(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Continued fraction of the incomplete beta function, by Lentz's method, until no value changes."""
+    """Continued fraction of the incomplete beta function, by Lentz's method; a value is done when it stops changing, and only the others go on."""
     tiny = 1e-300
     safe = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    result, left = np.empty_like(x), np.arange(len(x))
     c, d = np.ones_like(x), 1 / safe(1 - (a + b) * x / (a + 1))
     out = d.copy()
     for m in range(1, 100_000):
         for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d, c = 1 / safe(1 + top * d), safe(1 + top / c)
             out = out * d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
-            break
-    return out
+        done = np.abs(d * c - 1) < 1e-15
+        if done.any():
+            result[left[done]] = out[done]
+            left, x, a, b, c, d, out = (v[~done] for v in (left, x, a, b, c, d, out))
+            if not len(left):
+                return result
+    result[left] = out
+    return result
 
 
 def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

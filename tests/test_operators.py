@@ -253,3 +253,15 @@ def test_raw_records_are_parsed_once(spark):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json(") + plan.count("jsontostructs(") == 1, flatten.__name__
         assert found.count() == 0
+
+
+def test_beta_fraction_goes_on_only_with_values_that_still_change(monkeypatch):
+    """One value that needs many terms doesn't make the others take them too."""
+    sizes, where = [], np.where
+    monkeypatch.setattr(np, "where", lambda test, x, y: sizes.append(len(test)) or where(test, x, y))
+    a, x = np.array([3.0] * 99 + [1e6]), np.array([0.1] * 99 + [0.499])
+    got = est._fraction(x, a, a)
+    assert sum(n == 100 for n in sizes) < len(sizes) / 2
+    monkeypatch.undo()
+    each = [est._fraction(x[i : i + 1], a[i : i + 1], a[i : i + 1])[0] for i in (0, 99)]
+    assert np.allclose(got[[0, 99]], each, rtol=1e-12) and (got[:99] == got[0]).all()
