@@ -136,7 +136,7 @@ def pick_lift(attr: DataFrame, dim: DataFrame, entities: DataFrame) -> DataFrame
 
 def category_counts(players: DataFrame, dim: DataFrame, rates: DataFrame, categories: str = "categories", name: str = "category") -> DataFrame:
     """Games, wins and baseline by (entity, category); a participant counts once for each category. ``dim`` has (attribute_id, array)."""
-    rows = categories_of(players, dim, categories, name).groupBy("entity_id", name).agg(F.count("*").alias("games"), F.sum("win").cast("long").alias("wins"))
+    rows = categories_of(players, dim, categories, name, counted=True).groupBy("entity_id", name).agg(F.sum("n").alias("games"), F.sum(F.col("win") * F.col("n")).cast("long").alias("wins"))
     return with_baseline(rows, rates)
 
 

@@ -196,9 +196,9 @@ RANKED = ATTRS + """, ra AS (SELECT entity_id, attribute_id, games, wins, b, CAS
 rb AS (SELECT *, x/(x+y) posterior, greatest(0, least(1, x/(x+y) - 1.2815515655446004::DOUBLE*sqrt(x*y/((x+y)*(x+y)*(x+y+1))))) lcb FROM ra)"""
 
 
-def ranked(spark: SparkSession, d: str) -> DataFrame:
+def ranked(spark: SparkSession, d: str, attr: DataFrame | None = None, r: DataFrame | None = None) -> DataFrame:
     p = gm.players(spark, d)
-    attr, r = rt.entity_attribute_rates(p), rt.entity_rates(p)
+    attr, r = attr or rt.entity_attribute_rates(p), r or rt.entity_rates(p)
     return pk.rank_attributes(pk.with_baseline(attr, r), 350.0, gm.attribute_dim(spark))
 
 
@@ -211,8 +211,8 @@ TOPN = RANKED + """, rk AS (SELECT entity_id, rarity, attribute_id, games, row_n
  row_number() OVER (PARTITION BY entity_id, rarity ORDER BY round(lcb-b, 9), games, attribute_id) u FROM rb)"""
 
 
-def _ends(spark: SparkSession, d: str) -> DataFrame:
-    rows = ranked(spark, d).withColumn("rank_score", F.round("rank_score", 9))
+def _ends(spark: SparkSession, d: str, attr: DataFrame | None = None, r: DataFrame | None = None) -> DataFrame:
+    rows = ranked(spark, d, attr, r).withColumn("rank_score", F.round("rank_score", 9))
     return rt.top_bottom_per_group(rows, ["entity_id", "rarity"], ["rank_score", "games"], "attribute_id")
 
 
@@ -295,9 +295,9 @@ al AS (SELECT category, (sum(wins) - sum(baseline*games))/sum(games) avg_lift FR
 af AS (SELECT *, greatest(least(baseline + avg_lift, 0.9999), 0.0001) pr FROM st JOIN al USING (category) WHERE games >= 15)"""
 
 
-def set_counts(spark: SparkSession, d: str) -> DataFrame:
+def set_counts(spark: SparkSession, d: str, r: DataFrame | None = None) -> DataFrame:
     p = gm.players(spark, d)
-    return pk.category_counts(p, gm.attribute_dim(spark).withColumn("categories", F.array("set")), rt.entity_rates(p), name="set")
+    return pk.category_counts(p, gm.attribute_dim(spark).withColumn("categories", F.array("set")), r or rt.entity_rates(p), name="set")
 
 
 def type_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -968,12 +968,13 @@ def entity_mart(spark, d):
     return rows.select("entity_id", "games", "tier", F.col("bayes").alias("rate"), said("best"), said("worst"), F.size("pairs").alias("n_pairs"), F.array_join(F.array_sort(F.transform("pairs", lambda x: x["id"])), ",").alias("mates"))
 
 
-def minute_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def minute_scores(spark: SparkSession, d: str, r: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """A dimension of entities with role tags, and scores as a profile file has them, with gaps."""
     e = F.col("entity_id")
-    dim = rates(spark, d).select(e, F.when(e % 10 != 0, F.array(F.element_at(F.array(*map(F.lit, ("Tank", "Fighter", "Mage", "Marksman", "Support", "Assassin"))), (e % 6 + 1).cast("int")))).alias("tags"))
+    r = r or rates(spark, d)
+    dim = r.select(e, F.when(e % 10 != 0, F.array(F.element_at(F.array(*map(F.lit, ("Tank", "Fighter", "Mage", "Marksman", "Support", "Assassin"))), (e % 6 + 1).cast("int")))).alias("tags"))
     part = lambda x: (x / 100.0).cast("double")
-    scores = rates(spark, d).where(e % 9 != 0).select(
+    scores = r.where(e % 9 != 0).select(
         e.alias("champion_id"), F.when(e % 7 != 0, (300 + e * 37 % 900).cast("double")).alias("empirical_damage_per_min"), part(e * 13 % 101).alias("empirical_physical_damage_ratio"),
         part(F.greatest(F.lit(0), 95 - e * 13 % 101)).alias("empirical_magic_damage_ratio"), F.lit(0.05).alias("empirical_true_damage_ratio"), (e * 3 % 13 / 10.0).cast("double").alias("wave_clear_score"),
     )
@@ -995,13 +996,14 @@ def profiles_by_minute(spark, d):
 
 
 def whole_mart(spark: SparkSession, d: str) -> DataFrame:
-    """The published record of each entity."""
+    """The published record of each entity; rates and attributes are counted once for all its parts."""
     p = gm.players(spark, d)
     t = dc.checkpointed(tiers(spark, d))
     pairs = rt.pair_synergy(rt.pair_rates(gm.games(spark, d)), t.select("entity_id", "games", "wins")).where("games >= 30")
-    picks = pk.pick_lift(rt.entity_attribute_rates(p), gm.attribute_dim(spark), gm.entity_dim(t))
-    sets = pk.top_bottom_affinity(pk.category_affinity(set_counts(spark, d), 350.0, exact=False, name="set"), name="set")
-    return mart.published_mart(t.select("entity_id", "games", "tier"), _ends(spark, d), picks, mart.visible_pairs(pairs, t), {"sets": (sets, "set")}, dims.entity_profiles(*minute_scores(spark, d)))
+    attr = dc.checkpointed(rt.entity_attribute_rates(p))
+    picks = pk.pick_lift(attr, gm.attribute_dim(spark), gm.entity_dim(t))
+    sets = pk.top_bottom_affinity(pk.category_affinity(dc.checkpointed(set_counts(spark, d, t)), 350.0, exact=False, name="set"), name="set")
+    return mart.published_mart(t.select("entity_id", "games", "tier"), _ends(spark, d, attr, t), picks, mart.visible_pairs(pairs, t), {"sets": (sets, "set")}, dims.entity_profiles(*minute_scores(spark, d, t)))
 
 
 def both_ends(mart_rows: DataFrame, *lists: str) -> DataFrame:

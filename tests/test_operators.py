@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skirmish.functions import estimators as est
 from skirmish.functions import text as tx
+from skirmish.operators import dimensions as dims
 from skirmish.operators import discovery as dc
 from skirmish.operators import matches as ma
 from skirmish.operators import models as mo
@@ -265,3 +266,13 @@ def test_beta_fraction_goes_on_only_with_values_that_still_change(monkeypatch):
     monkeypatch.undo()
     each = [est._fraction(x[i : i + 1], a[i : i + 1], a[i : i + 1])[0] for i in (0, 99)]
     assert np.allclose(got[[0, 99]], each, rtol=1e-12) and (got[:99] == got[0]).all()
+
+
+def test_equal_participants_are_counted_before_their_categories(spark):
+    rows = [("g", 100, 7, 1, [1, 2])] * 5 + [("h", 100, 7, 0, [1, 2]), ("h", 200, 7, 1, None), ("i", 100, 7, 1, [2, 2])]
+    players = spark.createDataFrame(rows, "game_id string, team_id int, entity_id long, win int, attributes array<long>")
+    dim = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"])], "attribute_id long, categories array<string>")
+    got = dims.categories_of(players, dim, counted=True)
+    assert sorted(map(tuple, got.collect())) == [(7, 0, "a", 1), (7, 0, "b", 1), (7, 1, "a", 5), (7, 1, "b", 1), (7, 1, "b", 5)]
+    r = spark.createDataFrame([(7, 10, 5)], "entity_id long, games long, wins long")
+    assert sorted((x.category, x.games, x.wins) for x in pk.category_counts(players, dim, r).collect()) == [("a", 6, 5), ("b", 7, 6)]
