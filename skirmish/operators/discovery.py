@@ -33,12 +33,18 @@ def bfs_expand(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFr
     """(actor_id, depth, family): actors reached from the seeds over shared matches, a child with its parent's family.
 
     Each hop joins the frontier with the edges twice, leaves out what is visited, and cuts lineage; of
-    several parents the smallest family is taken.
+    several parents the smallest family is taken. The edges are made once and written; a match that a hop has met is left out of later ones,
+    as all its actors are visited then.
     """
+    edges = checkpointed(edges.select("actor_id", "match_id"))
     visited = checkpointed(seeds.groupBy("actor_id").agg(F.min("family").alias("family")).select("actor_id", F.lit(0).alias("depth"), "family"))
-    frontier = visited
+    frontier, met = visited, None
     for depth in range(1, max_depth + 1):
         matches = edges.join(frontier.select("actor_id", "family"), "actor_id").groupBy("match_id").agg(F.min("family").alias("family"))
+        if met is not None:
+            matches = matches.join(met, "match_id", "left_anti")
+        matches = checkpointed(matches)
+        met = matches.select("match_id") if met is None else met.unionByName(matches.select("match_id"))
         found = edges.join(matches, "match_id").groupBy("actor_id").agg(F.min("family").alias("family"))
         frontier = checkpointed(found.join(visited, "actor_id", "left_anti").select("actor_id", F.lit(depth).alias("depth"), "family"))
         if frontier.isEmpty():

@@ -276,3 +276,12 @@ def test_equal_participants_are_counted_before_their_categories(spark):
     assert sorted(map(tuple, got.collect())) == [(7, 0, "a", 1), (7, 0, "b", 1), (7, 1, "a", 5), (7, 1, "b", 1), (7, 1, "b", 5)]
     r = spark.createDataFrame([(7, 10, 5)], "entity_id long, games long, wins long")
     assert sorted((x.category, x.games, x.wins) for x in pk.category_counts(players, dim, r).collect()) == [("a", 6, 5), ("b", 7, 6)]
+
+
+def test_expansion_makes_its_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: made.add(1) or x, "long").asNondeterministic()
+    edges = spark.createDataFrame([(1, 10), (2, 10), (2, 11), (3, 11), (3, 12), (4, 12)], "actor_id long, match_id long").select(count("actor_id").alias("actor_id"), "match_id")
+    seeds = spark.createDataFrame([(1, "web")], "actor_id long, family string")
+    assert {(r.actor_id, r.depth) for r in dc.bfs_expand(edges, seeds, 3).collect()} == {(1, 0), (2, 1), (3, 2), (4, 3)}
+    assert made.value == 6
