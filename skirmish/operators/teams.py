@@ -263,13 +263,38 @@ def swap_suggestions(sessions: DataFrame, weights: DataFrame, key: str = "game_i
     return rows.withColumn("rank", F.row_number().over(order))
 
 
-def blended_swap_score(sessions: DataFrame, deltas: DataFrame, weights: DataFrame, key: str = "game_id") -> DataFrame:
-    """.7 of the mean pair difference beside the rest of the team and .3 of the probability change; with covered anchors."""
-    swaps = swap_suggestions(sessions, weights, key)
-    rest = sessions.select(key, F.explode(F.array_except("team", F.array("current"))).alias("anchor"))
-    pairs = swaps.select(key, "candidate").join(rest, key).join(deltas.select("anchor", F.col("mate").alias("candidate"), F.col("delta").alias("_d")), ["anchor", "candidate"], "left")
-    mean = pairs.groupBy(key, "candidate").agg(F.avg("_d").alias("synergy"), F.count("_d").alias("anchors"))
-    return swaps.join(mean, [key, "candidate"]).withColumn("score", 0.7 * F.coalesce("synergy", F.lit(0.0)) + 0.3 * F.col("delta"))
+def blended_swap_score(sessions: DataFrame, deltas: DataFrame, weights: DataFrame, key: str = "game_id", small: int = SMALL, most: int = 8) -> DataFrame:
+    """.7 of the mean pair difference beside the rest of the team and .3 of the probability change; with covered anchors.
+
+    With at most ``small`` weights, 16 * ``small`` pairs and ``most`` others in a team, a candidate's row takes the difference beside each of them from a
+    broadcast of the pairs, and nothing is shuffled; else candidates and team mates are joined.
+    """
+    rest = F.array_except("team", F.array("current"))
+    pairs = deltas.select("anchor", F.col("mate").alias("candidate"), F.col("delta").alias("_d"))
+    mates = sessions.agg(F.max(F.size(rest)).alias("n")).first()["n"] or 0
+    table = _weight_map(weights, small)
+    if table is None or mates > most or pairs.limit(16 * small + 1).count() > 16 * small:
+        swaps = swap_suggestions(sessions, weights, key, small)
+        rows = swaps.select(key, "candidate").join(sessions.select(key, F.explode(rest).alias("anchor")), key).join(pairs, ["anchor", "candidate"], "left")
+        mean = rows.groupBy(key, "candidate").agg(F.avg("_d").alias("synergy"), F.count("_d").alias("anchors"))
+        rows = swaps.join(mean, [key, "candidate"])
+    else:
+        whole = F.aggregate("team", F.lit(0.0), lambda acc, e: acc + F.coalesce(F.col("_weights")[e.cast("long")], F.lit(0.0)))
+        out = F.coalesce(F.col("_weights")[F.col("current").cast("long")], F.lit(0.0))
+        rows = sessions.crossJoin(F.broadcast(table)).select(key, "current", "bench", rest.alias("_rest"), whole.alias("_whole"), out.alias("_out")).where(F.size("_rest") > 0)  # one row
+        others = [F.get("_rest", F.lit(i)).alias(f"_e{i}") for i in range(mates)]
+        rows = rows.select(key, "current", "_whole", "_out", *others, F.explode(F.concat(F.array("current"), "bench")).alias("candidate"))
+        own = weights.groupBy(F.col("entity_id").alias("candidate")).agg(F.max("weight").alias("_in"))
+        rows = rows.join(F.broadcast(own), "candidate", "left")  # at most ``small`` rows
+        for i in range(mates):  # at most 16 * ``small`` rows, one broadcast for all
+            beside = pairs.select(F.col("anchor").alias(f"_a{i}"), F.col("candidate").alias("_c"), F.col("_d").alias(f"_d{i}"))
+            rows = rows.join(F.broadcast(beside), (F.col(f"_e{i}") == F.col(f"_a{i}")) & (F.col("candidate") == F.col("_c")), "left").drop("_c", f"_a{i}")
+        n = sum((F.col(f"_d{i}").isNotNull().cast("long") for i in range(mates)), F.lit(0).cast("long"))
+        total = sum((F.coalesce(f"_d{i}", F.lit(0.0)) for i in range(mates)), F.lit(0.0))
+        p = est.sigmoid(F.col("_whole") - F.col("_out") + F.coalesce("_in", F.lit(0.0)))
+        rows = rows.select(key, "current", "candidate", (p - est.sigmoid("_whole")).alias("delta"), F.when(n > 0, total / n).alias("synergy"), n.alias("anchors"))
+    score = 0.7 * F.coalesce("synergy", F.lit(0.0)) + 0.3 * F.col("delta")
+    return rows.select(key, "current", "candidate", "delta", "synergy", "anchors", score.alias("score"))
 
 
 def weight_tier_list(weights: DataFrame) -> DataFrame:

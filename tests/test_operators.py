@@ -285,3 +285,15 @@ def test_expansion_makes_its_edges_once(spark):
     seeds = spark.createDataFrame([(1, "web")], "actor_id long, family string")
     assert {(r.actor_id, r.depth) for r in dc.bfs_expand(edges, seeds, 3).collect()} == {(1, 0), (2, 1), (3, 2), (4, 3)}
     assert made.value == 6
+
+
+@pytest.mark.parametrize("most", [8, 1])
+def test_blended_scores_in_the_row_and_by_joins(spark, most):
+    sessions = spark.createDataFrame([("g", [1, 2, 3], 1, [4, 5]), ("h", [4, 9, None], 4, [2]), ("i", [6], 6, [1])], "game_id string, team array<long>, current long, bench array<long>")
+    deltas = spark.createDataFrame([(2, 4, 0.1), (3, 4, 0.3), (3, 1, -0.2), (9, 2, 0.5)], "anchor long, mate long, delta double")
+    weights = spark.createDataFrame([(1, 0.5), (2, -0.25), (4, 1.0)], "entity_id long, weight double")
+    got = {(r.game_id, r.candidate): (r.anchors, r.score) for r in tm.blended_swap_score(sessions, deltas, weights, most=most).collect()}
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    change = lambda whole, out, in_: 0.3 * (sig(whole - out + in_) - sig(whole))
+    want = {("g", 1): (1, -0.14), ("g", 4): (2, 0.14 + change(0.25, 0.5, 1.0)), ("g", 5): (0, change(0.25, 0.5, 0.0)), ("h", 4): (0, 0.0), ("h", 2): (1, 0.35 + change(1.0, 1.0, -0.25))}
+    assert set(got) == set(want) and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
