@@ -7,8 +7,8 @@ token for each prefix, filled from the tokens an Aho-Corasick automaton reports
 tests; the ids are then read backwards from the end.
 
 Texts are first cut where no merge can cross: between two characters that stand side by side in no
-piece. For the usual vocabularies that is before each word's space mark, and repeated chunks are
-remembered in a table of bounded size.
+piece. For the usual vocabularies that is before each word's space mark and between letters and punctuation,
+and repeated chunks are remembered in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from . import common
 
 SPACE = "▁"
 #: Chunks, and pairs of tokens, that a worker remembers; the table starts anew when full.
-CHUNKS, PAIRS = 200_000, 200_000
+CHUNKS, PAIRS = 400_000, 400_000
 
 
 class PrefixEncoder:
@@ -47,7 +47,14 @@ class PrefixEncoder:
         self.text_of = {i: p for p, i in self.id_of.items()}
         inside = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
         self.cuts = not any(x[1:] == SPACE and x[0] != SPACE or "\n" in x for x in inside | set(self.id_of))
-        self.split = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+").findall
+        after, before = self.marks(inside)
+        runs, kinds = [f"[^{SPACE}\n]+"], lambda found: "".join(map(re.escape, sorted(found)))
+        if both := kinds(after & before):  # runs of marks that end where a letter begins; else all up to the next space mark
+            runs.insert(0, rf"[{both}]++(?=[^\W_]|[{SPACE}\n]|\Z)")
+        if after:  # and runs of letters that end where a mark begins
+            runs.insert(0, rf"[^\W_]++(?=[{kinds(after)}{SPACE}\n]|\Z)")
+        self.split = re.compile("|".join([f"{SPACE}+(?:{'|'.join(runs)})?", *runs, "\n+"])).findall
+        self.decimal = [b"%d," % i for i in range(size)]
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.id_of.items():
             if len(self.merged(piece)) == 1:  # else no text encodes to this piece
@@ -55,9 +62,14 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         self.length = [len(self.text_of.get(i, "")) for i in range(size)]
         self.ids: dict[str, bytes] = {}
-        self.said: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
+    @staticmethod
+    def marks(inside: set[str]) -> tuple[set[str], set[str]]:
+        """Characters, none of them letters or digits, that no piece has right after a letter or digit; and those that none has right before one."""
+        own = {c for c in "".join(inside) if not (c.isalnum() or c in f"{SPACE}\n_")}
+        return own - {x[1] for x in inside if x[0].isalnum()}, own - {x[0] for x in inside if x[1].isalnum()}
+
     def merged(self, text: str) -> list[str]:
         """BPE by its definition: merge the best-scored adjacent pair, the leftmost of equals, until none is a piece.
 
@@ -122,27 +134,26 @@ class PrefixEncoder:
         text = SPACE + text.replace(" ", SPACE)
         if not self.cuts:
             ids = self.tokens(text, self.prefix_tokens(text), 0, len(text))
-            return np.array(ids, np.int32), "".join([f"{i}," for i in ids]).encode()
-        chunks, held, said = self.split(text), self.ids, self.said
+            return np.array(ids, np.int32), b"".join(map(self.decimal.__getitem__, ids))
+        chunks, held = self.split(text), self.ids
         if len(held) >= CHUNKS:
-            held.clear(), said.clear()
-        new = list({c for c in chunks if c not in held})
+            held.clear()
+        new = list(set(chunks).difference(held))
         if new:
             joined, at = "\n".join(new), 0
             last = self.prefix_tokens(joined)
             for chunk in new:
                 ids = self.tokens(joined, last, at, at + len(chunk))
                 held[chunk] = pack(f"{len(ids)}i", *ids)
-                said[chunk] = ("%d," * len(ids) % tuple(ids)).encode()
                 at += len(chunk) + 1
-        out = np.frombuffer(b"".join(map(held.__getitem__, chunks)), np.int32), b"".join(map(said.__getitem__, chunks))
+        ids = np.frombuffer(b"".join(map(held.__getitem__, chunks)), np.int32)
         if len(text) > 1 << 20:  # a very long text may bring very many chunks
-            held.clear(), said.clear()
-        return out
+            held.clear()
+        return ids, b"".join(map(self.decimal.__getitem__, ids.tolist()))
 
     def forget(self) -> None:
         """Let the chunks go, at the end of a task: a worker that idles or does other work holds no memory for them."""
-        self.ids.clear(), self.said.clear()
+        self.ids.clear()
 
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist())

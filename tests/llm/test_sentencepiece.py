@@ -41,3 +41,11 @@ def test_round_trip_query_rows(spark):
     back = {(r.doc_id, r.text) for r in sentencepiece_bpe.decode(ids, MODEL).collect()}
     assert back == {(i, t or "") for i, t in rows}
     assert sentencepiece_bpe.round_trip(df.limit(0), MODEL).count() == 0
+
+
+def test_letters_and_marks_that_no_piece_joins_are_chunks_of_their_own():
+    enc = sentencepiece_bpe.PrefixEncoder(MODEL)
+    assert enc.split("▁word,▁(more)\n▁,x") == ["▁word", ",", "▁(", "more", ")", "\n", "▁,", "x"]
+    assert enc.marks({"a,", "x.", ".c", "!?"}) == ({"!", "?"}, {",", "!", "?"})
+    for text in ["word, (more)\n ,x", "it's p.m. a.com,b", "é,è (日本)!? x_y_"]:
+        assert enc.encode(text)[0].tolist() == enc.library.encode(text), text
