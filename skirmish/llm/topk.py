@@ -3,8 +3,9 @@
 A 64-bit code is cut in SEGMENTS segments, and each block of the index holds, for each segment, its codes
 by that segment's value. A query looks up the values within radius 0, 1, 2, ... of its own segments; after
 radius r in the first s segments it has seen every code within SEGMENTS * r + s - 1 bits, and it
-ends once its kth best verified distance is no more than that. Blocks of queries meet blocks of codes
-in separate tasks; the best of each block are then merged.
+ends once its kth best verified distance is no more than that. The queries of a block go through the radii together. Blocks of
+queries meet blocks of codes in separate tasks; the best of each block are then merged. An index of one block is
+spread by its queries alone: cutting a small index would have each query search each part to a larger radius.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from . import common
 
 #: Segments of a code; codes of a block, and queries of a block.
 SEGMENTS, BLOCK, QUERIES = 4, 1 << 18, 1 << 12
+#: Queries that go through the radii together, and probes that are looked up at a time.
+TOGETHER, PROBES = 64, 1 << 18
 WIDTH = 64 // SEGMENTS
 
 
@@ -44,9 +47,8 @@ class Index:
     def __init__(self, ids: np.ndarray, codes: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.codes = ids[order], codes[order].view(np.uint64)
-        self.tables = []
-        for s in range(SEGMENTS):
-            value = self.segment(self.codes, s)
+        self.tables, self.values = [], [self.segment(self.codes, s) for s in range(SEGMENTS)]
+        for value in self.values:
             place = np.argsort(value, kind="stable")
             self.tables.append((place, np.searchsorted(value[place], np.arange((1 << WIDTH) + 1))))
         self.masks = [_masks(r) for r in range(WIDTH + 1)]
@@ -55,31 +57,55 @@ class Index:
     def segment(codes: np.ndarray, s: int) -> np.ndarray:
         return ((codes >> np.uint64(s * WIDTH)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
 
-    def search(self, code: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest, by distance and then id."""
-        code = np.uint64(code & (1 << 64) - 1)
-        found, dist = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        k = min(k, len(self.ids))
-        values = [int(self.segment(code, s)) for s in range(SEGMENTS)]
+    def search(self, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the query, id, distance) of each query's k nearest, by query, distance and then id."""
+        found = [self._together(asked[at : at + TOGETHER].view(np.uint64), min(k, len(self.ids)), at) for at in range(0, len(asked), TOGETHER)]
+        return tuple(np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 3, *found, strict=True))
+
+    def _together(self, asked: np.ndarray, k: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """search() for a few queries; those whose kth best distance is covered leave the search."""
+        values = np.stack([self.segment(asked, s) for s in range(SEGMENTS)])
+        open_, counts, parts = np.arange(len(asked)), np.zeros((len(asked), 66), np.int64), []
+        bound = np.full(len(asked), 64)  # kth best distance as far as known
         for radius in range(WIDTH + 1):
             for s in range(SEGMENTS):
-                place, start = self.tables[s]
-                probes = values[s] ^ self.masks[radius]
-                low, size = start[probes], start[probes + 1] - start[probes]
-                hit = size > 0
-                low, size = low[hit], size[hit]
-                at = place[np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())] if len(low) else low
-                covered = SEGMENTS * radius + s  # every code within this many bits is among the found
-                if len(at):
-                    new = np.bitwise_count(self.codes[at] ^ code).astype(np.int64)
-                    found, dist = np.concatenate((found, at)), np.concatenate((dist, new))
-                    found, first = np.unique(found, return_index=True)
-                    dist = dist[first]
-                if len(found) >= k and (k == 0 or np.partition(dist, k - 1)[k - 1] <= covered):
-                    best = np.lexsort((found, dist))[:k]
-                    return self.ids[found[best]], dist[best]
-        best = np.lexsort((found, dist))[:k]
-        return self.ids[found[best]], dist[best]
+                if k == 0 or len(open_) == 0:
+                    break
+                step = max(1, PROBES // len(self.masks[radius]))
+                for part in [open_[i : i + step] for i in range(0, len(open_), step)]:
+                    q, at = self._probed(values[:, part], radius, s)
+                    q = part[q]
+                    dist = np.bitwise_count(self.codes[at] ^ asked[q]).astype(np.int64)
+                    counts += np.bincount(q * 66 + dist, minlength=counts.size).reshape(counts.shape)
+                    near = dist <= bound[q]
+                    parts.append((q[near], at[near], dist[near]))
+                above = np.cumsum(counts[open_], axis=1)
+                bound[open_] = np.minimum(np.where(above[:, -1] >= k, np.argmax(above >= k, axis=1), 64), 64)
+                # every code within SEGMENTS * radius + s bits is among the found
+                open_ = open_[(above[:, -1] < k) | (bound[open_] > SEGMENTS * radius + s)]
+        q, at, dist = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 3, *parts, strict=True))
+        near = dist <= bound[q]
+        q, at, dist = q[near], at[near], dist[near]
+        order = np.lexsort((at, dist, q))
+        q, at, dist = q[order], at[order], dist[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[first] + base, self.ids[at[first]], dist[first]
+
+    def _probed(self, values: np.ndarray, radius: int, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the query, place) of the codes that are ``radius`` bits off in segment s and that no look-up before this one gave."""
+        place, start = self.tables[s]
+        probes = (values[s][:, None] ^ self.masks[radius]).ravel()
+        low = start[probes]
+        size = start[probes + 1] - low
+        hit = np.flatnonzero(size)
+        low, size = low[hit], size[hit]
+        q = np.repeat(hit // len(self.masks[radius]), size)
+        at = place[np.repeat(low - (np.cumsum(size) - size), size) + np.arange(len(q))]
+        new = np.ones(len(q), bool)
+        for t in range(SEGMENTS):
+            if t != s:
+                new &= np.bitwise_count(self.values[t][at] ^ values[t][q]) >= (radius + 1 if t < s else radius)
+        return q[new], at[new]
 
 
 PAIRS = "query_id long, neighbour_id long, distance int"
@@ -95,8 +121,8 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
     one = lambda rows: rows.where("id IS NOT NULL AND code IS NOT NULL").groupBy("id").agg(F.min("code").alias("code"))
     queries, index = one(queries), one(index)
     size, asked = index.count(), queries.count()
-    blocks = max(1, -(-size // BLOCK), min(common.partitions(index.sparkSession), -(-size // 4096)))
-    groups = max(1, -(-asked // QUERIES))
+    blocks = max(1, -(-size // BLOCK))
+    groups = max(1, -(-asked // QUERIES), min(common.partitions(index.sparkSession) // blocks, -(-asked // TOGETHER)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     left = queries.select("id", "code", block(groups).alias("g"), every(blocks).alias("b"))
@@ -104,12 +130,8 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
 
     def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         index = Index(held["id"].to_numpy(), held["code"].to_numpy())
-        out = [(q, *index.search(c, k)) for q, c in zip(asked["id"], asked["code"], strict=True)]
-        return pd.DataFrame({
-            "query_id": np.repeat([q for q, *_ in out], [len(x) for _, x, _ in out]).astype(np.int64),
-            "neighbour_id": np.concatenate([np.zeros(0, np.int64), *(x for _, x, _ in out)]),
-            "distance": np.concatenate([np.zeros(0, np.int64), *(x for *_, x in out)]).astype(np.int32),
-        })
+        q, ids, dist = index.search(asked["code"].to_numpy(np.int64), k)
+        return pd.DataFrame({"query_id": asked["id"].to_numpy(np.int64)[q], "neighbour_id": ids, "distance": dist.astype(np.int32)})
 
     # a stated number of partitions: small blocks are much work, and merged by their bytes they would be one task
     spread = lambda rows: rows.repartition(blocks * groups, "b", "g").groupBy("b", "g")

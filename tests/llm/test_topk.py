@@ -41,3 +41,16 @@ def test_repeated_ids_nulls_and_further_columns(spark):
     got = sorted(map(tuple, topk.nearest(codes.where("id = 20"), codes, 3).collect()))
     assert got == [(20, 1, 20, 0), (20, 2, 21, 1), (20, 3, 23, 1)]
     assert topk.nearest(codes, codes.where("id > 99"), 3).count() == 0
+
+
+def test_queries_go_through_the_radii_together():
+    rng = np.random.default_rng(3)
+    codes, ids = rng.integers(-(2**63), 2**63 - 1, 3000), rng.permutation(3000).astype(np.int64)
+    codes[:40] = codes[0]
+    asked = np.concatenate((codes[:60], rng.integers(-(2**63), 2**63 - 1, 100)))
+    q, near, dist = topk.Index(ids, codes).search(asked, 10)
+    assert (q == np.repeat(np.arange(160), 10)).all()
+    for j, code in enumerate(asked):
+        off = np.bitwise_count(codes.view(np.uint64) ^ code.view(np.uint64))
+        best = np.lexsort((ids, off))[:10]
+        assert (near[q == j] == ids[best]).all() and (dist[q == j] == off[best]).all()
