@@ -32,7 +32,7 @@ BREAKS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 KIND = np.array([2 if c in BREAKS else 1 if c in SPACES else 0 for c in range(256)], np.uint8)
 _GAP = re.compile(b"[" + re.escape(BREAKS + SPACES) + b"]")
 #: Bytes that are cut into words at a time, and phrases that a task adds up at a time.
-CHUNK, BUFFER = 1 << 20, 1 << 20
+CHUNK, BUFFER = 1 << 20, 1 << 18
 #: Bits of a filter: 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
 #: Pairs above a language's first floor, for each phrase asked for, and how much lower each further floor goes.
@@ -160,6 +160,7 @@ def counted(docs: DataFrame, seed: int, size: int, wanted: Callable[[np.ndarray]
 
     def summed(parts: list[np.ndarray]) -> pa.RecordBatch:
         rows = np.concatenate(parts, axis=1)
+        parts.clear()  # what is added up isn't held twice
         rows = rows[:, np.argsort(phrase_hash(list(rows)), kind="stable")]  # equal phrases side by side; of two that share the hash, a few rows more are sent
         at = np.concatenate(([0], np.flatnonzero((rows[:, 1:] != rows[:, :-1]).any(0)) + 1, [rows.shape[1]]))
         return pa.record_batch([*(pa.array(x.view(np.int64)) for x in rows[:, at[:-1]]), pa.array(np.diff(at))], [*names, "a"])
@@ -180,7 +181,7 @@ def counted(docs: DataFrame, seed: int, size: int, wanted: Callable[[np.ndarray]
                 held += len(at)
                 if held >= BUFFER:
                     yield summed(parts)
-                    parts, held = [], 0
+                    held = 0
         if held:
             yield summed(parts)
 

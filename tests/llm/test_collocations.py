@@ -107,3 +107,7 @@ def test_words_that_share_a_number_are_numbered_anew(spark, monkeypatch):
     monkeypatch.setattr(collocations.Cutter, "words", clashing)
     rows = [("a b c. d e f g", "l")] * 40
     assert found(spark, rows) == brute(rows)
+
+
+def test_phrases_that_a_task_adds_up_stay_small():
+    assert collocations.BUFFER * 4 * 8 <= 8 << 20  # bytes of phrases of four words, before copies
